@@ -74,9 +74,9 @@ def repeated_window_words(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, counted))
 
 
-def text_statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, whether the base fails, and the statistic of each rule."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def text_statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text_column: str = "text") -> DataFrame:
+    """The columns to keep, the base counts, whether the base fails, and the statistic of each rule."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     by_words = let(
         words(text),
@@ -91,12 +91,12 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
     )
     counts = documents.select(
-        "doc_id", "lang", by_words.alias("w"), by_lines.alias("l"),
+        *keep, by_words.alias("w"), by_lines.alias("l"),
         count(r"[#*$%&|<>]").alias("n_symbols"), count("!").alias("n_bangs"), count(r"\p{Lu}").alias("n_capitals"),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return counts.select("doc_id", "lang", "w.*", "l.*", "n_symbols", "n_bangs", "n_capitals").select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return counts.select(*keep, "w.*", "l.*", "n_symbols", "n_bangs", "n_capitals").select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "n_words").alias("symbols_per_word"),
         per("n_dup_lines", "n_lines").alias("repeated_line_share"),

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.common import table
+from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.quality_rules import quality_rules
+from evidentia.llm.secret_scan import BASE, secret_scan
+from evidentia.llm.sharding import shard_rows
+from evidentia.llm.token_counts import token_counts
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +23,44 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["name"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"], x["stop"])), ",")
+    base: Column = F.filter("spans", lambda x: x["kind"] < len(BASE))
+    return scanned.select("doc_id", *[count(k) for k in BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_prior", "quality_evidence", "quality_score", F.col("quality_kept").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
