@@ -14,6 +14,7 @@ from evidentia.llm.quality_rules import quality_rules
 from evidentia.llm.secret_scan import BASE, secret_scan
 from evidentia.llm.sharding import shard_rows
 from evidentia.llm.token_counts import token_counts
+from evidentia.llm.toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,6 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
