@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.common import table
+from evidentia.llm.decontamination import benchmark_leaks
 from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.quality_rules import quality_rules
 from evidentia.llm.secret_scan import BASE, secret_scan
@@ -60,6 +61,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_prior", "quality_evidence", "quality_score", F.col("quality_kept").alias("kept"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
@@ -68,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -57,7 +57,7 @@ class ToxicityModel:
     odds: float = 8.0
     seen: int = 5
     label_accuracy: float = 0.95
-    ridge: float = 0.1
+    ridge: float = 0.3
 
 
 @dataclass
