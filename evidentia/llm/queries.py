@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.common import table
 from evidentia.llm.decontamination import benchmark_leaks
+from evidentia.llm.ngram_join import near_duplicates
 from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.quality_rules import quality_rules
 from evidentia.llm.secret_scan import BASE, secret_scan
@@ -29,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -69,6 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
