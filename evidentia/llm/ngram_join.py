@@ -324,3 +324,17 @@ def near_duplicates(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> Data
     every = classes.select("text_key", "first_id", "n_copies").join(named, "text_key", "left")
     every = every.select("text_key", F.coalesce("class_id", "first_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return signed.select("doc_id", "text_key").join(staged(every, "ngram_groups"), "text_key").select("doc_id", "text_key", "class_id", "n_copies", "n_links")
+
+
+def one_of_each_group(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> DataFrame:
+    """The documents without near duplicates: of each group one row with its least id stays."""
+    groups = near_duplicates(documents, rule)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("class_id", "text_key").groupBy("class_id").agg(F.min("text_key").alias("text_key"))
+    nameless = groups.filter("class_id is null").groupBy("text_key").agg(F.first("class_id").alias("class_id")).select("class_id", "text_key")
+    first = staged(first.filter("class_id is not null").unionByName(nameless), "ngram_kept")
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    # Rows that repeat an id and its text are copies of one document too.
+    kept = kept.groupBy("key", "id").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
