@@ -1,10 +1,386 @@
-"""Every query of the screening operators, with the SQL it must equal."""
+"""Every query of the screening operators, with the SQL it must equal.
+
+The fixtures hold no images and no machine-readable zones. Where an operator needs such, its query
+runs on a table of the same shape or on rows written here.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.functions import client_rules as client
+from evidentia.functions.mrz import mrz_checks, parse_mrz
+from evidentia.operators import evaluation, forensics, governance, models, status
+from evidentia.operators.document_checks import field_consistency, mrz_fields, printed_fields, rule_findings
+from evidentia.plans.screening import detect_media, screen_documents
+from evidentia.streaming import trail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL it must equal where there is one."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cases: a toxic label is suspicious, low quality inconclusive, no label unavailable."""
+    labels = table(spark, sf_dir, "labels")
+    found = F.when(F.col("toxic").isNull(), "unavailable").when(F.col("toxic") == 1, "suspicious").when(F.col("quality") == 0, "inconclusive").otherwise("completed")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left").withColumn("status", found)
+
+
+_STATUS = "CASE WHEN toxic IS NULL THEN 'unavailable' WHEN toxic = 1 THEN 'suspicious' WHEN quality = 0 THEN 'inconclusive' ELSE 'completed' END"
+
+
+@query(f"SELECT outcome, count(*) AS n, sum(CASE WHEN outcome <> 'checks_completed' THEN 1 ELSE 0 END)::BIGINT AS n_review FROM (SELECT replace({_STATUS}, 'completed', 'checks_completed') AS outcome FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY outcome")
+def case_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), "status", F.lit(None).cast("string").alias("reason"))
+    return status.case_outcomes(results).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("manual_review").alias("n_review"))
+
+
+@query(f"SELECT check_name, status, count(*) AS n FROM (SELECT doc_id, 'tampering' AS check_name, {_STATUS} AS status FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, c, 'unavailable' FROM documents, (VALUES ('ocr_fields'), ('mrz_consistency'), ('dates_expiry'), ('face_comparison')) t(c)) GROUP BY check_name, status")
+def check_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", F.lit(None).cast("string").alias("reason"))
+    every = status.all_checks(results, results.select("case_id", "workflow"))
+    return every.groupBy(F.col("check").alias("check_name"), "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'document' AS workflow, unnest(['ocr_fields', 'mrz_consistency', 'dates_expiry', 'tampering', 'face_comparison']) AS check_name UNION ALL SELECT 'media', unnest(['generated_image', 'face_manipulation', 'signal_indicators', 'explanations'])")
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.check_catalog(spark).withColumnRenamed("check", "check_name")
+
+
+@query(f"SELECT doc_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'suspicious' THEN 'The score is above the threshold.' WHEN {_STATUS} = 'inconclusive' THEN 'The capture is too poor to judge.' WHEN {_STATUS} = 'unavailable' THEN 'The model for this check is not installed.' END AS reason_text FROM documents LEFT JOIN labels USING (doc_id)")
+def explained_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.create_map(F.lit("suspicious"), F.lit("score_high"), F.lit("inconclusive"), F.lit("low_quality"), F.lit("unavailable"), F.lit("no_model"))[F.col("status")]
+    results = labelled_outcomes(spark, sf_dir).select("doc_id", F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", reason.alias("reason"))
+    return status.disclosure(results)["evidence"].select(F.col("case_id").alias("doc_id"), "status", "reason_text")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate THEN 'suspicious' ELSE 'completed' END AS status, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def date_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    found = F.when(F.col("l_shipdate") < F.col("o_orderdate"), "suspicious").otherwise("completed")
+    return both.groupBy("l_orderkey", "l_linenumber", found.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
+def status_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    open_ = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey")
+    return done.join(open_, done["o_orderkey"] == open_["l_orderkey"], "left_semi")
+
+
+@query("SELECT doc_id, rule FROM (SELECT doc_id, 'size_differs' AS rule FROM documents WHERE length(text) <> n_chars UNION ALL SELECT doc_id, 'bytes_differ' FROM documents WHERE strlen(text) <> n_chars UNION ALL SELECT doc_id, 'very_long' FROM documents WHERE n_chars > 10000)")
+def declared_size_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"size_differs": F.length("text") != F.col("n_chars"), "bytes_differ": F.octet_length("text") != F.col("n_chars"), "very_long": F.col("n_chars") > 10_000}
+    return rule_findings(table(spark, sf_dir, "documents"), rules, ["doc_id"])
+
+
+_TENTHS = "CAST(floor(b * 10.0 / {u} + 0.5) AS BIGINT)"
+_SHOWN = "(" + _TENTHS + " // 10)::VARCHAR || '.' || (" + _TENTHS + " % 10)::VARCHAR"
+
+
+@query(f"SELECT doc_id, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN {_SHOWN.format(u=1024)} || ' KB' ELSE {_SHOWN.format(u=1048576)} || ' MB' END AS size_text FROM (SELECT doc_id, strlen(text) AS b FROM documents UNION ALL SELECT -1 - i, v FROM (VALUES (0, 0), (1, 1023), (2, 1024), (3, 1280), (4, 1048575), (5, 1048576), (6, 5000000000)) t(i, v))")
+def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.createDataFrame(list(enumerate([0, 1023, 1024, 1280, 1048575, 1048576, 5000000000])), "i long, b long").select((-1 - F.col("i")).alias("doc_id"), "b")
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("b")).unionByName(edges)
+    return sizes.select("doc_id", client.format_bytes(F.col("b")).alias("size_text"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.exact_duplicates(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.benchmark_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT doc_id, line, count(*) AS n, min(i)::INT AS first_line, max(i)::INT AS last_line FROM l WHERE length(line) >= 30 GROUP BY doc_id, line HAVING count(*) > 1")
+def repeated_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forensics.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+_BUCKET = "(('0x' || md5(source)[1:4])::BIGINT % 100)"
+
+
+@query(f"SELECT source, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM documents GROUP BY ALL")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source", governance.split_of(F.col("source")).alias("split")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH d AS (SELECT doc_id, text, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'validation' ELSE 'test' END AS split FROM documents) SELECT doc_id FROM d WHERE split = 'test' AND text IN (SELECT text FROM d WHERE split = 'train')")
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), governance.split_of(F.col("source")).alias("split"))
+    return governance.split_leakage(docs.filter("split = 'train'"), docs.filter("split = 'test'"), "digest").select("doc_id")
+
+
+@query("SELECT lang, source, grouping(lang, source)::INT AS level, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.class_counts(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("SELECT lang, toxic, grouping(lang, toxic)::INT AS level, count(*) AS n, round(avg(CASE WHEN (n_chars < 800) = (quality = 0) THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY CUBE (lang, toxic)")
+def slice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return governance.slice_metrics(rows, ["lang", "toxic"], (F.col("n_chars") < 800) == (F.col("quality") == 0))
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def unseen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    training = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return governance.unseen(docs, training, "source").select("doc_id")
+
+
+@query("SELECT sha256(text) AS digest, item_id FROM benchmark WHERE item_id % 3 <> 0")
+def missing_registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("digest"), "item_id")
+    third = F.col("item_id") % 3
+    registry = artifacts.filter(third != 2).select("digest", F.when(third == 0, "own").alias("license"), F.lit("fixture").alias("source"))
+    return governance.missing_records(artifacts, registry)
+
+
+@query("WITH r AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS p FROM embeddings GROUP BY label), s AS (SELECT vec_id, round(list_dot_product(p, embedding::DOUBLE[]) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM embeddings JOIN r USING (label)) SELECT vec_id, similarity, CASE WHEN similarity >= 0.3 THEN 'completed' WHEN similarity >= 0.0 THEN 'inconclusive' ELSE 'suspicious' END AS status FROM s")
+def face_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the first of its label, as a capture against the portrait on file."""
+    vectors = table(spark, sf_dir, "embeddings")
+    portraits = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("portrait"))
+    pairs = vectors.withColumnRenamed("embedding", "capture").join(portraits, "label")
+    compared = models.face_comparison(pairs, 0.0, 0.3).withColumn("similarity", F.round("similarity", 6))
+    again = F.when(F.col("similarity") >= 0.3, "completed").when(F.col("similarity") >= 0.0, "inconclusive").otherwise("suspicious")
+    return compared.select("vec_id", "similarity", again.alias("status"))
+
+
+_T = "embedding::DOUBLE[]"
+
+
+def _dct_sql(u: int, v: int) -> str:
+    return f"list_dot_product({_T}, [cos((2 * (i // 8) + 1) * {u} * pi() / 16) * cos((2 * (i % 8) + 1) * {v} * pi() / 16) * {'sqrt(0.125)' if u == 0 else '0.5'} * {'sqrt(0.125)' if v == 0 else '0.5'} for i in range(64)])"
+
+
+_LOW = " + ".join(f"power({_dct_sql(u, v)}, 2)" for u in range(4) for v in range(4 - u) if u + v)
+
+
+@query(f"SELECT vec_id, round({_dct_sql(0, 0)}, 6) AS dc, round({_dct_sql(1, 2)}, 6) AS c12, round(1 - ({_LOW}) / (list_dot_product({_T}, {_T}) - power({_dct_sql(0, 0)}, 2)), 6) AS high_share FROM embeddings")
+def tile_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tile = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(forensics.dct_coefficient(tile, 0, 0), 6).alias("dc"), F.round(forensics.dct_coefficient(tile, 1, 2), 6).alias("c12"), F.round(forensics.high_frequency_share(tile), 6).alias("high_share"))
+
+
+@query("WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS i FROM embeddings), s AS (SELECT vec_id, i, lead(v) OVER (PARTITION BY vec_id ORDER BY i) - v AS d FROM p) SELECT vec_id, round(var_pop(d), 8) AS noise FROM s WHERE i % 8 <> 7 GROUP BY vec_id")
+def tile_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(forensics.noise_residual(F.col("embedding")), 8).alias("noise"))
+
+
+@query("WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v FROM embeddings), b AS (SELECT vec_id, least(greatest(floor((v + 0.5) / 1.0 * 8), 0), 7) AS k, count(*) AS n FROM p GROUP BY ALL), e AS (SELECT vec_id, round(-sum(n / 64.0 * log2(n / 64.0)), 6) AS entropy FROM b GROUP BY vec_id), t AS (SELECT vec_id, round(var_pop(v), 8) AS texture FROM p GROUP BY vec_id) SELECT vec_id, texture, entropy FROM t JOIN e USING (vec_id)")
+def tile_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tile = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(forensics.texture_variance(tile), 8).alias("texture"), F.round(forensics.texture_entropy(tile, -0.5, 0.5), 6).alias("entropy"))
+
+
+def pixels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of 64 vectors as one grey image: a vector is a row of pixels."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("img_id"), (F.col("vec_id") % 64).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    return rows.withColumn("v", F.col("v").cast("double"))
+
+
+@query("WITH p AS (SELECT vec_id // 64 AS img_id, vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS x FROM embeddings), s AS (SELECT img_id, x, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY x)) AS d FROM p) SELECT img_id, round(avg(d) FILTER (x % 8 = 0), 8) AS edge_step, round(avg(d) FILTER (x % 8 <> 0), 8) AS inner_step FROM s WHERE d IS NOT NULL GROUP BY img_id")
+def block_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forensics.blockiness(pixels_of(spark, sf_dir)).select("img_id", F.round("edge_step", 8).alias("edge_step"), F.round("inner_step", 8).alias("inner_step"))
+
+
+@query("WITH t AS (SELECT vec_id // 64 AS img_id, vec_id, list_aggregate(embedding::DOUBLE[], 'var_pop') AS texture FROM embeddings), z AS (SELECT vec_id, (texture - avg(texture) OVER w) / stddev_pop(texture) OVER w AS z FROM t WINDOW w AS (PARTITION BY img_id)) SELECT vec_id, round(z, 6) AS z, abs(z) > 2 AS anomalous FROM z")
+def tile_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("img_id"), "vec_id", forensics.texture_variance(F.col("embedding")).alias("texture"))
+    return forensics.tile_anomalies(tiles, "texture", 2.0).select("vec_id", F.round("z", 6).alias("z"), "anomalous")
+
+
+@query("SELECT * FROM (VALUES (1, 9, 5, 16::BIGINT)) t(img_id, dx, dy, n_blocks)")
+def copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic image with a planted 7 by 7 copy (16 blocks of 4 by 4), one of noise, one flat."""
+    x, y = F.col("x"), F.col("y")
+    grid = spark.range(3 * 24 * 24).select((F.floor(F.col("id") / 576) + 1).cast("int").alias("img_id"), (F.col("id") % 24).cast("int").alias("x"), (F.floor(F.col("id") / 24) % 24).cast("int").alias("y"))
+    inside = (F.col("img_id") == 1) & x.between(11, 17) & y.between(8, 14)
+    noise = lambda a, b: F.pmod(F.xxhash64(F.col("img_id"), a, b), F.lit(251)).cast("int")
+    value = F.when(F.col("img_id") == 3, F.lit(7)).when(inside, noise(x - 9, y - 5)).otherwise(noise(x, y))
+    found = forensics.copy_move(grid.withColumn("v", value))
+    return found.select("img_id", F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), "n_blocks").filter("n_blocks >= 4")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<meta'))::INT AS n_meta, CASE WHEN contains(html, '<meta') THEN 'completed' ELSE 'unavailable' END AS metadata_status FROM pages")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<meta")).alias("n_meta"), F.when(F.contains("html", F.lit("<meta")), "completed").otherwise("unavailable").alias("metadata_status"))
+
+
+@query(r"SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS canonical, count(*) AS n, min(page_id) AS first_page_id FROM pages GROUP BY 1")
+def canonical_url_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(governance.canonical_url(F.col("url")).alias("canonical")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page_id"))
+
+
+@query("SELECT event_id, k AS key, replace(k, '_', ' ') AS label, coalesce(json_extract_string(props, '$.\"' || k || '\"'), 'null') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.response_entries(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body")))
+
+
+RESPONSES = [
+    (1, 200, '{"ok":true,"face_score":0.5}'), (2, 400, '{"error":"No image."}'), (3, 500, '{"error":{"code":7}}'), (4, 200, "null"),
+    (5, 200, "<html>"), (6, 502, "<html>"), (7, 404, "{}"), (8, 200, '""'), (9, 200, "[]"), (10, 503, '{"error":null}'),
+]
+
+
+@query("SELECT * FROM (VALUES (1, NULL, true), (2, 'No image.', true), (3, 'Backend request failed with HTTP 500.', true), (4, NULL, false), (5, NULL, true), (6, 'Backend response was not valid JSON.', true), (7, 'Backend request failed with HTTP 404.', true), (8, NULL, false), (9, NULL, true), (10, 'Backend request failed with HTTP 503.', true)) t(case_id, error, shows_panel)")
+def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(RESPONSES, "case_id int, http_status int, body string")
+    rows = rows.withColumn("payload", client.response_payload(F.col("body")))
+    rows = rows.withColumn("error", client.error_message(F.col("payload"), F.col("http_status")))
+    return rows.select("case_id", "error", client.shows_panel(F.col("payload"), F.col("error")).alias("shows_panel"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = '' THEN 'Unknown browser MIME type' ELSE lang END AS type_text, CASE WHEN lang = 'en' THEN 'document' ELSE 'media' END AS route, lang <> 'de' AND trim(source) <> '' AND n_chars % 2 = 0 AS can_analyze, CASE WHEN lang <> 'de' THEN 'Ready' ELSE 'Required' END AS file_ready, CASE WHEN trim(source) <> '' THEN 'Provided' ELSE 'Required' END AS key_ready FROM documents")
+def file_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("lang") != "de").alias("has_file"), F.col("source").alias("api_key"), F.lit("unknown").alias("connection"))
+    workflow = F.when(F.col("lang") == "en", "document").otherwise("media")
+    running = F.when(F.col("n_chars") % 2 == 0, "idle").otherwise("running")
+    return client.readiness(docs).select("doc_id", client.file_type(F.col("lang")).alias("type_text"), client.route(workflow).alias("route"), client.can_analyze(F.col("has_file"), F.col("api_key"), running).alias("can_analyze"), "file_ready", "key_ready")
+
+
+@query(f"SELECT lang, sum((f AND toxic = 1)::INT)::BIGINT AS tp, sum((f AND toxic = 0)::INT)::BIGINT AS fp, sum((NOT f AND NOT a AND toxic = 0)::INT)::BIGINT AS tn, sum((NOT f AND NOT a AND toxic = 1)::INT)::BIGINT AS fn, sum(a::INT)::BIGINT AS abstained FROM (SELECT lang, toxic, n_chars < 1000 AND toxic IS NOT NULL AS f, toxic IS NULL AS a FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("toxic").isNull(), "unavailable").when(F.col("n_chars") < 1000, "suspicious").otherwise("completed")
+    return evaluation.confusion(labelled_outcomes(spark, sf_dir), outcome, F.col("toxic"), ["lang"]).drop("false_alarm_rate", "miss_rate")
+
+
+@query("SELECT lang, round(avg(CASE WHEN n_chars < 1000 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS false_alarm_rate FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY lang")
+def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("n_chars") < 1000, "suspicious").otherwise("completed")
+    real = labelled_outcomes(spark, sf_dir).filter("toxic = 0")
+    return evaluation.confusion(real, outcome, F.col("toxic"), ["lang"]).select("lang", F.round("false_alarm_rate", 9).alias("false_alarm_rate"))
+
+
+@query("SELECT source, count(*) AS n, round(avg(CASE WHEN (CASE WHEN n_chars < 800 THEN 0 ELSE 1 END) IS NOT DISTINCT FROM quality THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS accuracy FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled_outcomes(spark, sf_dir).select("source", F.when(F.col("n_chars") < 800, 0).otherwise(1).alias("predicted"), F.col("quality").alias("truth"))
+    return evaluation.field_accuracy(rows, ["source"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) SELECT event_type, count(gap) AS n, round(quantile_cont(gap, 0.5) / 1e6, 4) AS p50, round(quantile_cont(gap, 0.9) / 1e6, 4) AS p90, round(quantile_cont(gap, 0.99) / 1e6, 4) AS p99 FROM g GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gaps = table(spark, sf_dir, "events").withColumn("gap", micros(F.col("ts")) - micros(F.lag("ts").over(order)))
+    found = evaluation.latency(gaps, "gap", ["event_type"])
+    return found.select("event_type", "n", *[F.round(F.col(p) / 1e6, 4).alias(p) for p in ("p50", "p90", "p99")])
+
+
+@query("WITH c AS (SELECT lang, n_chars AS threshold, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) SELECT lang, threshold, (sum(p) OVER d)::BIGINT AS tp, (sum(n) OVER d)::BIGINT AS fp, round((sum(p) OVER d) / (sum(p) OVER (PARTITION BY lang)), 9)::DOUBLE AS tpr FROM c WINDOW d AS (PARTITION BY lang ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)")
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.roc_points(labelled_outcomes(spark, sf_dir), "n_chars", "quality", ["lang"]).select("lang", "threshold", "tp", "fp", F.round("tpr", 9).alias("tpr"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 86400000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM g) SELECT user_id, session_no, count(*) AS n_events, min(ts) AS started, max(ts) AS ended FROM n GROUP BY ALL")
+def trail_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trail.session_summary(table(spark, sf_dir, "events"), "user_id", "ts", 86_400, "event_id")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def trail_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trail.daily_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query("SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def trail_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trail.latest_action(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", ["event_type"])
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'file' WHEN 'view' THEN 'run_started' WHEN 'purchase' THEN 'run' WHEN 'error' THEN 'run' ELSE 'health' END"
+_OK = "event_type IN ('purchase', 'click')"
+
+
+def _client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id as case_id", f"{_KIND} as event", f"{_OK} as ok")
+
+
+@query(f"WITH e AS (SELECT event_id, ts, user_id AS case_id, {_KIND} AS event, {_OK} AS ok FROM events), s AS (SELECT *, CASE WHEN event = 'health' THEN CASE WHEN ok THEN 'online' ELSE 'offline' END WHEN event = 'run' AND ok THEN 'online' END AS c, CASE event WHEN 'file' THEN 'idle' WHEN 'run_started' THEN 'running' WHEN 'run' THEN CASE WHEN ok THEN 'success' ELSE 'error' END END AS r FROM e) SELECT case_id, coalesce(arg_max(c, (ts, event_id)) FILTER (c IS NOT NULL), 'unknown') AS connection, coalesce(arg_max(r, (ts, event_id)) FILTER (r IS NOT NULL), 'idle') AS run_state FROM s GROUP BY case_id")
+def client_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.last_states(_client_events(spark, sf_dir))
+
+
+@query("SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS file_no FROM events")
+def file_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.file_sessions(_client_events(spark, sf_dir)).select("event_id", "file_no")
+
+
+ZONES = [
+    (1, "Surname: Eriksson\nGiven names: Anna Maria\nPassport No: L898902C3\nNationality: UTO\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "2012-04-15"),
+    (2, "Surname: Eriksson\nPassport No: L898902C4\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "2012-04-16"),
+    (3, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C26UTO7408122F1204159ZE184226B<<<<<10", "2012-02-30"),
+    (4, "I<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<", "2010-01-01"),
+    (5, "no zone at all", None),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'TD3', true, true, true, true, 'ERIKSSON'), (2, 'TD3', true, true, true, true, 'ERIKSSON'), (3, 'TD3', false, true, true, false, 'ERIKSSON'), (4, 'TD1', true, true, true, true, 'ERIKSSON'), (5, NULL, NULL, NULL, NULL, NULL, NULL)) t(case_id, mrz_format, number_ok, birth_ok, expiry_ok, composite_ok, surname)")
+def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
+    return mrz_checks(parse_mrz(zones)).select("case_id", "mrz_format", "number_ok", "birth_ok", "expiry_ok", "composite_ok", F.col("mrz_surname").alias("surname"))
+
+
+@query("SELECT * FROM (VALUES (1, 'completed', 4), (2, 'completed', 1), (2, 'suspicious', 1), (2, 'inconclusive', 2), (3, 'inconclusive', 4), (4, 'inconclusive', 4)) t(case_id, status, n)")
+def mrz_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
+    fields = printed_fields(zones).unionByName(mrz_fields(parse_mrz(zones)))
+    return field_consistency(fields).groupBy("case_id", "status").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, 'suspicious', true), (2, 'suspicious', true), (3, 'suspicious', true), (4, 'suspicious', true), (5, 'checks_completed', true)) t(case_id, outcome, manual_review)")
+def document_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
+    results = screen_documents(zones, F.lit("2012-04-17").cast("date"))
+    return status.case_outcomes(results).select("case_id", "outcome", "manual_review")
+
+
+@query("SELECT label, 'unavailable' AS outcome, count(*) AS n FROM embeddings GROUP BY label")
+def media_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without weights every media check is unavailable; nothing is invented."""
+    cases = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.lit(None).cast("binary").alias("content"), (F.col("vec_id") % 2 == 0).alias("face_found"), "label")
+    outcomes = status.case_outcomes(detect_media(cases))
+    return outcomes.join(cases.select("case_id", "label"), "case_id").groupBy("label", "outcome").agg(F.count("*").alias("n"))
+
+
+@query()
+def svm_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear baseline, trained on texture, noise and frequency of tiles; its score is a margin."""
+    tile = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", forensics.texture_variance(tile).alias("texture"), forensics.noise_residual(tile).alias("noise"), forensics.high_frequency_share(tile).alias("high"), (F.col("label") % 2).cast("double").alias("generated"))
+    features = ["texture", "noise", "high"]
+    return models.svm_scores(models.train_svm(rows, features, "generated"), rows, features).select("vec_id", "generated", "score")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn, max(turn) - min(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS gapless FROM conversations GROUP BY conv_id")
+def turn_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_distinct("turn").alias("d"))
+    return turns.select("conv_id", "n_turns", "first_turn", "last_turn", ((F.col("last_turn") - F.col("first_turn") + 1 == F.col("n_turns")) & (F.col("d") == F.col("n_turns"))).alias("gapless"))
