@@ -50,7 +50,7 @@ def pretty_value(value: Column) -> Column:
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     return (
         F.when(value.isNull() | F.is_variant_null(value), F.lit("null"))
-        .when(nested, _pretty(F.when(nested, F.to_json(value))))
+        .when(nested, pretty(F.when(nested, F.to_json(value))))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )
 
