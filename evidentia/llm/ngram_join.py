@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import sieve, sieved
 from evidentia.llm.components import connected_components
 from evidentia.plans.staging import staged
 
@@ -310,7 +311,9 @@ def near_duplicates(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> Data
     sizes = inside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / rule.block), F.ceil(F.sum("n_shingles") / rule.block_shingles)).alias("blocks"))
     wanted = staged(inside.join(sizes, "root"), "ngram_components")
     # A class's text is that of the row with its least id; copies do not travel.
-    texts = keyed.alias("d").join(wanted.alias("w"), (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.first_id")))
+    bits = sieve(wanted.select(F.xxhash64("text_key", "first_id").alias("h")), "ngram_sieve")
+    texts = sieved(keyed, bits, F.xxhash64("text_key", "doc_id"))
+    texts = texts.alias("d").join(wanted.alias("w"), (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.first_id")))
     texts = texts.select("d.text_key", "d.text", "w.root", "w.blocks")
     texts = _in_blocks(texts, F.col("blocks")).select("root", "low", "high", "block", "text_key", "text")
     arranged = texts.repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high", "text_key")
