@@ -89,7 +89,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, model: QualityModel
     ids = marks.orderBy(F.xxhash64(digits(F.col("doc_id"))), "doc_id").limit(model.sample)
     chosen = text_statistics(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), keep=("doc_id", "quality")).dropDuplicates(["doc_id"])
     rows = chosen.select("doc_id", "quality", *[f.cast("double").alias(f"f{i}") for i, f in enumerate(_features())]).orderBy("doc_id").collect()
-    x = np.array([r[2:] for r in rows], float).reshape(len(rows), -1)
+    x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(_features()))
     y = np.array([r["quality"] for r in rows], float)
     if len(rows) and 0 < y.sum() < len(y):
         weights, intercept = fit_logistic(x, y, model.ridge)
