@@ -129,17 +129,16 @@ def certified_cutoffs(labelled: DataFrame, control: RiskControl) -> DataFrame:
     for rule, levels in control.rules.items():
         for j, level in enumerate(levels):
             sums += [F.count_if(good & (F.col(rule) > level)).alias(f"{rule}_{j}_good"), F.count_if(bad & (F.col(rule) > level)).alias(f"{rule}_{j}_bad")]
-    counts = labelled.groupBy("stratum").agg(*sums)
+    counts = staged(labelled.groupBy("stratum").agg(*sums), "quality_counts")
+    n_tests = max(1, counts.count()) * len(control.rules)
     tested = F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.col(f"{rule}_{j}_good").alias("k"), F.col(f"{rule}_{j}_bad").alias("hits"))
         for rule, levels in control.rules.items() for j, level in enumerate(levels)
     ])
     share = control.limit / len(control.rules)
-    n_strata = counts.select(F.count("*").alias("n_strata"))
     tests = counts.select("stratum", "n_good", "n_bad", F.explode(tested).alias("t")).select("stratum", "n_good", "n_bad", "t.*")
-    tests = tests.join(F.broadcast(n_strata))
     passes = F.when(F.col("k") > share * F.col("n_good"), F.lit(False)).otherwise(
-        binomial_tail(F.col("k"), F.col("n_good"), share) <= F.log(F.lit(control.error) / (F.col("n_strata") * len(control.rules)))
+        binomial_tail(F.col("k"), F.col("n_good"), share) <= F.log(F.lit(control.error / n_tests))
     )
     gain = F.col("hits") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.greatest(F.col("n_good"), F.lit(1))
     best = F.max(F.struct(gain.alias("gain"), F.col("level").alias("level")))["level"]
