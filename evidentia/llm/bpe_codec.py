@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evidentia.llm.common import bounded_batches
 from evidentia.llm.word_bpe import Remembered, WordBpe, chunks, loaded, read_source
 
 #: Chunks whose ids a worker remembers, twice: the newer and the older half.
@@ -123,4 +124,4 @@ def bpe_encode(documents: DataFrame, path: str, digests: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {kinds}")
+    return bounded_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, {kinds}")

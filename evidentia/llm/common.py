@@ -25,6 +25,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, after limiting Arrow batches to 32 MB in its session, unless its configuration says otherwise.
+
+    Batches are else limited by rows alone, and ten thousand very long texts are too much for a worker."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(32 << 20))
+    return df
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     pieces = F.split(F.coalesce(text, F.lit("")), WHITE)

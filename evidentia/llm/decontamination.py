@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import bounded_batches
+
 _WORD = re.compile(r"\w+")
 
 
@@ -148,7 +150,7 @@ def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rule: EditMatchi
     item = benchmark.schema["item_id"].dataType.simpleString()
     leak = f"array<struct<item_id:{item},distance:int>>"
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = documents.select("doc_id", "text", F.array().cast(leak).alias("leaks"))
+    found = bounded_batches(documents).select("doc_id", "text", F.array().cast(leak).alias("leaks"))
     for block in item_blocks(benchmark, rule):
         found = found.mapInArrow(_reporting(documents.sparkSession.sparkContext.broadcast(block), rule), f"doc_id {kind}, text string, leaks {leak}")
     return found.select("doc_id", "leaks")
@@ -171,7 +173,7 @@ def _reporting(block, rule: EditMatching):
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, rule: EditMatching = EditMatching()) -> DataFrame:
     """The documents that hold no item, with their own columns; a pass for each block, no shuffle."""
-    text_at = documents.columns.index("text")
+    text_at = bounded_batches(documents).columns.index("text")
     for block in item_blocks(benchmark, rule):
         items = documents.sparkSession.sparkContext.broadcast(block)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import sieve, sieved
+from evidentia.llm.common import bounded_batches, sieve, sieved
 from evidentia.llm.components import connected_components
 from evidentia.plans.staging import staged
 
@@ -291,7 +291,7 @@ def near_duplicates(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = documents.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    signed = staged(keyed.mapInArrow(_signed(rule), f"doc_id {kind}, text_key binary, n_shingles int, signature binary"), "ngram_signatures")
+    signed = staged(bounded_batches(keyed).mapInArrow(_signed(rule), f"doc_id {kind}, text_key binary, n_shingles int, signature binary"), "ngram_signatures")
     per_text = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = staged(per_text, "ngram_classes")
 

@@ -30,6 +30,9 @@ from evidentia.llm.common import digits
 from evidentia.llm.quality_rules import text_statistics
 from evidentia.plans.staging import staged
 
+RESULT = ("quality_prior", "quality_evidence", "quality_score", "quality_kept")
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """sample: most labelled rows that the classifier is fitted on. threshold: documents scored
@@ -84,7 +87,10 @@ def prior_strength(groups: DataFrame, good: str, n: str, share: Column) -> float
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, model: QualityModel = QualityModel(), host: str = "source", path: str = "lang") -> DataFrame:
-    """The documents' own columns, then quality_prior, quality_evidence, quality_score, quality_kept."""
+    """The documents' own columns, then quality_prior, quality_evidence, quality_score, quality_kept.
+
+    Columns of the documents that have one of these names give way."""
+    own = [c for c in documents.columns if c not in RESULT]
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = marks.orderBy(F.xxhash64(digits(F.col("doc_id"))), "doc_id").limit(model.sample)
     chosen = text_statistics(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), keep=("doc_id", "quality")).dropDuplicates(["doc_id"])
@@ -109,7 +115,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, model: QualityModel
     sites = staged(known.select("host", "path", ((F.col("good") + strength * F.col("host_share")) / (F.col("n") + strength)).alias("path_share")), "quality_sites")
 
     # The row stays in one struct, so that no column of it can clash with the names used here.
-    row = F.struct(*[F.col(c) for c in documents.columns]).alias("row")
+    row = F.struct(*[F.col(c) for c in own]).alias("row")
     text = F.col("text")
     judged = text_statistics(documents.select(row, text, F.col(host).alias("host"), F.col(path).alias("path")), keep=("row", "host", "path"))
     evidence = F.lit(intercept)
@@ -120,4 +126,4 @@ def quality_scores(documents: DataFrame, labels: DataFrame, model: QualityModel
     judged = judged.alias("d").join(by_size(sites).alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")), "left").select("d.*", "s.path_share")
     judged = judged.alias("d").join(by_size(hosts).alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left").select("d.*", F.coalesce("d.path_share", "h.host_share", F.lit(share)).alias("prior"))
     score = 1 / (1 + F.exp(-(F.log(F.col("prior") / (1 - F.col("prior"))) + F.col("evidence"))))
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in documents.columns], F.col("prior").alias("quality_prior"), F.col("evidence").alias("quality_evidence"), score.alias("quality_score"), (score >= model.threshold).alias("quality_kept"))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in own], *[c.alias(name) for c, name in zip((F.col("prior"), F.col("evidence"), score, score >= model.threshold), RESULT)])

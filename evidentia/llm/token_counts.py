@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evidentia.llm.common import bounded_batches
 from evidentia.llm.word_bpe import Remembered, WordBpe, chunks, loaded, read_source
 
 REMEMBERED = 400_000
@@ -160,4 +161,4 @@ def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

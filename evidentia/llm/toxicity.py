@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import digits
+from evidentia.llm.common import bounded_batches, digits
 from evidentia.llm.word_bpe import Remembered
 from evidentia.plans.staging import staged
 
@@ -214,6 +214,6 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, model: ToxicityMode
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(fired, pa.int32())], ["doc_id", "score", "n_voters"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, n_voters int")
+    scored = bounded_batches(documents.select("doc_id", "text")).mapInArrow(score, f"doc_id {kind}, score double, n_voters int")
     held_out = F.pmod(F.crc32(digits(F.col("doc_id"))), F.lit(5)) == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_voters")

@@ -71,7 +71,7 @@ def test_few_labels_certify_nothing(documents, labels):
 
 def test_quality_classifier(documents, labels):
     texts, marks = labelled_texts(200)
-    docs = documents(texts + ODD, quality_score="clash").drop("quality_score").withColumn("host", F.lit("clash"))
+    docs = documents(texts + ODD, quality_score="clash", prior="clash").withColumn("host", F.lit("clash"))
     held = {i for i, _, _ in marks if i % 3 == 0}
     found = {r["doc_id"]: r for r in quality_scores(docs, labels([m for m in marks if m[0] not in held])).collect()}
     right = [found[i]["quality_kept"] == bool(q) for i, q, _ in marks if i in held]
