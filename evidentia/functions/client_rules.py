@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 
 #: The client's texts and accepted media types.
 UNKNOWN_TYPE = "Unknown browser MIME type"
-NOT_JSON = "Backend response was not valid JSON."
+NOT_JSON = "Backend returned a response that was not valid JSON."
+CONNECTIONS = {"unknown": "Not checked", "checking": "Checking", "online": "Online", "offline": "Offline"}
 MEDIA_TYPES = ("image/png", "image/jpeg", "image/webp")
 WORKFLOWS = ("document", "media")
 #: All Unicode white space; the client's trim takes these off, SQL's only spaces.
@@ -106,7 +107,7 @@ def readiness(files: DataFrame) -> DataFrame:
     return files.withColumns({
         "file_ready": F.when(F.col("has_file"), "Ready").otherwise("Required"),
         "key_ready": F.when(client_trim(F.col("api_key")) != "", "Provided").otherwise("Required"),
-        "connection_text": F.initcap("connection"),
+        "connection_text": F.create_map(*[F.lit(x) for pair in CONNECTIONS.items() for x in pair])[F.col("connection")],
     })
 
 

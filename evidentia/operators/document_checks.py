@@ -81,10 +81,11 @@ def mrz_results(cases: DataFrame, text: str = "text") -> DataFrame:
 
 
 def expiry_results(cases: DataFrame, as_of: Column, expiry: str = "expiry", pattern: str = "yyyy-MM-dd") -> DataFrame:
+    """The finding on each case's validity; dates belong to the check of machine-readable information."""
     status = date_status(F.col(expiry), pattern, as_of)
     invalid = F.try_to_date(F.col(expiry), pattern).isNull()
     reason = F.when(status == "suspicious", F.when(invalid, "invalid_date").otherwise("expired"))
-    return cases.select("case_id", F.lit("document").alias("workflow"), F.lit("dates_expiry").alias("check"), status.alias("status"), reason.alias("reason"), F.lit(None).cast("double").alias("score"))
+    return cases.select("case_id", F.lit("document").alias("workflow"), F.lit("mrz_consistency").alias("check"), status.alias("status"), reason.alias("reason"), F.lit(None).cast("double").alias("score"))
 
 
 def official_status(cases: DataFrame) -> DataFrame:

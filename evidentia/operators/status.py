@@ -9,10 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The checks of each workflow and what evidence they give.
+#: The checks of each workflow with the names they are shown under.
 CHECKS = {
-    "document": ("ocr_fields", "mrz_consistency", "dates_expiry", "tampering", "face_comparison"),
-    "media": ("generated_image", "face_manipulation", "signal_indicators", "explanations"),
+    "document": {
+        "ocr_fields": "OCR & field extraction",
+        "mrz_consistency": "MRZ & consistency",
+        "tampering": "Tampering indicators",
+        "face_verification": "Face verification",
+        "metadata_provenance": "Metadata & provenance",
+    },
+    "media": {
+        "generated_image": "AI-generated image screening",
+        "face_manipulation": "Deepfake / face manipulation",
+        "visual_forensics": "Visual forensic signals",
+        "explanations": "Explainable observations",
+    },
+}
+#: The kinds of evidence that each workflow shows.
+EVIDENCE = {
+    "document": ("Extracted fields", "MRZ observations", "Consistency issues", "Date / validity checks", "Tampering evidence", "Face comparison", "Metadata / provenance", "Recommended review action"),
+    "media": ("AI-image observations", "Deepfake observations", "Detected-face status", "Forensic signals", "Supported confidence", "Inconclusive reasons", "Unavailable checks", "Recommended review action"),
 }
 STATUSES = ("completed", "suspicious", "inconclusive", "unavailable")
 ACTIONS = {
@@ -36,8 +52,13 @@ REASONS = {
 
 
 def check_catalog(spark: SparkSession) -> DataFrame:
-    """workflow and check of all nine checks."""
-    return spark.createDataFrame([(w, c) for w, checks in CHECKS.items() for c in checks], "workflow string, check string")
+    """workflow, check and name of all nine checks."""
+    return spark.createDataFrame([(w, c, n) for w, checks in CHECKS.items() for c, n in checks.items()], "workflow string, check string, name string")
+
+
+def evidence_catalog(spark: SparkSession) -> DataFrame:
+    """workflow and kind of all sixteen kinds of evidence."""
+    return spark.createDataFrame([(w, k) for w, kinds in EVIDENCE.items() for k in kinds], "workflow string, kind string")
 
 
 def reason_texts(spark: SparkSession) -> DataFrame:
@@ -53,7 +74,7 @@ def all_checks(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Results completed by a row for each check of the case's workflow that has none: unavailable.
 
     A case's checks come from the catalogue by its workflow, an equality join with nine rows."""
-    catalog = F.broadcast(check_catalog(cases.sparkSession))
+    catalog = F.broadcast(check_catalog(cases.sparkSession).drop("name"))
     wanted = cases.select("case_id", "workflow").distinct().join(catalog, "workflow")
     found = wanted.join(results, ["case_id", "workflow", "check"], "left")
     missing = F.col("status").isNull()

@@ -54,16 +54,16 @@ def case_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.case_outcomes(results).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("manual_review").alias("n_review"))
 
 
-@query(f"SELECT check_name, status, count(*) AS n FROM (SELECT doc_id, 'tampering' AS check_name, {_STATUS} AS status FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, c, 'unavailable' FROM documents, (VALUES ('ocr_fields'), ('mrz_consistency'), ('dates_expiry'), ('face_comparison')) t(c)) GROUP BY check_name, status")
+@query(f"SELECT check_name, status, count(*) AS n FROM (SELECT doc_id, 'tampering' AS check_name, {_STATUS} AS status FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, c, 'unavailable' FROM documents, (VALUES ('ocr_fields'), ('mrz_consistency'), ('metadata_provenance'), ('face_verification')) t(c)) GROUP BY check_name, status")
 def check_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", F.lit(None).cast("string").alias("reason"))
     every = status.all_checks(results, results.select("case_id", "workflow"))
     return every.groupBy(F.col("check").alias("check_name"), "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'document' AS workflow, unnest(['ocr_fields', 'mrz_consistency', 'dates_expiry', 'tampering', 'face_comparison']) AS check_name UNION ALL SELECT 'media', unnest(['generated_image', 'face_manipulation', 'signal_indicators', 'explanations'])")
+@query("SELECT 'document' AS workflow, unnest(['ocr_fields', 'mrz_consistency', 'tampering', 'face_verification', 'metadata_provenance']) AS check_name UNION ALL SELECT 'media', unnest(['generated_image', 'face_manipulation', 'visual_forensics', 'explanations'])")
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.check_catalog(spark).withColumnRenamed("check", "check_name")
+    return status.check_catalog(spark).select("workflow", F.col("check").alias("check_name"))
 
 
 @query(f"SELECT doc_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'suspicious' THEN 'The score is above the threshold.' WHEN {_STATUS} = 'inconclusive' THEN 'The capture is too poor to judge.' WHEN {_STATUS} = 'unavailable' THEN 'The model for this check is not installed.' END AS reason_text FROM documents LEFT JOIN labels USING (doc_id)")
@@ -250,7 +250,7 @@ RESPONSES = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1, NULL, true), (2, 'No image.', true), (3, 'Backend request failed with HTTP 500.', true), (4, NULL, false), (5, NULL, true), (6, 'Backend response was not valid JSON.', true), (7, 'Backend request failed with HTTP 404.', true), (8, NULL, false), (9, NULL, true), (10, 'Backend request failed with HTTP 503.', true)) t(case_id, error, shows_panel)")
+@query("SELECT * FROM (VALUES (1, NULL, true), (2, 'No image.', true), (3, 'Backend request failed with HTTP 500.', true), (4, NULL, false), (5, NULL, true), (6, 'Backend returned a response that was not valid JSON.', true), (7, 'Backend request failed with HTTP 404.', true), (8, NULL, false), (9, NULL, true), (10, 'Backend request failed with HTTP 503.', true)) t(case_id, error, shows_panel)")
 def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(RESPONSES, "case_id int, http_status int, body string")
     rows = rows.withColumn("payload", client.response_payload(F.col("body")))
@@ -258,12 +258,12 @@ def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", "error", client.shows_panel(F.col("payload"), F.col("error")).alias("shows_panel"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = '' THEN 'Unknown browser MIME type' ELSE lang END AS type_text, CASE WHEN lang = 'en' THEN 'document' ELSE 'media' END AS route, lang <> 'de' AND trim(source) <> '' AND n_chars % 2 = 0 AS can_analyze, CASE WHEN lang <> 'de' THEN 'Ready' ELSE 'Required' END AS file_ready, CASE WHEN trim(source) <> '' THEN 'Provided' ELSE 'Required' END AS key_ready FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = '' THEN 'Unknown browser MIME type' ELSE lang END AS type_text, CASE WHEN lang = 'en' THEN 'document' ELSE 'media' END AS route, lang <> 'de' AND trim(source) <> '' AND n_chars % 2 = 0 AS can_analyze, CASE WHEN lang <> 'de' THEN 'Ready' ELSE 'Required' END AS file_ready, CASE WHEN trim(source) <> '' THEN 'Provided' ELSE 'Required' END AS key_ready, CASE WHEN lang = 'en' THEN 'Online' ELSE 'Not checked' END AS connection_text FROM documents")
 def file_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("lang") != "de").alias("has_file"), F.col("source").alias("api_key"), F.lit("unknown").alias("connection"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("lang") != "de").alias("has_file"), F.col("source").alias("api_key"), F.when(F.col("lang") == "en", "online").otherwise("unknown").alias("connection"))
     workflow = F.when(F.col("lang") == "en", "document").otherwise("media")
     running = F.when(F.col("n_chars") % 2 == 0, "idle").otherwise("running")
-    return client.readiness(docs).select("doc_id", client.file_type(F.col("lang")).alias("type_text"), client.route(workflow).alias("route"), client.can_analyze(F.col("has_file"), F.col("api_key"), running).alias("can_analyze"), "file_ready", "key_ready")
+    return client.readiness(docs).select("doc_id", client.file_type(F.col("lang")).alias("type_text"), client.route(workflow).alias("route"), client.can_analyze(F.col("has_file"), F.col("api_key"), running).alias("can_analyze"), "file_ready", "key_ready", "connection_text")
 
 
 @query(f"SELECT lang, sum((f AND toxic = 1)::INT)::BIGINT AS tp, sum((f AND toxic = 0)::INT)::BIGINT AS fp, sum((NOT f AND NOT a AND toxic = 0)::INT)::BIGINT AS tn, sum((NOT f AND NOT a AND toxic = 1)::INT)::BIGINT AS fn, sum(a::INT)::BIGINT AS abstained FROM (SELECT lang, toxic, n_chars < 1000 AND toxic IS NOT NULL AS f, toxic IS NULL AS a FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang")

@@ -107,6 +107,7 @@ def test_missing_checks_are_unavailable(spark):
 
 def test_screenings(spark):
     cases = spark.createDataFrame([(1, None, None)], "case_id int, text string, expiry string")
+    assert {len(v) for v in status.CHECKS.values()} == {4, 5} and status.evidence_catalog(spark).count() == 16
     assert {r["status"] for r in screen_documents(cases, F.lit("2024-01-01").cast("date")).collect()} == {"unavailable"}
     media = spark.createDataFrame([(1, b"x", True), (2, b"x", False)], "case_id int, content binary, face_found boolean")
     bright = lambda: (lambda batch: np.full(len(batch), 0.9))
