@@ -28,14 +28,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WHITE, let, words
+from evidentia.llm.common import WHITE, let, sieve, sieved
 from evidentia.plans.staging import staged
 
 #: Hash buckets in which word frequencies are counted: 2 ** BUCKET_BITS.
 BUCKET_BITS = 18
 _REST = 63 - BUCKET_BITS
-#: Bits of the filter that tells which sets are to be verified.
-FILTER_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -45,7 +43,7 @@ class LineMatching:
 
     similarity: float = 0.8
     least_words: int = 5
-    hot: int = 200
+    hot: int = 100
     rounds: int = 3
 
 
@@ -60,144 +58,154 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     by_count = F.sort_array(F.collect_list(F.struct("n", "bucket")))
     ordered = whole.agg(by_count.alias("s")).select(F.posexplode("s").alias("rank", "s"))
-    ranks = ordered.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("s.bucket").alias("bucket"), "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return staged(ranks, "line_word_ranks")
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("s.bucket").alias("bucket"), F.shiftleft(F.col("rank").cast("long"), _REST).alias("rank"))))
+    return staged(ordered.agg(F.transform(pairs, lambda x: x["rank"]).alias("ranks")), "line_word_ranks")
 
 
-def word_set(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as numbers, rarest first: rank of the bucket, then other hash bits."""
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-
-    def number(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, _REST).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS).bitwiseAND(F.lit((1 << _REST) - 1)))
+def split_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no (from 0) and line of every line."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The lines with ``own`` in the place of their text: the distinct words as numbers, rarest first.
+
+    A number is the rank of the word's bucket, then 45 other bits of its hash. Each step is a
+    projection of its own, so that all but the two small lambdas are compiled."""
+    line = F.col("line")
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    spaced = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+    keep = [c for c in lines.columns if c != "line"]
+    split = lines.select(*keep, F.split(spaced, " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"))
+    hashes = F.array_remove(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    number = lambda h, r: F.get(r, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")).bitwiseXOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
+    numbers = let(F.col("ranks"), lambda r: F.transform(hashes, lambda h: number(h, r)))
+    return split.select(*keep, numbers.alias("own")).select(*keep, F.sort_array("own").alias("own"))
+
+
+def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
+    """Every line: where it is, n, the two keys of its word set, the rarest words, the parity map."""
+    own = word_sets(split_lines(documents), ranks)
+    length = F.size("own") - F.ceil(F.size("own") * rule.similarity - 1e-9) + 1
+    prefix = F.transform(F.slice("own", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: F.hash(x))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return own.select("doc_id", "text_hash", "line_no", F.size("own").alias("n"), F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), prefix.alias("prefix"), parity.alias("parity"))
 
-    return F.sort_array(F.transform(hashes, number))
 
-
-def lines(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
-    """doc_id, text_hash, line_no, own (its word set), n, and the set's two keys."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # The ranks are a scalar subquery, read once for each task and bound once for each text.
-    known = documents.select("doc_id", text.alias("text"), ranks.select("ranks").scalar().alias("ranks"))
-    sets = let(F.col("ranks"), lambda r: F.transform(F.split("text", "\n"), lambda line: word_set(line, r)))
-    by_text = known.select("doc_id", F.xxhash64("text").alias("text_hash"), sets.alias("sets"))
-    own = by_text.select("doc_id", "text_hash", F.posexplode("sets").alias("line_no", "own"))
-    own = own.withColumn("n", F.size("own")).filter(F.col("n") >= rule.least_words)
-    return own.withColumns({"k1": F.xxhash64("own"), "k2": F.xxhash64("own", F.lit(1))})
+def line_sets(keys: DataFrame, rule: LineMatching) -> DataFrame:
+    """One row for each word set. ``sid`` numbers the sets in the order of their first lines."""
+    at = F.struct("doc_id", "text_hash", "line_no")
+    eligible = keys.filter(F.col("n") >= rule.least_words)
+    sets = eligible.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    return sets.orderBy("first").withColumn("sid", F.monotonically_increasing_id())
 
 
 def overlap_needed(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def line_sets(found: DataFrame, rule: LineMatching) -> DataFrame:
-    """One row for each word set: keys, its first line, the shared-word prefix and the parity map."""
-    t = rule.similarity
-    length = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
-    prefix = F.transform(F.slice("own", F.lit(1), length.cast("int")), lambda x: F.hash(x))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    rows = found.select("k1", "k2", F.struct("doc_id", "text_hash", "line_no").alias("at"), "n", prefix.alias("prefix"), parity.alias("parity"))
-    return rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-
+def _may_match(t: float) -> tuple[Column, Column]:
+    """Whether rows a and b that share a word may match, and the least possible difference.
 
-def _may_match(a: str, b: str, t: float) -> Column:
-    """Length, positional and parity filters for the rows a and b that share a prefix word."""
+    Length, positional and parity filters."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    n, m = c(a, "n"), c(b, "n")
+    n, m = c("a", "n"), c("b", "n")
     need = overlap_needed(n, m, t)
     length = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
-    positional = F.least(n - c(a, "pos"), m - c(b, "pos")) >= need
-    parity = F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) <= n + m - 2 * need
-    return length & positional & parity
+    positional = F.least(n - c("a", "pos"), m - c("b", "pos")) >= need
+    apart = F.bit_count(c("a", "parity").bitwiseXOR(c("b", "parity")))
+    return (c("a", "word") == c("b", "word")) & length & positional & (apart <= n + m - 2 * need), apart
+
+
+def _candidates(a: DataFrame, b: DataFrame, t: float) -> DataFrame:
+    """(later, earlier, apart) of rows of a and earlier rows of b that may match."""
+    may, apart = _may_match(t)
+    met = a.alias("a").join(b.alias("b"), may & (F.col("b.sid") < F.col("a.sid")))
+    return met.select(F.col("a.sid").alias("later"), F.col("b.sid").alias("earlier"), apart.alias("apart")).distinct()
+
+
+def _with_candidates(rows: DataFrame, t: float) -> DataFrame:
+    """The rows that may match any other, earlier or later. A row is done with its first; no pairs are made."""
+    may, _ = _may_match(t)
+    return rows.alias("a").join(rows.alias("b"), may & (F.col("a.sid") != F.col("b.sid")), "left_semi")
 
 
 class _Verifier:
     """Word sets of the sets in question, fetched from the documents once."""
 
-    def __init__(self, documents: DataFrame, ranks: DataFrame, wanted: DataFrame, rule: LineMatching):
-        # A bit for each wanted key, in a map of fixed size: what is not wanted stays where it is read.
-        spot = F.pmod(F.col("k1"), F.lit(FILTER_BITS))
-        bits = wanted.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
-        bits = staged(bits, "line_filter")
-        some = lines(documents, ranks, rule).select("k1", "k2", "own").withColumn("bucket", F.bitmap_bucket_number(spot))
-        place = F.bitmap_bit_position(spot)
-        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        some = some.join(F.broadcast(bits), "bucket").filter(hit)
-        one = some.groupBy("k1", "k2").agg(F.first("own").alias("own"))
-        self.sets = staged(one.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "line_sets_verified")
-        self.t = rule.similarity
-
-    def true(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a1, a2, b1, b2, ...), those that match."""
-        a = self.sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("own").alias("own_a"))
-        b = self.sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("own").alias("own_b"))
-        both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    def __init__(self, documents: DataFrame, ranks: DataFrame, sets: DataFrame, wanted: DataFrame, rule: LineMatching):
+        where = staged(sets.select("sid", "first.*").join(wanted.select("sid").distinct(), "sid", "left_semi"), "line_wanted")
+        # Documents, then lines, without a wanted set stay where they are read.
+        some = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+        some = sieved(some, sieve(where.select(F.xxhash64("doc_id", "text_hash").alias("h")), "line_sieve_documents"), F.xxhash64("doc_id", "hash"))
+        spot = F.xxhash64("doc_id", "text_hash", "line_no")
+        lines = sieved(split_lines(some), sieve(where.select(spot.alias("h")), "line_sieve_lines"), spot)
+        own = word_sets(lines, ranks).alias("o")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "text_hash", "line_no")]
+        found = own.join(where.alias("w"), same[0] & same[1] & same[2]).groupBy("w.sid").agg(F.first("o.own").alias("own"))
+        self.sets, self.t = staged(found, "line_verified"), rule.similarity
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """``sid`` of the later set of each pair that matches."""
+        a = self.sets.select(F.col("sid").alias("later"), F.col("own").alias("own_a"))
+        b = self.sets.select(F.col("sid").alias("earlier"), F.col("own").alias("own_b"))
+        both = pairs.select("later", "earlier").join(b, "earlier").join(a, "later")
         common = F.size(F.array_intersect("own_a", "own_b"))
-        return both.filter(common >= overlap_needed(F.size("own_a"), F.size("own_b"), self.t)).drop("own_a", "own_b")
+        return both.filter(common >= overlap_needed(F.size("own_a"), F.size("own_b"), self.t)).select(F.col("later").alias("sid")).distinct()
+
+    def likeliest_first(self, pairs: DataFrame) -> DataFrame:
+        """The same, but each later set first meets the earlier one least apart from it.
+
+        Only those that this does not decide meet all their others."""
+        best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+        decided = staged(self.later(best), "line_decided")
+        rest = pairs.join(decided.withColumnRenamed("sid", "later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+        return staged(decided.union(self.later(rest)), "line_decided")
 
 
 def matched_sets(documents: DataFrame, ranks: DataFrame, sets: DataFrame, rule: LineMatching) -> DataFrame:
-    """k1, k2 of the sets that match a set whose first line is earlier."""
-    t = rule.similarity
-    rows = sets.select("k1", "k2", "first", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-    slim = rows.select("word", "k1", "k2", "n", "pos", "parity")
-    shared = slim.groupBy("word").agg(F.count("*").alias("f")).filter("f > 1")
-
-    light = shared.filter(F.col("f") <= rule.hot).select("word")
-    left = slim.join(light, "word")
-    order = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
-    pairs = left.alias("a").join(slim.alias("b"), (F.col("a.word") == F.col("b.word")) & order & _may_match("a", "b", t))
-    pairs = pairs.select(*[F.col(f"{s}.k{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)]).distinct()
-    pairs = staged(pairs, "line_pairs")
-
-    hot = staged(rows.join(shared.filter(F.col("f") > rule.hot).select("word"), "word"), "line_hot_words")
-    keys = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).union(hot.select("k1", "k2"))
-    verify = _Verifier(documents, ranks, keys, rule)
-
-    at = sets.select("k1", "k2", "first")
-    ends = verify.true(pairs)
-    for s in "ab":
-        ends = ends.join(at.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("first").alias(f"first_{s}")), [f"{s}1", f"{s}2"])
-    a_later = F.col("first_a") > F.col("first_b")
-    later = ends.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("k1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("k2"))
-    decided = staged(later.distinct(), "line_decided")
+    """``sid`` of the sets that match an earlier set."""
+    rows = sets.select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    shared = rows.groupBy("word").agg(F.count("*").alias("f")).filter("f > 1")
+    light = rows.join(shared.filter(F.col("f") <= rule.hot).select("word"), "word")
+    pairs = staged(_candidates(light, rows, rule.similarity), "line_pairs")
+    hot = staged(_with_candidates(rows.join(shared.filter(F.col("f") > rule.hot).select("word"), "word"), rule.similarity), "line_hot_words")
+    wanted = pairs.select(F.col("later").alias("sid")).union(pairs.select("earlier")).union(hot.select("sid"))
+    verify = _Verifier(documents, ranks, sets, wanted, rule)
+    decided = verify.likeliest_first(pairs)
     if hot.isEmpty():
         return decided
 
-    def met(probers: DataFrame, others: DataFrame) -> DataFrame:
-        """The probers (of hot words) that match one of the others that is earlier."""
-        found = probers.alias("a").join(others.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & _may_match("a", "b", t))
-        found = found.select(*[F.col(f"{s}.k{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)]).distinct()
-        return verify.true(found).select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct()
-
     tried = None
     for _ in range(rule.rounds):
-        open_ = hot.join(decided, ["k1", "k2"], "left_anti")
-        asked = open_ if tried is None else open_.join(tried, ["word", "k1", "k2"], "left_anti")
-        pivots = staged(asked.groupBy("word").agg(F.min(F.struct("first", "k1", "k2", "n", "pos", "parity")).alias("p")).select("word", "p.*"), "line_pivots")
-        mine = pivots.select("word", "k1", "k2")
+        undecided = hot.join(decided, "sid", "left_anti")
+        asked = undecided if tried is None else undecided.join(tried, ["word", "sid"], "left_anti")
+        pivots = staged(asked.groupBy("word").agg(F.min(F.struct("sid", "n", "parity", "pos")).alias("p")).select("word", "p.*"), "line_pivots")
+        mine = pivots.select("word", "sid")
         tried = mine if tried is None else tried.union(mine)
-        decided = staged(decided.union(met(open_, pivots)).distinct(), "line_decided")
-    open_ = hot.join(decided, ["k1", "k2"], "left_anti")
-    return staged(decided.union(met(open_, hot)).distinct(), "line_decided")
+        decided = staged(decided.union(verify.later(_candidates(undecided, pivots, rule.similarity))), "line_decided")
+    rest = staged(_candidates(hot.join(decided, "sid", "left_anti"), hot, rule.similarity), "line_pairs")
+    return staged(decided.union(verify.likeliest_first(rest)), "line_decided")
 
 
 def duplicate_lines(documents: DataFrame, rule: LineMatching = LineMatching()) -> DataFrame:
     """doc_id, text_hash and ``removed``, the numbers (from 0) of the lines that go, where there are any."""
     ranks = word_ranks(documents)
-    sets = staged(line_sets(lines(documents, ranks, rule), rule), "line_sets")
-    gone = matched_sets(documents, ranks, sets, rule).select("k1", "k2", F.lit(True).alias("gone"))
-    verdict = sets.select("k1", "k2", "first").join(gone, ["k1", "k2"], "left")
-    at = lines(documents, ranks, rule).select("doc_id", "text_hash", "line_no", "k1", "k2")
+    keys = staged(line_keys(documents, ranks, rule), "line_keys")
+    sets = staged(line_sets(keys, rule), "line_sets")
+    gone = matched_sets(documents, ranks, sets, rule).distinct().withColumn("gone", F.lit(True))
+    verdict = sets.select("sid", "k1", "k2", "first").join(gone, "sid", "left").drop("sid")
+    at = keys.filter(F.col("n") >= rule.least_words).select("doc_id", "text_hash", "line_no", "k1", "k2")
     judged = at.join(verdict, ["k1", "k2"]).filter(F.col("gone") | (F.struct("doc_id", "text_hash", "line_no") > F.col("first")))
     return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(documents: DataFrame, rule: LineMatching = LineMatching()) -> DataFrame:
-    """The documents, each with the lines that stay, and ``removed``, the numbers of those that went."""
+    """The documents, each with the lines that stay, and ``removed``, the numbers of those that went.
+
+    A column of the documents that is called ``removed`` gives way."""
     removed = staged(duplicate_lines(documents, rule), "line_removed")
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(*[F.col(c) for c in documents.columns])
@@ -205,4 +213,4 @@ def line_dedup(documents: DataFrame, rule: LineMatching = LineMatching()) -> Dat
     met = rows.join(removed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     kept = lambda removed: F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")
     new = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept(F.col("removed")))
-    return met.select(*[new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return met.select(*[new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns if c != "removed"], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

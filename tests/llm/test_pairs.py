@@ -53,13 +53,13 @@ def brute_lines(texts, least=5):
 @pytest.mark.parametrize("hot", [100, 3])
 def test_lines_equal_brute_force(documents, hot):
     texts = [*some_lines(1), *ODD, "a\tb c  d e\x0bf", "f e d c b a", "a b c d e f"]
-    found = line_dedup(documents(texts, removed_by="x"), LineMatching(hot=hot)).collect()
+    found = line_dedup(documents(texts, removed="clash", own="x"), LineMatching(hot=hot)).collect()
     expected = brute_lines(texts)
     assert {r["doc_id"]: r["removed"] for r in found} == dict(enumerate(expected))
     for r in found:
         text = texts[r["doc_id"]]
         kept = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[r["doc_id"]])
-        assert r["text"] == kept and r["removed_by"] == "x"
+        assert r["text"] == kept and r["own"] == "x"
 
 
 def test_lines_of_repeated_rows_and_none(documents):
