@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.common import table
 from evidentia.llm.decontamination import without_leaks
-from evidentia.llm.line_dedup import line_dedup
+from evidentia.llm.line_dedup import ALL_LINES, line_dedup
 from evidentia.llm.ngram_join import one_of_each_group
 from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.queries import tokenizer_path
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; so do documents that had words and keep none."""
-    kept = line_dedup(docs)
+    kept = line_dedup(docs, ALL_LINES)
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = kept.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

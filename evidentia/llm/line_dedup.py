@@ -15,8 +15,11 @@ different sets share (thousands of variants of one passage) would still pair the
 words go by rounds: each set still undecided meets only the earliest undecided set of its word,
 and those that match are decided. After the rounds, the undecided rest meets all earlier sets.
 
+A set of few words (under four at 0.8) matches equal sets only; it has its row, but joins nobody.
+
 Only DataFrame functions are used. Words are compared by 63-bit hashes. Defined results: lines
-with fewer than ``least_words`` different words are never removed and never match; a null text
+with fewer than ``least_words`` different words are never removed and never match; ``ALL_LINES``,
+which the query and the pipeline use, leaves out only lines without a word; a null text
 has one empty line; rows that agree in id and text are one document, and each gets its result;
 documents under one id that differ are ordered by the hash of their text; null ids come first.
 """
@@ -47,6 +50,10 @@ class LineMatching:
     rounds: int = 3
 
 
+#: Every line that has a word takes part.
+ALL_LINES = LineMatching(least_words=1)
+
+
 def word_ranks(documents: DataFrame) -> DataFrame:
     """One row, ``ranks``: for each hash bucket its place in the order of frequency, rarest first.
 
@@ -167,7 +174,9 @@ class _Verifier:
 
 def matched_sets(documents: DataFrame, ranks: DataFrame, sets: DataFrame, rule: LineMatching) -> DataFrame:
     """``sid`` of the sets that match an earlier set."""
-    rows = sets.select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    # n words match n + 1 at best: below this size only equal sets match, and they are one row.
+    meets = F.col("n") >= rule.similarity / (1 - rule.similarity) - 1e-9 if rule.similarity < 1 else F.lit(False)
+    rows = sets.filter(meets).select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
     shared = rows.groupBy("word").agg(F.count("*").alias("f")).filter("f > 1")
     light = rows.join(shared.filter(F.col("f") <= rule.hot).select("word"), "word")
     pairs = staged(_candidates(light, rows, rule.similarity), "line_pairs")
