@@ -1,4 +1,4 @@
-"""Benchmark decontamination: documents that hold a benchmark item, up to a few edits.
+"""Benchmark decontamination: documents that hold a benchmark item or most of one, up to a few edits.
 
 Texts and items are compared as lower-case words joined by single spaces. An item of n characters
 may differ by ``rate * n`` edits. It is cut into one piece more than that budget; edits can spoil
@@ -7,6 +7,12 @@ all pieces of all items in a single pass over a text. Around each hit Myers' bit
 distance, with a free start and end, decides; windows of one item that overlap are joined first,
 so no stretch of text is compared twice with an item.
 
+An item may stand in a document in part only, as where a deduplication took single lines out of it.
+So the lines of an item, long ones cut at words, are searched as well, each with its own pieces and
+budget. A document holds the item too if the segments it holds make up more than ``share`` of the
+characters of all segments, wherever they stand. The distance reported for such a part is that of
+the segments found plus the characters of those missing, and above the budget of the whole item.
+
 The benchmark is the query set: it is read block by block, each of a fixed size, and every block
 meets all documents in a pass of its own without a shuffle. Defined results: null or empty items
 are never found; items under ``shortest`` characters only match documents that are nothing else;
@@ -33,11 +39,14 @@ _WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class EditMatching:
     """rate: edits for each character of an item. shortest: see above. block_chars: characters of
-    items that are searched in one pass."""
+    items that are searched in one pass. segment: characters a segment of a long line has at least.
+    share: see above."""
 
     rate: float = 0.08
     shortest: int = 20
     block_chars: int = 4_000_000
+    segment: int = 60
+    share: float = 0.5
 
 
 def normal(text: str | None) -> str:
@@ -50,6 +59,26 @@ def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     return [(length * j // n, length * (j + 1) // n) for j in range(n)]
 
 
+def segments(text: str, rule: EditMatching) -> list[str]:
+    """The lines of an item, normalised; short ones joined to the next, long ones cut at words."""
+    joined: list[str] = []
+    for line in filter(None, map(normal, text.split("\n"))):
+        if joined and len(joined[-1]) < rule.shortest:
+            joined[-1] += " " + line
+        else:
+            joined.append(line)
+    if len(joined) > 1 and len(joined[-1]) < rule.shortest:
+        last = joined.pop()
+        joined[-1] += " " + last
+    found = []
+    for line in joined:
+        while len(line) >= 2 * rule.segment and 0 < (cut := line.find(" ", rule.segment)) < len(line) - rule.segment:
+            found.append(line[:cut])
+            line = line[cut + 1 :]
+        found.append(line)
+    return found
+
+
 def least_distance(masks: dict[str, int], length: int, text: str, most: int) -> int:
     """The least edit distance between the item and any part of ``text``; above ``most``, most + 1."""
     full, high = (1 << length) - 1, 1 << (length - 1)
@@ -79,28 +108,43 @@ class Matcher:
     """Finds the items of one block. items: (id, text)."""
 
     def __init__(self, items: tuple[tuple[object, str], ...], rule: EditMatching):
-        self.items, self.whole = [], {}
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.items, self.whole, self.rule = [], {}, rule
+        #: (item id, budget, places of its segments in ``items``, their characters) of items of several.
+        self.parts: list[tuple[object, int, list[int], int]] = []
+        self.found: dict[str, list[tuple[int, int]]] = {}
+        known: dict[str, int] = {}
         for key, text in items:
             item = normal(text)
             if 0 < len(item) < rule.shortest:
                 self.whole.setdefault(item, []).append(key)
             elif item:
-                budget = int(rule.rate * len(item))
-                masks: dict[str, int] = {}
-                for i, c in enumerate(item):
-                    masks[c] = masks.get(c, 0) | 1 << i
-                for start, stop in pieces(len(item), budget):
-                    found.setdefault(item[start:stop], []).append((len(self.items), start))
-                self.items.append((key, len(item), budget, masks))
+                self._add(key, item)
+                cut = segments(text, rule)
+                if len(cut) > 1:
+                    # Segments are no items of their own; equal ones are searched once.
+                    for s in cut:
+                        if s not in known:
+                            known[s] = self._add(None, s, part=True)
+                    self.parts.append((key, int(rule.rate * len(item)), [known[s] for s in cut], sum(map(len, cut))))
+        found = self.found
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
         if found:
             self.automaton.make_automaton()
 
+    def _add(self, key: object, item: str, part: bool = False) -> int:
+        budget = int(self.rule.rate * len(item))
+        masks: dict[str, int] = {}
+        for i, c in enumerate(item):
+            masks[c] = masks.get(c, 0) | 1 << i
+        for start, stop in pieces(len(item), budget):
+            self.found.setdefault(item[start:stop], []).append((len(self.items), start))
+        self.items.append((key, len(item), budget, masks, part))
+        return len(self.items) - 1
+
     def leaks(self, text: str | None) -> list[tuple[object, int]]:
-        """(item id, distance) of the items that the text holds."""
+        """(item id, distance) of the items that the text holds whole or for the most part."""
         own = normal(text)
         found = {key: 0 for key in self.whole.get(own, ())}
         if not self.items or not own:
@@ -108,7 +152,7 @@ class Matcher:
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(own):
             for i, start in places:
-                _, length, budget, _ = self.items[i]
+                _, length, budget, _, _ = self.items[i]
                 at = end + 1 - size - start
                 low, high = max(0, at - budget), min(len(own), at + length + budget)
                 spans = windows.setdefault(i, [])
@@ -117,13 +161,21 @@ class Matcher:
                     last = spans.pop()
                     low, high = min(low, last[0]), max(high, last[1])
                 spans.append((low, high))
+        held: dict[int, int] = {}
         for i, spans in windows.items():
-            key, length, budget, masks = self.items[i]
+            key, length, budget, masks, part = self.items[i]
             best = budget + 1
             for low, high in spans:
                 best = min(best, least_distance(masks, length, own[low:high], budget))
-            if best <= budget:
+            if best <= budget and part:
+                held[i] = best
+            elif best <= budget:
                 found[key] = min(best, found.get(key, best))
+        for key, budget, places, chars in self.parts if held else ():
+            missing = sum(self.items[i][1] for i in places if i not in held)
+            if chars - missing > self.rule.share * chars:
+                apart = max(budget + 1, missing + sum(held.get(i, 0) for i in places))
+                found[key] = min(apart, found.get(key, apart))
         return list(found.items())
 
 

@@ -1,10 +1,11 @@
 """The registered queries and the pipeline leave nothing out."""
 
 import corpus_pipeline
+from evidentia.llm import decontamination as decon
 from evidentia.llm import queries
 from evidentia.llm.line_dedup import ALL_LINES, LineMatching, line_dedup
 from tests.llm.conftest import ODD
-from tests.llm.test_pairs import brute_lines, some_lines
+from tests.llm.test_pairs import VOCABULARY, brute_lines, some_lines
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +27,34 @@ def test_op1_and_its_stage_take_every_line_with_a_word(spark):
     for r in corpus_pipeline.dedup_lines(spark, docs, DATA).collect():
         text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
         assert r["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[r["doc_id"]])
+
+
+def test_most_of_an_item_is_found(spark, documents):
+    first, second, third = (" ".join(VOCABULARY[k : k + 20]) for k in (0, 20, 40))
+    long = " ".join(VOCABULARY[100:180])
+    items = [(1, f"{first}\n{second}\n{third}"), (2, long), (3, f"ab cd\n{third}")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    middle = " ".join(VOCABULARY[110:170])
+    texts = [
+        f"new words here {first}\nother words {third.replace('w45', 'w4x')}",  # a line taken out of item 1
+        f"{first} and no more of it",
+        f"before {middle} after",
+        " ".join(VOCABULARY[100:125]),
+        items[0][1],
+        "nothing of it",
+        None,
+    ]
+    docs = documents(texts)
+    found = {r["doc_id"]: {x["item_id"]: x["distance"] for x in r["leaks"]} for r in decon.benchmark_leaks(docs, benchmark).collect()}
+    assert set(found[0]) == {1, 3} and found[0][1] == len(second) + 1
+    assert 1 not in found[1] and set(found[2]) == {2} and found[3] == {} and found[4][1] == 0 and found[5] == found[6] == {}
+    assert found[2][2] > int(0.08 * len(long))
+    assert sorted(r["doc_id"] for r in decon.without_leaks(docs, benchmark).collect()) == [1, 3, 5, 6]
+
+
+def test_segments_hold_every_word():
+    rule = decon.EditMatching()
+    for text in ("a\nb", "a b c\n" + " ".join(VOCABULARY[:90]) + "\n\nx", "x" * 500, " ".join(VOCABULARY)):
+        cut = decon.segments(text, rule)
+        assert " ".join(cut) == decon.normal(text)
+        assert all(len(s) >= rule.shortest for s in cut) or len(cut) == 1
