@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 
 def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
@@ -40,17 +47,82 @@ def missing_records(artifacts: DataFrame, registry: DataFrame, digest: str = "di
     return artifacts.join(complete, digest, "left_anti")
 
 
-def benchmark_contained(documents: DataFrame, benchmark: DataFrame, most_items: int = 20_000) -> DataFrame:
+#: Characters of benchmark items that are searched in one pass over the documents.
+BLOCK_CHARS = 2_000_000
+
+
+class _Block:
+    """The items of one block. Equal texts are one pattern; ``places`` are numbers of items."""
+
+    def __init__(self, texts: tuple[str, ...]):
+        places: dict[str, list[int]] = {}
+        for i, text in enumerate(texts):
+            places.setdefault(text, []).append(i)
+        #: The empty text is in every text, and no pattern of an automaton.
+        self.empty = places.pop("", [])
+        self.automaton = ahocorasick.Automaton()
+        for text, own in places.items():
+            self.automaton.add_word(text, own)
+        if places:
+            self.automaton.make_automaton()
+        self.any = bool(places)
+
+    def held(self, text: str) -> list[int]:
+        """Numbers of the items whose text stands in ``text``, each once."""
+        found = {own[0]: own for _, own in self.automaton.iter(text)} if self.any else {}
+        return self.empty + [i for own in found.values() for i in own]
+
+
+@functools.lru_cache(maxsize=1)
+def _block(texts: tuple[str, ...]) -> _Block:
+    return _Block(texts)
+
+
+def _blocks(items: DataFrame, chars: int) -> Iterator[list[Row]]:
+    """Rows of (item_id, item) in blocks of about so many characters; the driver holds one partition."""
+    block, size = [], 0
+    for row in items.filter("item is not null").toLocalIterator():
+        block.append(row)
+        size += len(row["item"])
+        if size >= chars or len(block) >= chars // 20:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def benchmark_contained(documents: DataFrame, benchmark: DataFrame, most_items: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) of items whose whole text stands in a document.
 
-    The items are broadcast where there are few; more are refused, for every document meets every
-    item here."""
+    Every block of items meets all documents in a pass of its own, with one automaton and no shuffle.
+    Null texts and items hold nothing; repeated rows on either side each give a row. ``most_items``:
+    a caller may have more than so many items refused; by default none are."""
     items = benchmark.select("item_id", F.col("text").alias("item"))
-    n = items.limit(most_items + 1).count()
-    if n > most_items:
-        raise ValueError(f"more than {most_items} items; search them in blocks")
-    found = documents.select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item"))
-    return found.select("doc_id", "item_id")
+    if most_items is not None and items.limit(most_items + 1).count() > most_items:
+        raise ValueError(f"more than {most_items} items")
+    texts = documents.select("doc_id", "text")
+    schema = StructType([StructField("doc_id", texts.schema["doc_id"].dataType), StructField("item_id", items.schema["item_id"].dataType)])
+    context, kind = documents.sparkSession.sparkContext, to_arrow_type(schema["item_id"].dataType)
+    found = texts.sparkSession.createDataFrame([], schema)
+    for block in _blocks(items, block_chars):
+        sent = context.broadcast((tuple(r["item_id"] for r in block), tuple(r["item"] for r in block)))
+        found = found.union(texts.mapInArrow(_finding(sent, kind), schema))
+    return found
+
+
+def _finding(sent, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, items = sent.value
+        finder, ids = _block(items), pa.array(keys, kind)
+        for batch in batches:
+            at, which = [], []
+            for k, text in enumerate(batch.column(1)):
+                held = finder.held(text.as_py()) if text.is_valid else []
+                at += [k] * len(held)
+                which += held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), ids.take(pa.array(which, pa.int64()))], ["doc_id", "item_id"])
+
+    return run
 
 
 def class_counts(rows: DataFrame, levels: list[str]) -> DataFrame:
