@@ -286,7 +286,8 @@ def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> DataFrame:
     """One row for each document: doc_id, text_key (of its text), class_id (the least id of its group
-    of linked texts), n_copies (rows with its text) and n_links (other texts as similar as asked)."""
+    of linked texts), n_copies (rows with its text), n_links (other texts as similar as asked) and root
+    (the least text_key of the group, which tells groups apart where ids repeat or are null)."""
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = documents.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
@@ -323,18 +324,17 @@ def near_duplicates(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> Data
     counts = true.groupBy(F.col("b").alias("key")).agg(F.sum("links").alias("n_links"))
     named = linked.join(counts, "key", "left").withColumnRenamed("key", "text_key").join(classes.select("text_key", "first_id"), "text_key")
     least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(least, "root").select("text_key", "class_id", "n_links")
+    named = named.join(least, "root").select("text_key", "root", "class_id", "n_links")
     every = classes.select("text_key", "first_id", "n_copies").join(named, "text_key", "left")
-    every = every.select("text_key", F.coalesce("class_id", "first_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "text_key").join(staged(every, "ngram_groups"), "text_key").select("doc_id", "text_key", "class_id", "n_copies", "n_links")
+    every = every.select("text_key", F.coalesce("class_id", "first_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "text_key").alias("root"))
+    return signed.select("doc_id", "text_key").join(staged(every, "ngram_groups"), "text_key").select("doc_id", "text_key", "class_id", "n_copies", "n_links", "root")
 
 
 def one_of_each_group(documents: DataFrame, rule: NgramJoin = NgramJoin()) -> DataFrame:
     """The documents without near duplicates: of each group one row with its least id stays."""
     groups = near_duplicates(documents, rule)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("class_id", "text_key").groupBy("class_id").agg(F.min("text_key").alias("text_key"))
-    nameless = groups.filter("class_id is null").groupBy("text_key").agg(F.first("class_id").alias("class_id")).select("class_id", "text_key")
-    first = staged(first.filter("class_id is not null").unionByName(nameless), "ngram_kept")
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root", "class_id").agg(F.min("text_key").alias("text_key"))
+    first = staged(first.select("class_id", "text_key"), "ngram_kept")
     key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
     kept = rows.join(first, F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("text_key")), "left_semi")

@@ -4,6 +4,7 @@ import corpus_pipeline
 from evidentia.llm import decontamination as decon
 from evidentia.llm import queries
 from evidentia.llm.line_dedup import ALL_LINES, LineMatching, line_dedup
+from evidentia.llm.ngram_join import one_of_each_group
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import VOCABULARY, brute_lines, some_lines
 
@@ -58,3 +59,13 @@ def test_segments_hold_every_word():
         cut = decon.segments(text, rule)
         assert " ".join(cut) == decon.normal(text)
         assert all(len(s) >= rule.shortest for s in cut) or len(cut) == 1
+
+
+def test_one_of_each_group_where_ids_repeat_or_are_null(documents):
+    words = [f"{c}{i}" for c in "ab" for i in range(80)]
+    one, two = " ".join(words[:80]), " ".join(words[80:])
+    near = lambda text: text + " more"
+    kept = one_of_each_group(documents([(7, one), (7, two), (8, near(two)), (9, near(one))])).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one, two])
+    kept = one_of_each_group(documents([(None, one), (None, near(one)), (None, two), (5, near(two))])).collect()
+    assert len(kept) == 2 and {r["doc_id"] for r in kept} == {None, 5}
