@@ -6,22 +6,33 @@ any line before it, in the order of (doc_id, line number), matches. The exact se
 * Words are ordered by rarity. Frequencies over the whole corpus are counted in a fixed number of
   hash buckets, so the order fits in one small array; it sorts words the same way in every line.
 * Two sets that match share one of the rarest few words of each (prefix filter), agree in size
-  (length filter), and have enough words left behind the shared one (positional filter). A 64-bit
-  parity map of the words bounds their difference from below, which drops nearly all other pairs.
-* What is left is verified on all words.
-
-Equal sets are one row from the start, so copies of a line meet nobody. A rare word that many
-different sets share (thousands of variants of one passage) would still pair them all; such hot
-words go by rounds: each set still undecided meets only the earliest undecided set of its word,
-and those that match are decided. After the rounds, the undecided rest meets all earlier sets.
+  (length filter), and have enough words left behind the shared one (positional filter). The
+  smaller of the two has the shared word among still fewer (index prefix). A 64-bit parity map of
+  the words bounds their difference from below, which drops nearly all other pairs.
+* What is left is verified on all words: first each set against the earlier one that seems least
+  apart, then only those that this does not decide against all their others.
+
+Equal sets are one row from the start, so copies of a line meet nobody. Three things keep a word
+that many sets share from pairing them all:
+
+* Variants of one passage first meet only the earliest set that has one of their rarest words, where
+  there is a crowd. Most match it and are decided; two decided sets are never compared again.
+* A word that stands out as frequent is no key by itself. Sets that match and share no other word of
+  their prefixes share two words of prefixes longer by one, the first of them in the plain prefix; so
+  the keys of frequent words are pairs. Long lines (over ``pairs_up_to`` words) would have too many
+  pairs and keep single words.
+* Sets that share a run of words are compared at its first only.
 
 A set of few words (under four at 0.8) matches equal sets only; it has its row, but joins nobody.
 
-Only DataFrame functions are used. Words are compared by 63-bit hashes. Defined results: lines
-with fewer than ``least_words`` different words are never removed and never match; ``ALL_LINES``,
-which the query and the pipeline use, leaves out only lines without a word; a null text
-has one empty line; rows that agree in id and text are one document, and each gets its result;
-documents under one id that differ are ordered by the hash of their text; null ids come first.
+Only DataFrame functions are used. Words are compared by 63-bit hashes, equal sets found by 128
+bits. Defined results: every line with a word takes part unless ``least_words`` says otherwise; a
+line without a word never goes; a null text has one empty line and an empty text too; a line of
+any length, and a text of any length, is handled whole; rows that agree in id and text are one
+document, and each gets its result; documents under one id that differ are ordered by the hash of
+their text; null ids come first; empty tables give empty results. Of the columns of ``documents``
+only doc_id and text are read; others pass through ``line_dedup``, and one called ``removed``
+gives way to the result.
 """
 
 from __future__ import annotations
@@ -31,9 +42,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WHITE, let, sieve, sieved
+from evidentia.llm.common import let, sieve, sieved
 from evidentia.plans.staging import staged
 
+#: Sets of more words have two parity maps, for 64 bits say little of their difference.
+SPLIT_PARITY = 90
 #: Hash buckets in which word frequencies are counted: 2 ** BUCKET_BITS.
 BUCKET_BITS = 18
 _REST = 63 - BUCKET_BITS
@@ -42,172 +55,237 @@ _REST = 63 - BUCKET_BITS
 @dataclass(frozen=True)
 class LineMatching:
     """similarity: Jaccard of word sets. least_words: a line with fewer is left alone.
-    hot: sets that share a word beyond which it goes by rounds. rounds: how many."""
+    hot: sets that share a rarest word from which they first meet the earliest of them.
+    frequent: times the mean of the hash buckets beyond which a word is a key in pairs only.
+    pairs_up_to: the most words of a line whose frequent words are paired.
+    The last three change the work, never the result."""
 
     similarity: float = 0.8
-    least_words: int = 5
-    hot: int = 100
-    rounds: int = 3
+    least_words: int = 1
+    hot: int = 8
+    frequent: float = 16.0
+    pairs_up_to: int = 128
+
+
+def _spaced(text: Column) -> Column:
+    """The text with a plain space for each other white space but line ends."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.when(odd, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
 
 
-#: Every line that has a word takes part.
-ALL_LINES = LineMatching(least_words=1)
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
 
 
-def word_ranks(documents: DataFrame) -> DataFrame:
-    """One row, ``ranks``: for each hash bucket its place in the order of frequency, rarest first.
+def word_ranks(documents: DataFrame, rule: LineMatching) -> DataFrame:
+    """One row: ``ranks``, for each hash bucket its place in the order of frequency, rarest first,
+    and ``frequent``, the least number of a word that stands out.
 
     The buckets are numbered in one task; there are 2 ** BUCKET_BITS of them at any size of input."""
     spark = documents.sparkSession
-    each = documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), WHITE)).alias("w")).filter("w != ''")
-    counts = each.groupBy((F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    flat = F.replace(_spaced(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
+    counts = documents.select(F.explode(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     by_count = F.sort_array(F.collect_list(F.struct("n", "bucket")))
-    ordered = whole.agg(by_count.alias("s")).select(F.posexplode("s").alias("rank", "s"))
+    ordered = whole.agg(by_count.alias("s"), (F.avg("n") * rule.frequent).alias("most"))
+    split = ordered.select("s", F.size(F.filter("s", lambda x: x["n"] <= F.col("most"))).cast("long").alias("usual"))
+    places = split.select("usual", F.posexplode("s").alias("rank", "s"))
     pairs = F.sort_array(F.collect_list(F.struct(F.col("s.bucket").alias("bucket"), F.shiftleft(F.col("rank").cast("long"), _REST).alias("rank"))))
-    return staged(ordered.agg(F.transform(pairs, lambda x: x["rank"]).alias("ranks")), "line_word_ranks")
-
-
-def split_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no (from 0) and line of every line."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    usual = F.max("usual")
+    least = F.when(usual < 1 << BUCKET_BITS, F.shiftleft(usual, _REST)).otherwise(F.lit((1 << 63) - 1))
+    return staged(places.agg(F.transform(pairs, lambda x: x["rank"]).alias("ranks"), least.alias("frequent")), "line_word_ranks")
 
 
 def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The lines with ``own`` in the place of their text: the distinct words as numbers, rarest first.
+    """The lines with ``n`` and ``own`` in the place of their text: the distinct words as numbers,
+    rarest first, and how many they are.
 
-    A number is the rank of the word's bucket, then 45 other bits of its hash. Each step is a
-    projection of its own, so that all but the two small lambdas are compiled."""
-    line = F.col("line")
-    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
-    spaced = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+    A number is the rank of the word's bucket, then 45 other bits of its hash. Numbers are never
+    null, so they are sorted as plain integers."""
     keep = [c for c in lines.columns if c != "line"]
-    split = lines.select(*keep, F.split(spaced, " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"))
+    split = lines.select(*keep, F.split(_spaced(F.col("line")), " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"))
     hashes = F.array_remove(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    number = lambda h, r: F.get(r, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")).bitwiseXOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
+    rank = lambda h, r: F.coalesce(F.get(r, _bucket(h)), F.lit(0).cast("long"))
+    number = lambda h, r: rank(h, r).bitwiseXOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
     numbers = let(F.col("ranks"), lambda r: F.transform(hashes, lambda h: number(h, r)))
-    return split.select(*keep, numbers.alias("own")).select(*keep, F.sort_array("own").alias("own"))
+    return split.select(*keep, F.sort_array(numbers).alias("own")).select(*keep, F.size("own").alias("n"), "own")
+
+
+def _prefix_length(n: Column, t: float) -> Column:
+    """Of two sets that match, each has a shared word among so many of its rarest."""
+    return (n - F.ceil(n * t - 1e-9) + 1).cast("int")
 
 
 def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
-    """Every line: where it is, n, the two keys of its word set, the rarest words, the parity map."""
-    own = word_sets(split_lines(documents), ranks)
-    length = F.size("own") - F.ceil(F.size("own") * rule.similarity - 1e-9) + 1
-    prefix = F.transform(F.slice("own", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: F.hash(x))
+    """Every line: where it is, n, the two keys of its word set, its rarest words (one more than the
+    prefix), how many of the prefix are not frequent, and the parity maps: of all words, and of half
+    of them if there are many."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    own = word_sets(lines, ranks)
+    n = F.col("n")
+    length = _prefix_length(n, rule.similarity)
+    prefix = F.slice("own", F.lit(1), F.when(_meets(n, rule), length + 1).otherwise(0))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    return own.select("doc_id", "text_hash", "line_no", F.size("own").alias("n"), F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), prefix.alias("prefix"), parity.alias("parity"))
+    half = lambda x: x.bitwiseAND(F.lit(64)) == 0
+    none = F.lit(0).cast("long")
+    parity = F.aggregate("own", none, lambda a, x: a.bitwiseXOR(bit(x)))
+    second = F.when(n > SPLIT_PARITY, F.aggregate("own", none, lambda a, x: F.when(half(x), a).otherwise(a.bitwiseXOR(bit(x))))).otherwise(none)
+    limit = ranks.select("frequent").scalar().alias("frequent")
+    keyed = own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("prefix"), limit)
+    usual = F.least(F.size(F.filter("prefix", lambda x: x < F.col("frequent"))), _prefix_length(F.col("n"), rule.similarity))
+    return keyed.select("doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"), usual.alias("n_usual"))
+
+
+def _meets(n: Column, rule: LineMatching) -> Column:
+    """n words match n + 1 at best: below this size only equal sets match, and they are one row."""
+    return n >= rule.similarity / (1 - rule.similarity) - 1e-9 if rule.similarity < 1 else F.lit(False)
 
 
 def line_sets(keys: DataFrame, rule: LineMatching) -> DataFrame:
-    """One row for each word set. ``sid`` numbers the sets in the order of their first lines."""
+    """One row for each word set, with a number, the place of its first line and how many lines it has."""
     at = F.struct("doc_id", "text_hash", "line_no")
-    eligible = keys.filter(F.col("n") >= rule.least_words)
-    sets = eligible.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    return sets.orderBy("first").withColumn("sid", F.monotonically_increasing_id())
+    same = [F.first(c).alias(c) for c in ("n", "parity", "second", "prefix", "n_usual")]
+    return keys.filter(F.col("n") >= max(rule.least_words, 1)).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n_lines"), *same).withColumn("id", F.monotonically_increasing_id())
 
 
 def overlap_needed(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def _may_match(t: float) -> tuple[Column, Column]:
-    """Whether rows a and b that share a word may match, and the least possible difference.
+#: What the filters need of a set.
+_SET = ("id", "n", "parity", "second")
+
+
+def key_rows(sets: DataFrame, rule: LineMatching) -> DataFrame:
+    """A row for each key of each set (id, n, parity, second, open, n_usual, prefix): the key, the word
+    ``before`` it, and ``room``, the most words that two sets can share if this is the first key that
+    they share."""
+    t, size, pos = rule.similarity, F.size("prefix"), F.col("pos")
+    least_long = int(rule.pairs_up_to * t)  # the fewest words that a set longer than pairs_up_to may match
+    before = F.coalesce(F.get("prefix", pos - 1), F.lit(0)).alias("before")
+    words = sets.filter(size > 0).select(*_SET, "open", "n_usual", "prefix", F.posexplode("prefix").alias("pos", "word")).withColumn("before", before)
+    alone = (pos < F.col("n_usual")) | (pos < _prefix_length(F.col("n"), t)) & (F.col("n") >= least_long)
+    single = words.filter(alone).select(F.col("word").cast("long").alias("key"), (F.col("n") - pos).alias("room"), "before", "open", *_SET)
+    paired = words.filter((F.col("n") <= rule.pairs_up_to) & (pos >= F.col("n_usual")) & (pos < size - 1))
+    both = paired.select(*_SET, "open", "pos", "word", "before", F.posexplode("prefix").alias("next", "other")).filter("next > pos")
+    double = both.select(F.xxhash64("word", "other").alias("key"), (F.col("n") - F.col("next") + 1).alias("room"), "before", "open", *_SET)
+    return single.unionByName(double)
+
 
-    Length, positional and parity filters."""
+def _may_match(t: float) -> tuple[Column, Column]:
+    """Whether sets a and b that share a key may match, and the least possible difference: length,
+    positional and parity filters."""
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m = c("a", "n"), c("b", "n")
     need = overlap_needed(n, m, t)
-    length = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
-    positional = F.least(n - c("a", "pos"), m - c("b", "pos")) >= need
-    apart = F.bit_count(c("a", "parity").bitwiseXOR(c("b", "parity")))
-    return (c("a", "word") == c("b", "word")) & length & positional & (apart <= n + m - 2 * need), apart
-
-
-def _candidates(a: DataFrame, b: DataFrame, t: float) -> DataFrame:
-    """(later, earlier, apart) of rows of a and earlier rows of b that may match."""
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    whole = differ(c("a", "parity"), c("b", "parity"))
+    halves = differ(c("a", "parity").bitwiseXOR(c("a", "second")), c("b", "parity").bitwiseXOR(c("b", "second"))) + differ(c("a", "second"), c("b", "second"))
+    apart = F.when((n > SPLIT_PARITY) & (m > SPLIT_PARITY), halves).otherwise(whole)
+    sized = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
+    return (c("a", "key") == c("b", "key")) & sized & (F.least(c("a", "room"), c("b", "room")) >= need) & (apart <= n + m - 2 * need), apart
+
+
+def pairs_with_earliest(sets: DataFrame, rule: LineMatching) -> DataFrame:
+    """(later, earlier): the sets of a crowd that shares one of their three rarest words, and the
+    earliest set of it, where these may match."""
+    rows = sets.select(*_SET, "first", F.posexplode(F.slice("prefix", 1, 3)).alias("pos", "key")).withColumn("room", F.col("n") - F.col("pos")).drop("pos")
+    crowds = rows.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("first", *_SET, "room")).alias("p")).filter(F.col("many") >= rule.hot)
+    may, _ = _may_match(rule.similarity)
+    met = rows.alias("a").join(crowds.select("key", "p.*").alias("b"), may & (F.col("a.id") != F.col("b.id")))
+    return met.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+
+
+def candidates(rows: DataFrame, t: float) -> DataFrame:
+    """(one, other, apart): sets that may match, not both decided; each pair once."""
     may, apart = _may_match(t)
-    met = a.alias("a").join(b.alias("b"), may & (F.col("b.sid") < F.col("a.sid")))
-    return met.select(F.col("a.sid").alias("later"), F.col("b.sid").alias("earlier"), apart.alias("apart")).distinct()
+    fresh = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == 0)
+    met = rows.alias("a").join(rows.alias("b"), may & (F.col("a.id") > F.col("b.id")) & (F.col("a.open") | F.col("b.open")) & fresh)
+    return met.select(F.col("a.id").alias("one"), F.col("b.id").alias("other"), apart.alias("apart")).distinct()
+
 
+def _words_of(documents: DataFrame, ranks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, first and ``own``, all words, of the sets in ``wanted`` (id, first), from the documents.
 
-def _with_candidates(rows: DataFrame, t: float) -> DataFrame:
-    """The rows that may match any other, earlier or later. A row is done with its first; no pairs are made."""
-    may, _ = _may_match(t)
-    return rows.alias("a").join(rows.alias("b"), may & (F.col("a.sid") != F.col("b.sid")), "left_semi")
+    Documents without a wanted line stay where they are read, and of the others only the wanted
+    lines are split into words."""
+    lines = F.collect_list(F.struct("id", F.col("first.line_no").alias("line_no")))
+    spots = staged(wanted.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("its_hash")).agg(lines.alias("spots")), "line_spots")
+    text = F.coalesce("text", F.lit(""))
+    some = documents.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
+    some = sieved(some, sieve(spots.select(F.xxhash64("of", "its_hash").alias("h")), "line_sieve"), F.xxhash64("doc_id", "hash"))
+    met = some.join(spots, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("its_hash")))
+    split = met.select("doc_id", "hash", F.split("text", "\n").alias("lines"), "spots")
+    lines = split.select("doc_id", "hash", "lines", F.explode("spots").alias("s"))
+    place = F.struct("doc_id", F.col("hash").alias("text_hash"), F.col("s.line_no").alias("line_no"))
+    return word_sets(lines.select(F.col("s.id").alias("id"), place.alias("first"), F.get("lines", F.col("s.line_no")).alias("line")), ranks)
 
 
 class _Verifier:
-    """Word sets of the sets in question, fetched from the documents once."""
-
-    def __init__(self, documents: DataFrame, ranks: DataFrame, sets: DataFrame, wanted: DataFrame, rule: LineMatching):
-        where = staged(sets.select("sid", "first.*").join(wanted.select("sid").distinct(), "sid", "left_semi"), "line_wanted")
-        # Documents, then lines, without a wanted set stay where they are read.
-        some = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-        some = sieved(some, sieve(where.select(F.xxhash64("doc_id", "text_hash").alias("h")), "line_sieve_documents"), F.xxhash64("doc_id", "hash"))
-        spot = F.xxhash64("doc_id", "text_hash", "line_no")
-        lines = sieved(split_lines(some), sieve(where.select(spot.alias("h")), "line_sieve_lines"), spot)
-        own = word_sets(lines, ranks).alias("o")
-        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "text_hash", "line_no")]
-        found = own.join(where.alias("w"), same[0] & same[1] & same[2]).groupBy("w.sid").agg(F.first("o.own").alias("own"))
-        self.sets, self.t = staged(found, "line_verified"), rule.similarity
+    """Holds the words of sets as they are asked for, and tells which pairs match."""
+
+    def __init__(self, documents: DataFrame, ranks: DataFrame, sets: DataFrame, t: float):
+        self.documents, self.ranks, self.t = documents, ranks, t
+        self.places = sets.select("id", "first")
+        self.words: DataFrame | None = None
+
+    def learn(self, ids: DataFrame) -> None:
+        """Fetch the words of sets that are not there yet."""
+        wanted = ids.distinct()
+        if self.words is not None:
+            wanted = wanted.join(self.words.select("id"), "id", "left_anti")
+        wanted = self.places.join(wanted, "id", "left_semi")
+        found = staged(_words_of(self.documents, self.ranks, wanted).dropDuplicates(["id"]), "line_words")
+        self.words = found if self.words is None else self.words.union(found)
 
     def later(self, pairs: DataFrame) -> DataFrame:
-        """``sid`` of the later set of each pair that matches."""
-        a = self.sets.select(F.col("sid").alias("later"), F.col("own").alias("own_a"))
-        b = self.sets.select(F.col("sid").alias("earlier"), F.col("own").alias("own_b"))
+        """``id`` of the later set of each pair (later, earlier) that matches."""
+        a = self.words.select(F.col("id").alias("later"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+        b = self.words.select(F.col("id").alias("earlier"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
         both = pairs.select("later", "earlier").join(b, "earlier").join(a, "later")
         common = F.size(F.array_intersect("own_a", "own_b"))
-        return both.filter(common >= overlap_needed(F.size("own_a"), F.size("own_b"), self.t)).select(F.col("later").alias("sid")).distinct()
+        return both.filter(common >= overlap_needed(F.col("n_a"), F.col("n_b"), self.t)).select(F.col("later").alias("id")).distinct()
 
     def likeliest_first(self, pairs: DataFrame) -> DataFrame:
-        """The same, but each later set first meets the earlier one least apart from it.
+        """The same, but each later set first meets the earlier one that seems least apart from it.
 
         Only those that this does not decide meet all their others."""
         best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
         decided = staged(self.later(best), "line_decided")
-        rest = pairs.join(decided.withColumnRenamed("sid", "later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
-        return staged(decided.union(self.later(rest)), "line_decided")
+        rest = pairs.join(decided.withColumnRenamed("id", "later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+        return decided.union(self.later(rest))
 
 
 def matched_sets(documents: DataFrame, ranks: DataFrame, sets: DataFrame, rule: LineMatching) -> DataFrame:
-    """``sid`` of the sets that match an earlier set."""
-    # n words match n + 1 at best: below this size only equal sets match, and they are one row.
-    meets = F.col("n") >= rule.similarity / (1 - rule.similarity) - 1e-9 if rule.similarity < 1 else F.lit(False)
-    rows = sets.filter(meets).select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-    shared = rows.groupBy("word").agg(F.count("*").alias("f")).filter("f > 1")
-    light = rows.join(shared.filter(F.col("f") <= rule.hot).select("word"), "word")
-    pairs = staged(_candidates(light, rows, rule.similarity), "line_pairs")
-    hot = staged(_with_candidates(rows.join(shared.filter(F.col("f") > rule.hot).select("word"), "word"), rule.similarity), "line_hot_words")
-    wanted = pairs.select(F.col("later").alias("sid")).union(pairs.select("earlier")).union(hot.select("sid"))
-    verify = _Verifier(documents, ranks, sets, wanted, rule)
-    decided = verify.likeliest_first(pairs)
-    if hot.isEmpty():
-        return decided
-
-    tried = None
-    for _ in range(rule.rounds):
-        undecided = hot.join(decided, "sid", "left_anti")
-        asked = undecided if tried is None else undecided.join(tried, ["word", "sid"], "left_anti")
-        pivots = staged(asked.groupBy("word").agg(F.min(F.struct("sid", "n", "parity", "pos")).alias("p")).select("word", "p.*"), "line_pivots")
-        mine = pivots.select("word", "sid")
-        tried = mine if tried is None else tried.union(mine)
-        decided = staged(decided.union(verify.later(_candidates(undecided, pivots, rule.similarity))), "line_decided")
-    rest = staged(_candidates(hot.join(decided, "sid", "left_anti"), hot, rule.similarity), "line_pairs")
-    return staged(decided.union(verify.likeliest_first(rest)), "line_decided")
+    """``id`` of the sets that match an earlier set."""
+    t = rule.similarity
+    verify = _Verifier(documents, ranks, sets, t)
+    ids = lambda pairs, a, b: pairs.select(F.col(a).alias("id")).union(pairs.select(b))
+    crowded = staged(pairs_with_earliest(sets, rule), "line_crowded")
+    verify.learn(ids(crowded, "later", "earlier"))
+    known = staged(verify.later(crowded), "line_decided")
+    marked = sets.join(known.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull())
+    met = staged(candidates(key_rows(marked, rule), t), "line_pairs")
+    verify.learn(ids(met, "one", "other"))
+    place = lambda name, first: verify.words.select(F.col("id").alias(name), F.col("first").alias(first))
+    ordered = met.join(place("one", "f"), "one").join(place("other", "g"), "other")
+    pick = lambda x, y: F.when(F.col("f") < F.col("g"), F.col(y)).otherwise(F.col(x))
+    pairs = ordered.select(pick("one", "other").alias("later"), pick("other", "one").alias("earlier"), "apart")
+    pairs = staged(pairs.join(known.withColumnRenamed("id", "later"), "later", "left_anti"), "line_ordered")
+    return staged(known.union(verify.likeliest_first(pairs)), "line_decided")
 
 
 def duplicate_lines(documents: DataFrame, rule: LineMatching = LineMatching()) -> DataFrame:
     """doc_id, text_hash and ``removed``, the numbers (from 0) of the lines that go, where there are any."""
-    ranks = word_ranks(documents)
+    ranks = word_ranks(documents, rule)
     keys = staged(line_keys(documents, ranks, rule), "line_keys")
     sets = staged(line_sets(keys, rule), "line_sets")
     gone = matched_sets(documents, ranks, sets, rule).distinct().withColumn("gone", F.lit(True))
-    verdict = sets.select("sid", "k1", "k2", "first").join(gone, "sid", "left").drop("sid")
-    at = keys.filter(F.col("n") >= rule.least_words).select("doc_id", "text_hash", "line_no", "k1", "k2")
-    judged = at.join(verdict, ["k1", "k2"]).filter(F.col("gone") | (F.struct("doc_id", "text_hash", "line_no") > F.col("first")))
+    verdict = sets.select("id", "k1", "k2", "first", "n_lines").join(gone, "id", "left").filter("gone or n_lines > 1").drop("id", "n_lines")
+    at = keys.select("doc_id", "text_hash", "line_no", "k1", "k2")
+    judged = at.join(verdict, ["k1", "k2"]).filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "text_hash", "line_no") > F.col("first")))
     return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

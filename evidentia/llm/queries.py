@@ -11,7 +11,7 @@ from evidentia.llm import oracles
 from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.common import table
 from evidentia.llm.decontamination import benchmark_leaks
-from evidentia.llm.line_dedup import ALL_LINES, duplicate_lines
+from evidentia.llm.line_dedup import duplicate_lines
 from evidentia.llm.ngram_join import near_duplicates
 from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.quality_rules import quality_rules
@@ -27,8 +27,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the numbers of the lines that go; texts do not travel for this."""
     documents = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.size(F.split(text, "\n")).alias("n_lines"))
-    removed = duplicate_lines(documents, ALL_LINES)
+    every = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    removed = duplicate_lines(documents)
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_hash") == F.col("r.text_hash"))
     gone = F.coalesce("r.removed", F.array().cast("array<int>"))
     return every.alias("d").join(removed.alias("r"), same, "left").select("d.doc_id", "d.n_lines", F.size(gone).alias("n_removed"), gone.alias("removed"))

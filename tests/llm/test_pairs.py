@@ -36,7 +36,7 @@ def some_lines(seed):
     return ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
 
 
-def brute_lines(texts, least=5):
+def brute_lines(texts, least=1):
     seen, gone = [], []
     for text in texts:
         own = []

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from evidentia.llm import decontamination as decon
 from evidentia.llm import queries
-from evidentia.llm.line_dedup import ALL_LINES, LineMatching, line_dedup
+from evidentia.llm.line_dedup import LineMatching, line_dedup
 from evidentia.llm.ngram_join import one_of_each_group
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import VOCABULARY, brute_lines, some_lines
@@ -15,7 +15,7 @@ def test_short_lines_equal_brute_force(documents):
     short = ["Les.", "a b", "b a", "a b c", "a b c d", "a b c d e", "e d c b", "a b c x", "", " "]
     texts = [*some_lines(3), *ODD, "\n".join(short), "\n".join(reversed(short)), "Les.\nnew"]
     expected = dict(enumerate(brute_lines(texts, least=1)))
-    for rule in (ALL_LINES, LineMatching(least_words=1, hot=2)):
+    for rule in (LineMatching(), LineMatching(hot=2), LineMatching(hot=2, frequent=0.0, pairs_up_to=12)):
         assert {r["doc_id"]: r["removed"] for r in line_dedup(documents(texts), rule).collect()} == expected
     assert expected[len(texts) - 1] == [0]
 
