@@ -122,8 +122,9 @@ def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> Dat
     prefix), how many of the prefix are not frequent, and the parity maps: of all words, and of half
     of them if there are many."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    own = word_sets(lines, ranks)
+    # The hash is a column before the lines are dealt out, else each line would hash the whole text.
+    hashed = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
+    own = word_sets(hashed.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")), ranks)
     n = F.col("n")
     length = _prefix_length(n, rule.similarity)
     prefix = F.slice("own", F.lit(1), F.when(_meets(n, rule), length + 1).otherwise(0))
@@ -134,7 +135,9 @@ def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> Dat
     second = F.when(n > SPLIT_PARITY, F.aggregate("own", none, lambda a, x: F.when(half(x), a).otherwise(a.bitwiseXOR(bit(x))))).otherwise(none)
     limit = ranks.select("frequent").scalar().alias("frequent")
     keyed = own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("prefix"), limit)
-    usual = F.least(F.size(F.filter("prefix", lambda x: x < F.col("frequent"))), _prefix_length(F.col("n"), rule.similarity))
+    plain = _prefix_length(F.col("n"), rule.similarity)
+    none_frequent = F.coalesce(F.get("prefix", F.size("prefix") - 1) < F.col("frequent"), F.lit(True))
+    usual = F.when(none_frequent, plain).otherwise(F.least(F.size(F.filter("prefix", lambda x: x < F.col("frequent"))), plain))
     return keyed.select("doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"), usual.alias("n_usual"))
 
 
@@ -156,21 +159,23 @@ def overlap_needed(a: Column, b: Column, t: float) -> Column:
 
 #: What the filters need of a set.
 _SET = ("id", "n", "parity", "second")
+#: What tells whether a pair is still of use: whether the set is undecided, and how early it is.
+_USE = ("open", "age")
 
 
 def key_rows(sets: DataFrame, rule: LineMatching) -> DataFrame:
-    """A row for each key of each set (id, n, parity, second, open, n_usual, prefix): the key, the word
+    """A row for each key of each set (id, n, parity, second, open, age, n_usual, prefix): the key, the word
     ``before`` it, and ``room``, the most words that two sets can share if this is the first key that
     they share."""
     t, size, pos = rule.similarity, F.size("prefix"), F.col("pos")
     least_long = int(rule.pairs_up_to * t)  # the fewest words that a set longer than pairs_up_to may match
     before = F.coalesce(F.get("prefix", pos - 1), F.lit(0)).alias("before")
-    words = sets.filter(size > 0).select(*_SET, "open", "n_usual", "prefix", F.posexplode("prefix").alias("pos", "word")).withColumn("before", before)
+    words = sets.filter(size > 0).select(*_SET, *_USE, "n_usual", "prefix", F.posexplode("prefix").alias("pos", "word")).withColumn("before", before)
     alone = (pos < F.col("n_usual")) | (pos < _prefix_length(F.col("n"), t)) & (F.col("n") >= least_long)
-    single = words.filter(alone).select(F.col("word").cast("long").alias("key"), (F.col("n") - pos).alias("room"), "before", "open", *_SET)
+    single = words.filter(alone).select(F.col("word").cast("long").alias("key"), (F.col("n") - pos).alias("room"), "before", *_USE, *_SET)
     paired = words.filter((F.col("n") <= rule.pairs_up_to) & (pos >= F.col("n_usual")) & (pos < size - 1))
-    both = paired.select(*_SET, "open", "pos", "word", "before", F.posexplode("prefix").alias("next", "other")).filter("next > pos")
-    double = both.select(F.xxhash64("word", "other").alias("key"), (F.col("n") - F.col("next") + 1).alias("room"), "before", "open", *_SET)
+    both = paired.select(*_SET, *_USE, "pos", "word", "before", F.posexplode("prefix").alias("next", "other")).filter("next > pos")
+    double = both.select(F.xxhash64("word", "other").alias("key"), (F.col("n") - F.col("next") + 1).alias("room"), "before", *_USE, *_SET)
     return single.unionByName(double)
 
 
@@ -199,10 +204,14 @@ def pairs_with_earliest(sets: DataFrame, rule: LineMatching) -> DataFrame:
 
 
 def candidates(rows: DataFrame, t: float) -> DataFrame:
-    """(one, other, apart): sets that may match, not both decided; each pair once."""
+    """(one, other, apart): sets that may match, the later of them undecided; each pair once.
+
+    Sets of one document, or of null ids, are of one age; there either may be the later."""
     may, apart = _may_match(t)
+    older, either = F.col("a.age") < F.col("b.age"), F.col("a.open") | F.col("b.open")
+    useful = F.when(older, F.col("b.open")).when(F.col("a.age") > F.col("b.age"), F.col("a.open")).otherwise(either)
     fresh = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == 0)
-    met = rows.alias("a").join(rows.alias("b"), may & (F.col("a.id") > F.col("b.id")) & (F.col("a.open") | F.col("b.open")) & fresh)
+    met = rows.alias("a").join(rows.alias("b"), may & (F.col("a.id") > F.col("b.id")) & either & fresh & useful)
     return met.select(F.col("a.id").alias("one"), F.col("b.id").alias("other"), apart.alias("apart")).distinct()
 
 
@@ -217,10 +226,11 @@ def _words_of(documents: DataFrame, ranks: DataFrame, wanted: DataFrame) -> Data
     some = documents.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
     some = sieved(some, sieve(spots.select(F.xxhash64("of", "its_hash").alias("h")), "line_sieve"), F.xxhash64("doc_id", "hash"))
     met = some.join(spots, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("its_hash")))
-    split = met.select("doc_id", "hash", F.split("text", "\n").alias("lines"), "spots")
-    lines = split.select("doc_id", "hash", "lines", F.explode("spots").alias("s"))
+    split = met.select("doc_id", "hash", "spots", F.split("text", "\n").alias("lines"))
+    picked = F.transform("spots", lambda x: F.struct(x["id"].alias("id"), x["line_no"].alias("line_no"), F.get("lines", x["line_no"]).alias("line")))
+    rows = split.select("doc_id", "hash", picked.alias("picked")).select("doc_id", "hash", F.explode("picked").alias("s"))
     place = F.struct("doc_id", F.col("hash").alias("text_hash"), F.col("s.line_no").alias("line_no"))
-    return word_sets(lines.select(F.col("s.id").alias("id"), place.alias("first"), F.get("lines", F.col("s.line_no")).alias("line")), ranks)
+    return word_sets(rows.select(F.col("s.id").alias("id"), place.alias("first"), F.col("s.line").alias("line")), ranks)
 
 
 class _Verifier:
@@ -266,7 +276,7 @@ def matched_sets(documents: DataFrame, ranks: DataFrame, sets: DataFrame, rule:
     crowded = staged(pairs_with_earliest(sets, rule), "line_crowded")
     verify.learn(ids(crowded, "later", "earlier"))
     known = staged(verify.later(crowded), "line_decided")
-    marked = sets.join(known.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull())
+    marked = sets.join(known.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull()).withColumn("age", F.col("first.doc_id"))
     met = staged(candidates(key_rows(marked, rule), t), "line_pairs")
     verify.learn(ids(met, "one", "other"))
     place = lambda name, first: verify.words.select(F.col("id").alias(name), F.col("first").alias(first))
