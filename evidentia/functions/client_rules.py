@@ -95,11 +95,18 @@ def shows_panel(payload: Column, error: Column) -> Column:
 
 
 def response_entries(responses: DataFrame, body: str = "body") -> DataFrame:
-    """One row for each top-level key: the other columns, key, label and value as text."""
+    """One row for each top-level entry: the other columns, key, label and value as the client shows it.
+
+    Objects give their keys, arrays their places; a body that is not JSON gives one entry, ``error``;
+    null, texts, numbers and flags give none."""
     own = [c for c in responses.columns if c != body]
-    entries = responses.select(*own, F.from_json(F.col(body), "map<string,string>").alias("entries"))
-    rows = entries.select(*own, F.explode("entries").alias("key", "value"))
-    return rows.select(*own, "key", humanize(F.col("key")).alias("label"), F.coalesce("value", F.lit("null")).alias("value"))
+    payloads = responses.withColumn("payload", response_payload(F.col(body))).withColumn("kind", F.schema_of_variant("payload"))
+    as_map = F.from_json(F.to_json("payload"), "map<string,variant>")
+    as_list = F.from_json(F.to_json("payload"), "array<variant>")
+    keyed = payloads.filter(F.col("kind").startswith("OBJECT")).select(*own, F.explode(as_map).alias("key", "value"))
+    placed = payloads.filter(F.col("kind").startswith("ARRAY")).select(*own, F.posexplode(as_list).alias("at", "value"))
+    rows = keyed.unionByName(placed.select(*own, F.col("at").cast("string").alias("key"), "value"))
+    return rows.select(*own, "key", humanize(F.col("key")).alias("label"), pretty_value(F.col("value")).alias("value"))
 
 
 def readiness(files: DataFrame) -> DataFrame:

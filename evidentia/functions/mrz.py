@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the standard: weights of the check digit; slices (start from 1, length) by format.
+#: Fixed values of the standard: weights of the check digit; for each format the lines and their
+#: length, and slices (line, start from 1, length). Visas have no digit of their own for the optional
+#: part and none for the whole; the cards' optional parts have none of their own.
 WEIGHTS = (7, 3, 1)
-TD3 = {"number": (2, 1, 9), "number_check": (2, 10, 1), "nationality": (2, 11, 3), "birth": (2, 14, 6), "birth_check": (2, 20, 1), "sex": (2, 21, 1), "expiry": (2, 22, 6), "expiry_check": (2, 28, 1), "optional": (2, 29, 14), "optional_check": (2, 43, 1), "composite_check": (2, 44, 1), "names": (1, 6, 39), "issuer": (1, 3, 3)}
-TD1 = {"number": (1, 6, 9), "number_check": (1, 15, 1), "optional": (1, 16, 15), "issuer": (1, 3, 3), "birth": (2, 1, 6), "birth_check": (2, 7, 1), "sex": (2, 8, 1), "expiry": (2, 9, 6), "expiry_check": (2, 15, 1), "nationality": (2, 16, 3), "composite_check": (2, 30, 1), "names": (3, 1, 30)}
+_LOWER = {"number": (2, 1, 9), "number_check": (2, 10, 1), "nationality": (2, 11, 3), "birth": (2, 14, 6), "birth_check": (2, 20, 1), "sex": (2, 21, 1), "expiry": (2, 22, 6), "expiry_check": (2, 28, 1), "issuer": (1, 3, 3)}
+FORMATS = {
+    "TD3": (2, 44, _LOWER | {"optional": (2, 29, 14), "optional_check": (2, 43, 1), "composite_check": (2, 44, 1), "names": (1, 6, 39)}),
+    "MRV-A": (2, 44, _LOWER | {"optional": (2, 29, 16), "names": (1, 6, 39)}),
+    "TD2": (2, 36, _LOWER | {"optional": (2, 29, 7), "composite_check": (2, 36, 1), "names": (1, 6, 31)}),
+    "MRV-B": (2, 36, _LOWER | {"optional": (2, 29, 8), "names": (1, 6, 31)}),
+    "TD1": (3, 30, {"number": (1, 6, 9), "number_check": (1, 15, 1), "optional": (1, 16, 15), "issuer": (1, 3, 3), "birth": (2, 1, 6), "birth_check": (2, 7, 1), "sex": (2, 8, 1), "expiry": (2, 9, 6), "expiry_check": (2, 15, 1), "nationality": (2, 16, 3), "composite_check": (2, 30, 1), "names": (3, 1, 30)}),
+}
+#: The slices that the digit of the whole covers.
+COMPOSITE = {"TD3": [(2, 1, 10), (2, 14, 7), (2, 22, 22)], "TD2": [(2, 1, 10), (2, 14, 7), (2, 22, 14)], "TD1": [(1, 6, 25), (2, 1, 7), (2, 9, 7), (2, 19, 11)]}
+VISA = "V"
 
 
 def mrz_lines(text: Column) -> Column:
@@ -25,20 +36,36 @@ def check_digit(field: Column) -> Column:
     return F.when(field == "", F.lit("0")).otherwise((total % 10).cast("string"))
 
 
-def _sliced(lines: Column, layout: dict) -> Column:
-    return F.struct(*[F.substring(F.get(lines, line - 1), start, length).alias(name) for name, (line, start, length) in layout.items()])
+def _slice(lines: Column, line: int, start: int, length: int) -> Column:
+    return F.substring(F.get(lines, F.lit(line - 1)), start, length)
+
+
+def _format(lines: Column) -> Column:
+    """The format by number and length of lines; a visa tells itself by its first letter."""
+    size, many, visa = F.length(F.get(lines, F.lit(0))), F.size(lines), F.get(lines, F.lit(0)).startswith(VISA)
+    return (
+        F.when((size == 44) & (many >= 2), F.when(visa, "MRV-A").otherwise("TD3"))
+        .when((size == 36) & (many >= 2), F.when(visa, "MRV-B").otherwise("TD2"))
+        .when((size == 30) & (many >= 3), "TD1")
+    )
+
+
+def _by_format(parts: dict[str, Column]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, part in parts.items():
+        out = F.when(F.col("mrz_format") == name, part).otherwise(out)
+    return out
 
 
 def parse_mrz(cases: DataFrame, text: str = "text") -> DataFrame:
-    """The cases with ``mrz_format`` and the zone's fields; null where there is no supported zone."""
-    lines = mrz_lines(F.col(text))
-    found = cases.withColumn("mrz", lines)
-    size = F.length(F.get("mrz", F.lit(0)))
-    kind = F.when((F.size("mrz") >= 2) & (size == 44), "TD3").when((F.size("mrz") >= 3) & (size == 30), "TD1")
-    found = found.withColumn("mrz_format", kind)
-    names = list(dict.fromkeys([*TD3, *TD1]))
-    td3, td1 = _sliced(F.col("mrz"), TD3), _sliced(F.col("mrz"), TD1)
-    pick = lambda n: F.when(kind == "TD3", td3[n] if n in TD3 else F.lit(None)).when(kind == "TD1", td1[n] if n in TD1 else F.lit(None)).alias(f"mrz_{n}")
+    """The cases with ``mrz_format`` and the zone's fields; null where there is no supported zone.
+
+    The zone is made of the lines that are as long as the first that can belong to one."""
+    able = cases.withColumn("mrz", mrz_lines(F.col(text)))
+    found = able.withColumn("mrz", F.filter("mrz", lambda x: F.length(x) == F.length(F.get(F.col("mrz"), F.lit(0)))))
+    found = found.withColumn("mrz_format", _format(F.col("mrz")))
+    names = list(dict.fromkeys(n for _, _, layout in FORMATS.values() for n in layout))
+    pick = lambda n: _by_format({f: _slice(F.col("mrz"), *layout[n]) for f, (_, _, layout) in FORMATS.items() if n in layout}).alias(f"mrz_{n}")
     found = found.select("*", *[pick(n) for n in names])
     split = F.split("mrz_names", "<<")
     clean = lambda c: F.trim(F.translate(c, "<", " "))
@@ -46,15 +73,20 @@ def parse_mrz(cases: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mrz_checks(parsed: DataFrame) -> DataFrame:
-    """Whether each check digit holds: number_ok, birth_ok, expiry_ok, composite_ok; null without a zone.
+    """Whether each check digit holds: number_ok, birth_ok, expiry_ok, optional_ok, composite_ok.
 
-    An empty optional field may carry a filler for its digit."""
+    Null without a zone, and where the format has no such digit. An empty optional field may carry a
+    filler for its digit."""
     holds = lambda f: check_digit(F.col(f"mrz_{f}")) == F.col(f"mrz_{f}_check")
-    whole = F.when(
-        F.col("mrz_format") == "TD3", F.concat("mrz_number", "mrz_number_check", "mrz_birth", "mrz_birth_check", "mrz_expiry", "mrz_expiry_check", "mrz_optional", "mrz_optional_check")
-    ).otherwise(F.concat("mrz_number", "mrz_number_check", "mrz_optional", "mrz_birth", "mrz_birth_check", "mrz_expiry", "mrz_expiry_check", F.substring(F.get("mrz", F.lit(1)), 19, 11)))
-    optional = F.when(F.col("mrz_format") == "TD3", holds("optional") | ((F.col("mrz_optional_check") == "<") & F.col("mrz_optional").rlike("^<+$"))).otherwise(F.lit(True))
-    return parsed.withColumns({"number_ok": holds("number"), "birth_ok": holds("birth"), "expiry_ok": holds("expiry"), "optional_ok": F.when(F.col("mrz_format").isNotNull(), optional), "composite_ok": check_digit(whole) == F.col("mrz_composite_check")})
+    whole = _by_format({f: F.concat(*[_slice(F.col("mrz"), *part) for part in parts]) for f, parts in COMPOSITE.items()})
+    empty = (F.col("mrz_optional_check") == "<") & F.col("mrz_optional").rlike("^<+$")
+    return parsed.withColumns({"number_ok": holds("number"), "birth_ok": holds("birth"), "expiry_ok": holds("expiry"), "optional_ok": holds("optional") | empty, "composite_ok": check_digit(whole) == F.col("mrz_composite_check")})
+
+
+def digits_ok() -> Column:
+    """Whether every digit that the format has holds; null without a zone."""
+    has = lambda c: F.coalesce(F.col(c), F.lit(True))
+    return F.when(F.col("mrz_format").isNotNull(), has("number_ok") & has("birth_ok") & has("expiry_ok") & has("optional_ok") & has("composite_ok"))
 
 
 def mrz_date(value: Column, as_of: Column, future_years: int) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.mrz import mrz_checks, parse_mrz
+from evidentia.functions.mrz import digits_ok, mrz_checks, mrz_date, parse_mrz
+from evidentia.operators.models import face_comparison
 
 #: Labels under which fields are printed.
 LABELS = {
@@ -17,17 +18,33 @@ LABELS = {
     "expiry": "date of expiry|expiry date|expires|valid until",
 }
 COMPARED = {"surname": "mrz_surname", "given": "mrz_given", "number": "mrz_number", "nationality": "mrz_nationality"}
+#: Dates, with the years after ``as_of`` that such a date may lie in the future.
+DATES = {"birth": 0, "expiry": 50}
+#: How dates are printed; the first pattern that fits counts.
+PATTERNS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "d MMM yyyy")
+
+
+def printed_date(value: Column) -> Column:
+    return F.coalesce(*[F.try_to_date(value, p) for p in PATTERNS])
 
 
 def printed_fields(cases: DataFrame, text: str = "text") -> DataFrame:
-    """Long rows (case_id, source, field, value) of ``label: value`` lines; absent fields give no row."""
-    found = [F.struct(F.lit(f).alias("field"), F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*(?:{labels})\s*[:.]\s*(.+)$", 1)), F.lit("")).alias("value")) for f, labels in LABELS.items()]
+    """Long rows (case_id, source, field, value) of ``label: value`` lines; absent fields give no row.
+
+    Dates are put in one form; a date that cannot exist stays as it is printed."""
+    raw = lambda labels: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*(?:{labels})\s*[:.]\s*(.+)$", 1)), F.lit(""))
+    value = lambda f: F.coalesce(printed_date(raw(LABELS[f])).cast("string"), raw(LABELS[f])) if f in DATES else raw(LABELS[f])
+    found = [F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in LABELS]
     rows = cases.select("case_id", F.explode(F.array(*found)).alias("f"))
     return rows.select("case_id", F.lit("printed").alias("source"), "f.field", "f.value").filter("value is not null")
 
 
-def mrz_fields(parsed: DataFrame) -> DataFrame:
-    rows = parsed.filter("mrz_format is not null").select("case_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.translate(c, "<", " ")).alias("value")) for f, c in COMPARED.items()])).alias("f"))
+def mrz_fields(parsed: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The same of the zone. Centuries of dates are told by ``as_of``, today if it is not given."""
+    day = F.current_date() if as_of is None else as_of
+    plain = {f: F.trim(F.translate(c, "<", " ")) for f, c in COMPARED.items()}
+    dates = {f: mrz_date(F.col(f"mrz_{f}"), day, years).cast("string") for f, years in DATES.items()}
+    rows = parsed.filter("mrz_format is not null").select("case_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in (plain | dates).items()])).alias("f"))
     return rows.select("case_id", F.lit("mrz").alias("source"), "f.field", "f.value")
 
 
@@ -68,26 +85,71 @@ def quality_gate(images: DataFrame, least_sharpness: float, least_side: int) ->
     return images.withColumn("quality_status", F.when(F.col("sharpness").isNull(), "unavailable").when(poor, "inconclusive").otherwise("completed"))
 
 
-def mrz_results(cases: DataFrame, text: str = "text") -> DataFrame:
-    """The MRZ check of each case, from check digits and the comparison with printed fields."""
-    parsed = parse_mrz(cases, text)
-    digits = mrz_checks(parsed).select("case_id", F.when(F.col("mrz_format").isNull(), F.lit(None)).otherwise(F.expr("number_ok and birth_ok and expiry_ok and optional_ok and composite_ok")).alias("digits_ok"))
-    compared = field_consistency(printed_fields(cases, text).unionByName(mrz_fields(parsed))).groupBy("case_id").agg(F.bool_or(F.col("status") == "suspicious").alias("differs"))
-    both = digits.join(compared, "case_id", "left")
-    bad_digit, differs = ~F.col("digits_ok"), F.coalesce("differs", F.lit(False))
-    status = F.when(F.col("digits_ok").isNull(), "unavailable").when(bad_digit | differs, "suspicious").otherwise("completed")
-    reason = F.when(bad_digit, "check_digit").when(differs & F.col("digits_ok").isNotNull(), "field_mismatch")
-    return both.select("case_id", F.lit("document").alias("workflow"), F.lit("mrz_consistency").alias("check"), status.alias("status"), reason.alias("reason"), F.lit(None).cast("double").alias("score"))
+def _row(check: str, status: Column, reason: Column, score: Column | None = None) -> list[Column | str]:
+    score = F.lit(None).cast("double") if score is None else score
+    return ["case_id", F.lit("document").alias("workflow"), F.lit(check).alias("check"), status.alias("status"), reason.cast("string").alias("reason"), score.alias("score")]
+
+
+def mrz_results(cases: DataFrame, as_of: Column, text: str = "text", expiry: str | None = None, pattern: str = "yyyy-MM-dd") -> DataFrame:
+    """One row for each case: check digits, the comparison with printed fields, and validity.
+
+    The expiry is that of the zone, the printed one and, in column ``expiry``, one that the caller
+    supplies; if any has passed or cannot exist the check is suspicious. Without a zone it is
+    unavailable, unless another date already is a finding. Reasons in this order: a check digit, a
+    field, an impossible date, a passed one."""
+    parsed = mrz_checks(parse_mrz(cases, text))
+    printed = printed_fields(cases, text)
+    supplied = F.nullif(F.trim(F.col(expiry)), F.lit("")) if expiry else F.lit(None).cast("string")
+    zone = mrz_date(F.col("mrz_expiry"), as_of, DATES["expiry"])
+    unfilled = F.translate("mrz_expiry", "<", "") != ""
+    own = parsed.select("case_id", digits_ok().alias("digits_ok"), F.coalesce((zone < as_of) | (F.try_to_date(supplied, pattern) < as_of), zone < as_of, F.try_to_date(supplied, pattern) < as_of, F.lit(False)).alias("passed"), (F.coalesce(unfilled & zone.isNull(), F.lit(False)) | (supplied.isNotNull() & F.try_to_date(supplied, pattern).isNull())).alias("impossible"))
+    compared = field_consistency(printed.unionByName(mrz_fields(parsed, as_of))).groupBy("case_id")
+    compared = compared.agg(F.bool_or(F.col("status") == "suspicious").alias("differs"), F.max(F.when(F.col("field") == "expiry", F.col("printed"))).alias("printed_expiry"))
+    both = own.join(compared, "case_id", "left")
+    late = F.col("passed") | F.coalesce(F.try_to_date("printed_expiry", "yyyy-MM-dd") < as_of, F.lit(False))
+    never = F.col("impossible") | (F.col("printed_expiry").isNotNull() & F.try_to_date("printed_expiry", "yyyy-MM-dd").isNull())
+    differs = F.coalesce("differs", F.lit(False)) & F.col("digits_ok").isNotNull()
+    reason = F.when(~F.col("digits_ok"), "check_digit").when(differs, "field_mismatch").when(never, "invalid_date").when(late, "expired")
+    status = F.when(reason.isNotNull(), "suspicious").when(F.col("digits_ok").isNull(), "unavailable").otherwise("completed")
+    return both.select(*_row("mrz_consistency", status, reason))
+
+
+def ocr_results(cases: DataFrame, text: str = "text", quality: str | None = None) -> DataFrame:
+    """Whether a text was read. A capture that the quality gate finds poor is inconclusive."""
+    has_text = F.length(F.trim(F.coalesce(text, F.lit("")))) > 0
+    poor = F.coalesce(F.col(quality) == "inconclusive", F.lit(False)) if quality else F.lit(False)
+    status = F.when(~has_text, "unavailable").when(poor, "inconclusive").otherwise("completed")
+    return cases.select(*_row("ocr_fields", status, F.when(~has_text | poor, "low_quality")))
+
+
+def tampering_results(indicators: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row for each case of long indicators (case_id, indicator, value): the gravest of them.
+
+    ``limits`` has, for each indicator that counts, the values from which it is inconclusive and
+    suspicious. A case none of whose known indicators has a value is unavailable."""
+    grade, name, value = F.lit(None).cast("int"), F.col("indicator"), F.col("value")
+    for known, (low, high) in limits.items():
+        grade = F.when((name == known) & value.isNotNull(), F.when(value >= high, 2).when(value >= low, 1).otherwise(0)).otherwise(grade)
+    worst = indicators.withColumn("grade", grade).groupBy("case_id").agg(F.max(F.when(F.col("grade").isNotNull(), F.struct("grade", "indicator", "value"))).alias("w"))
+    status = F.when(F.col("w").isNull(), "unavailable").when(F.col("w.grade") == 2, "suspicious").when(F.col("w.grade") == 1, "inconclusive").otherwise("completed")
+    found = F.when(F.col("w.indicator") == "repeated_region", "repeated_region").when(F.col("w.grade") == 2, "score_high").otherwise("score_band")
+    reason = F.when(F.col("w").isNull(), "no_model").when(F.col("w.grade") > 0, found)
+    return worst.select(*_row("tampering", status, reason, F.col("w.value").cast("double")))
+
+
+def face_results(pairs: DataFrame, low: float, high: float) -> DataFrame:
+    """Portrait against capture (case_id, portrait, capture): an observation, not an identity."""
+    compared = face_comparison(pairs, low, high)
+    reason = F.when(F.col("portrait").isNull() | F.col("capture").isNull(), "no_face").when(F.col("similarity").isNull(), "no_model").when(F.col("similarity") < low, "face_differs").when(F.col("similarity") < high, "score_band")
+    return compared.select(*_row("face_verification", F.col("status"), reason, F.col("similarity")))
 
 
-def expiry_results(cases: DataFrame, as_of: Column, expiry: str = "expiry", pattern: str = "yyyy-MM-dd") -> DataFrame:
-    """The finding on each case's validity; dates belong to the check of machine-readable information."""
-    status = date_status(F.col(expiry), pattern, as_of)
-    invalid = F.try_to_date(F.col(expiry), pattern).isNull()
-    reason = F.when(status == "suspicious", F.when(invalid, "invalid_date").otherwise("expired"))
-    return cases.select("case_id", F.lit("document").alias("workflow"), F.lit("mrz_consistency").alias("check"), status.alias("status"), reason.alias("reason"), F.lit(None).cast("double").alias("score"))
+def provenance_results(facts: DataFrame) -> DataFrame:
+    """Files' facts with case_id. What a file does not carry is unavailable, which proves nothing."""
+    status = F.col("provenance_status")
+    return facts.select(*_row("metadata_provenance", status, F.when(status == "unavailable", "no_metadata")))
 
 
 def official_status(cases: DataFrame) -> DataFrame:
     """Issuers' records need an authorised connection, which there is none of: always unavailable."""
-    return cases.select("case_id", F.lit("document").alias("workflow"), F.lit("official_status").alias("check"), F.lit("unavailable").alias("status"), F.lit("no_model").alias("reason"), F.lit(None).cast("double").alias("score"))
+    return cases.select(*_row("official_status", F.lit("unavailable"), F.lit("no_model")))

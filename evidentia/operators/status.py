@@ -48,6 +48,9 @@ REASONS = {
     "repeated_region": "Parts of the image repeat.",
     "score_high": "The score is above the threshold.",
     "score_band": "The score lies between the thresholds.",
+    "face_differs": "The portrait and the capture do not resemble each other.",
+    "no_metadata": "The file carries no provenance data.",
+    "unreadable": "The file could not be read.",
 }
 
 
@@ -71,14 +74,17 @@ def check_status(available: Column, score: Column, low: float, high: float) -> C
 
 
 def all_checks(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """Results completed by a row for each check of the case's workflow that has none: unavailable.
+    """All results, and a row for each check of the case's workflow that has none: unavailable.
 
-    A case's checks come from the catalogue by its workflow, an equality join with nine rows."""
+    A case's checks come from the catalogue by its workflow, an equality join with nine rows. Results
+    of checks outside the catalogue, of other cases and several of one check all stay."""
     catalog = F.broadcast(check_catalog(cases.sparkSession).drop("name"))
+    keys = ["case_id", "workflow", "check"]
     wanted = cases.select("case_id", "workflow").distinct().join(catalog, "workflow")
-    found = wanted.join(results, ["case_id", "workflow", "check"], "left")
+    none = wanted.join(results.select(*keys), keys, "left_anti").withColumns({"status": F.lit("unavailable"), "reason": F.lit("no_model")})
     missing = F.col("status").isNull()
-    return found.withColumns({"status": F.coalesce("status", F.lit("unavailable")), "reason": F.when(missing, F.coalesce("reason", F.lit("no_model"))).otherwise(F.col("reason"))})
+    found = results.withColumns({"status": F.coalesce("status", F.lit("unavailable")), "reason": F.when(missing, F.coalesce("reason", F.lit("no_model"))).otherwise(F.col("reason"))})
+    return found.unionByName(none, allowMissingColumns=True)
 
 
 def outcome(status: Column) -> Column:
@@ -114,6 +120,12 @@ def disclosure(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def review_queue(outcomes: DataFrame, most: int) -> DataFrame:
+    """The ``most`` cases that a person should see first: the gravest outcome, then the least case."""
+    rank = F.create_map(*[F.lit(x) for pair in (("suspicious", 0), ("inconclusive", 1), ("unavailable", 2), ("checks_completed", 3)) for x in pair])[F.col("outcome")]
+    return outcomes.filter("manual_review").withColumn("rank", rank).orderBy("rank", "case_id", "workflow").limit(most).drop("rank")
+
+
 def assembled(*checks: DataFrame) -> DataFrame:
     """One row for each case and workflow with all evidence in a fixed order."""
     rows = checks[0]

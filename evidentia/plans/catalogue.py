@@ -1,21 +1,22 @@
 """Every query of the screening operators, with the SQL it must equal.
 
 The fixtures hold no images and no machine-readable zones. Where an operator needs such, its query
-runs on a table of the same shape or on rows written here.
+runs on a table of the same shape, or makes a zone for every customer, some of them with faults.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import client_rules as client
-from evidentia.functions.mrz import mrz_checks, parse_mrz
-from evidentia.operators import evaluation, forensics, governance, models, status
+from evidentia.functions.mrz import check_digit, mrz_checks, parse_mrz
+from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
 from evidentia.operators.document_checks import field_consistency, mrz_fields, printed_fields, rule_findings
 from evidentia.plans.screening import detect_media, screen_documents
+from evidentia.sources import evidence
 from evidentia.streaming import trail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def labelled_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cases: a toxic label is suspicious, low quality inconclusive, no label unavailable."""
     labels = table(spark, sf_dir, "labels")
-    found = F.when(F.col("toxic").isNull(), "unavailable").when(F.col("toxic") == 1, "suspicious").when(F.col("quality") == 0, "inconclusive").otherwise("completed")
+    score = F.when(F.col("toxic") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.0)
+    found = status.check_status(F.col("toxic").isNotNull(), score, 0.4, 0.8)
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left").withColumn("status", found)
 
 
@@ -129,9 +131,13 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", governance.split_of(F.col("source")).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH d AS (SELECT doc_id, text, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'validation' ELSE 'test' END AS split FROM documents) SELECT doc_id FROM d WHERE split = 'test' AND text IN (SELECT text FROM d WHERE split = 'train')")
+_ID_BUCKET = _BUCKET.replace("source", "doc_id::VARCHAR")
+
+
+@query(f"WITH d AS (SELECT doc_id, text, CASE WHEN {_ID_BUCKET} < 80 THEN 'train' WHEN {_ID_BUCKET} < 90 THEN 'validation' ELSE 'test' END AS split FROM documents) SELECT doc_id FROM d WHERE split = 'test' AND text IN (SELECT text FROM d WHERE split = 'train')")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), governance.split_of(F.col("source")).alias("split"))
+    """Split by document, copies end up on both sides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), governance.split_of(F.col("doc_id").cast("string")).alias("split"))
     return governance.split_leakage(docs.filter("split = 'train'"), docs.filter("split = 'test'"), "digest").select("doc_id")
 
 
@@ -167,9 +173,7 @@ def face_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     portraits = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("portrait"))
     pairs = vectors.withColumnRenamed("embedding", "capture").join(portraits, "label")
-    compared = models.face_comparison(pairs, 0.0, 0.3).withColumn("similarity", F.round("similarity", 6))
-    again = F.when(F.col("similarity") >= 0.3, "completed").when(F.col("similarity") >= 0.0, "inconclusive").otherwise("suspicious")
-    return compared.select("vec_id", "similarity", again.alias("status"))
+    return models.face_comparison(pairs, 0.0, 0.3).select("vec_id", F.round("similarity", 6).alias("similarity"), "status")
 
 
 _T = "embedding::DOUBLE[]"
@@ -285,13 +289,12 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.field_accuracy(rows, ["source"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) SELECT event_type, count(gap) AS n, round(quantile_cont(gap, 0.5) / 1e6, 4) AS p50, round(quantile_cont(gap, 0.9) / 1e6, 4) AS p90, round(quantile_cont(gap, 0.99) / 1e6, 4) AS p99 FROM g GROUP BY event_type")
+@query("WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT event_type, count(gap) AS n, round(quantile_cont(gap, 0.5) / 1e6, 4) AS p50, round(quantile_cont(gap, 0.9) / 1e6, 4) AS p90, round(quantile_cont(gap, 0.99) / 1e6, 4) AS p99 FROM g GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    """How long a user's events come after the one before."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gaps = table(spark, sf_dir, "events").withColumn("gap", micros(F.col("ts")) - micros(F.lag("ts").over(order)))
+    gaps = table(spark, sf_dir, "events").select("event_type", (micros(F.col("ts")) - micros(F.lag("ts").over(order))).alias("gap"))
     found = evaluation.latency(gaps, "gap", ["event_type"])
     return found.select("event_type", "n", *[F.round(F.col(p) / 1e6, 4).alias(p) for p in ("p50", "p90", "p99")])
 
@@ -334,33 +337,124 @@ def file_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.file_sessions(_client_events(spark, sf_dir)).select("event_id", "file_no")
 
 
-ZONES = [
-    (1, "Surname: Eriksson\nGiven names: Anna Maria\nPassport No: L898902C3\nNationality: UTO\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "2012-04-15"),
-    (2, "Surname: Eriksson\nPassport No: L898902C4\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "2012-04-16"),
-    (3, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C26UTO7408122F1204159ZE184226B<<<<<10", "2012-02-30"),
-    (4, "I<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<", "2010-01-01"),
-    (5, "no zone at all", None),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 'TD3', true, true, true, true, 'ERIKSSON'), (2, 'TD3', true, true, true, true, 'ERIKSSON'), (3, 'TD3', false, true, true, false, 'ERIKSSON'), (4, 'TD1', true, true, true, true, 'ERIKSSON'), (5, NULL, NULL, NULL, NULL, NULL, NULL)) t(case_id, mrz_format, number_ok, birth_ok, expiry_ok, composite_ok, surname)")
+_K = "c_custkey"
+_DIGIT = "(list_sum([(CASE WHEN {s}[i] BETWEEN '0' AND '9' THEN ascii({s}[i]) - 48 WHEN {s}[i] BETWEEN 'A' AND 'Z' THEN ascii({s}[i]) - 55 ELSE 0 END) * [7, 3, 1][(i - 1) % 3 + 1] for i in range(1, len({s}) + 1)]) % 10)"
+#: What is known of every customer's document: the fields, and the faults by divisors of the key.
+_FACTS = f"""WITH f AS (SELECT {_K} AS case_id, 'AB' || lpad({_K}::VARCHAR, 7, '0') AS number, (50 + {_K} % 50)::VARCHAR || lpad((1 + {_K} % 12)::VARCHAR, 2, '0') || lpad((1 + {_K} % 28)::VARCHAR, 2, '0') AS birth,
+ CASE WHEN {_K} % 13 = 0 THEN '15' ELSE '30' END || '0' || (1 + {_K} % 9)::VARCHAR || '28' AS expiry, ['TD3', 'MRV-A', 'TD2', 'MRV-B', 'TD1'][{_K} % 5 + 1] AS fmt, {_K} % 17 <> 0 AS zone, {_K} % 7 = 0 AS bad_digit, {_K} % 11 = 0 AS differs, {_K} % 13 = 0 AS expired, c_mktsegment AS surname FROM customer),
+ d AS (SELECT *, ({_DIGIT.format(s='number')} + bad_digit::INT) % 10 AS nd, {_DIGIT.format(s='birth')} AS bd, {_DIGIT.format(s='expiry')} AS ed FROM f),
+ z AS (SELECT *, number || nd::VARCHAR || birth || bd::VARCHAR || expiry || ed::VARCHAR AS whole FROM d)"""
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer: case_id, text (printed lines and the zone), expiry, key.
+
+    The zone's format goes by the key modulo 5. Every 7th has a wrong check digit, every 11th a printed
+    number unlike the zone's, every 13th has expired, every 17th has no zone."""
+    k = F.col("c_custkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    fill = lambda n: F.lit("<" * n)
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("key"), F.concat(F.lit("AB"), F.lpad(k.cast("string"), 7, "0")).alias("number"), F.concat((50 + k % 50).cast("string"), two(1 + k % 12), two(1 + k % 28)).alias("birth"),
+        F.concat(F.when(k % 13 == 0, "15").otherwise("30"), two(1 + k % 9), F.lit("28")).alias("end"), F.col("c_mktsegment").alias("surname"),
+    )
+    wrong = F.when(F.col("key") % 7 == 0, 1).otherwise(0)
+    rows = rows.withColumns({"nd": ((check_digit(F.col("number")).cast("int") + wrong) % 10).cast("string"), "bd": check_digit(F.col("birth")), "ed": check_digit(F.col("end"))})
+    names = F.concat("surname", F.lit("<<ANNA"))
+    lower = F.concat("number", "nd", F.lit("UTO"), "birth", "bd", F.lit("F"), "end", "ed")
+    whole = check_digit(F.concat("number", "nd", "birth", "bd", "end", "ed"))  # fillers are worth nothing; a multiple of three lies between
+    zone = {
+        0: F.concat(F.lit("P<UTO"), F.rpad(names, 39, "<"), F.lit("\n"), lower, fill(15), whole),
+        1: F.concat(F.lit("V<UTO"), F.rpad(names, 39, "<"), F.lit("\n"), lower, fill(16)),
+        2: F.concat(F.lit("I<UTO"), F.rpad(names, 31, "<"), F.lit("\n"), lower, fill(7), whole),
+        3: F.concat(F.lit("V<UTO"), F.rpad(names, 31, "<"), F.lit("\n"), lower, fill(8)),
+        4: F.concat(F.lit("I<UTO"), "number", "nd", fill(15), F.lit("\n"), "birth", "bd", F.lit("F"), "end", "ed", F.lit("UTO"), fill(11), whole, F.lit("\n"), F.rpad(names, 30, "<")),
+    }
+    text = F.lit("")
+    for at, lines in zone.items():
+        text = F.when(F.col("key") % 5 == at, lines).otherwise(text)
+    born = F.concat(F.lit("19"), F.substring("birth", 1, 2), F.lit("-"), F.substring("birth", 3, 2), F.lit("-"), F.substring("birth", 5, 2))
+    number = F.when(F.col("key") % 11 == 0, F.concat(F.lit("X"), "number")).otherwise(F.col("number"))
+    printed = F.concat(F.lit("Surname: "), F.initcap("surname"), F.lit("\nDocument No: "), number, F.lit("\nDate of birth: "), born)
+    return rows.select(F.col("key").alias("case_id"), F.when(F.col("key") % 17 == 0, printed).otherwise(F.concat(printed, F.lit("\n"), text)).alias("text"), F.lit(None).cast("string").alias("expiry"), "key")
+
+
+@query(f"{_FACTS} SELECT case_id, CASE WHEN zone THEN fmt END AS mrz_format, CASE WHEN zone THEN NOT bad_digit END AS number_ok, CASE WHEN zone THEN true END AS birth_ok, CASE WHEN zone THEN true END AS expiry_ok, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN true END AS composite_ok, CASE WHEN zone THEN nd::VARCHAR END AS number_digit, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN {_DIGIT.format(s='whole')}::VARCHAR END AS composite_digit, CASE WHEN zone THEN surname END AS surname FROM z")
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
-    return mrz_checks(parse_mrz(zones)).select("case_id", "mrz_format", "number_ok", "birth_ok", "expiry_ok", "composite_ok", F.col("mrz_surname").alias("surname"))
+    checked = mrz_checks(parse_mrz(zones(spark, sf_dir)))
+    return checked.select("case_id", "mrz_format", "number_ok", "birth_ok", "expiry_ok", "composite_ok", F.col("mrz_number_check").alias("number_digit"), F.col("mrz_composite_check").alias("composite_digit"), F.col("mrz_surname").alias("surname"))
 
 
-@query("SELECT * FROM (VALUES (1, 'completed', 4), (2, 'completed', 1), (2, 'suspicious', 1), (2, 'inconclusive', 2), (3, 'inconclusive', 4), (4, 'inconclusive', 4)) t(case_id, status, n)")
+@query(f"{_FACTS}, s AS (SELECT case_id, unnest([CASE WHEN zone THEN 'completed' ELSE 'inconclusive' END, CASE WHEN NOT zone THEN 'inconclusive' WHEN differs THEN 'suspicious' ELSE 'completed' END, CASE WHEN zone THEN 'completed' ELSE 'inconclusive' END]) AS status FROM z UNION ALL SELECT case_id, unnest(['inconclusive', 'inconclusive', 'inconclusive']) FROM z WHERE zone) SELECT case_id, status, count(*) AS n FROM s GROUP BY ALL")
 def mrz_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
-    fields = printed_fields(zones).unionByName(mrz_fields(parse_mrz(zones)))
-    return field_consistency(fields).groupBy("case_id", "status").agg(F.count("*").cast("int").alias("n"))
+    """Surname, number and birth stand in print and in the zone; name, nationality and expiry in the zone only."""
+    cases = zones(spark, sf_dir)
+    fields = printed_fields(cases).unionByName(mrz_fields(parse_mrz(cases), F.lit("2026-01-01").cast("date")))
+    return field_consistency(fields).groupBy("case_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 'suspicious', true), (2, 'suspicious', true), (3, 'suspicious', true), (4, 'suspicious', true), (5, 'checks_completed', true)) t(case_id, outcome, manual_review)")
+@query(f"{_FACTS}, r AS (SELECT case_id, unnest([CASE WHEN NOT zone THEN NULL WHEN bad_digit THEN 'check_digit' WHEN differs THEN 'field_mismatch' WHEN expired THEN 'expired' END, CASE WHEN case_id % 19 = 0 THEN 'repeated_region' END, CASE WHEN case_id % 3 <> 0 THEN 'no_metadata' END, 'no_model']) AS reason FROM z) SELECT case_id, CASE WHEN bool_or(reason IN ('check_digit', 'field_mismatch', 'expired', 'repeated_region')) THEN 'suspicious' ELSE 'checks_completed' END AS outcome, true AS manual_review, array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ',') AS reasons FROM r GROUP BY case_id")
 def document_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = spark.createDataFrame(ZONES, "case_id int, text string, expiry string")
-    results = screen_documents(zones, F.lit("2012-04-17").cast("date"))
-    return status.case_outcomes(results).select("case_id", "outcome", "manual_review")
+    """All document checks: zones, a forensic indicator, files' metadata; no face model and no registry."""
+    cases = zones(spark, sf_dir)
+    indicators = cases.select("case_id", F.lit("repeated_region").alias("indicator"), F.when(F.col("key") % 19 == 0, 20.0).otherwise(0.0).alias("value"))
+    facts = cases.select("case_id", F.when(F.col("key") % 3 == 0, "completed").otherwise("unavailable").alias("provenance_status"))
+    results = screen_documents(cases, F.lit("2026-01-01").cast("date"), indicators=indicators, limits={"repeated_region": (5, 16)}, facts=facts, official=True)
+    return status.case_outcomes(results).select("case_id", "outcome", "manual_review", F.array_join("reasons", ",").alias("reasons"))
+
+
+_GRADE = "CASE WHEN {s} >= 0.8 THEN 'suspicious' WHEN {s} >= 0.4 THEN 'inconclusive' ELSE 'completed' END"
+
+
+@query(f"WITH s AS (SELECT vec_id, vec_id % 2 = 0 AS face, (vec_id % 256) / 255.0 AS g, 1 - (vec_id % 256) / 255.0 AS m FROM embeddings) SELECT vec_id, 'generated_image' AS check_name, {_GRADE.format(s='g')} AS status, round(g, 6)::DOUBLE AS score FROM s UNION ALL SELECT vec_id, 'face_manipulation', CASE WHEN face THEN {_GRADE.format(s='m')} ELSE 'unavailable' END, CASE WHEN face THEN round(m, 6)::DOUBLE END FROM s UNION ALL SELECT vec_id, 'visual_forensics', 'unavailable', NULL FROM s UNION ALL SELECT vec_id, 'explanations', 'completed', NULL FROM s")
+def media_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both media models given, as scorers of the content's first byte; faces in every other image."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.unhex(F.lpad(F.hex(F.col("vec_id") % 256), 2, "0")).alias("content"), (F.col("vec_id") % 2 == 0).alias("face_found"))
+    generated = lambda: lambda batch: batch.map(lambda b: b[0] / 255).to_numpy()
+    manipulated = lambda: lambda batch: batch.map(lambda b: 1 - b[0] / 255).to_numpy()
+    return detect_media(rows, generated, manipulated).select(F.col("case_id").alias("vec_id"), F.col("check").alias("check_name"), "status", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id, outcome, CASE outcome WHEN 'suspicious' THEN 'Escalate to a reviewer with the findings.' WHEN 'inconclusive' THEN 'Ask for a better capture and review by hand.' ELSE 'Run the missing checks before deciding.' END AS action FROM (SELECT doc_id, {_STATUS} AS outcome FROM documents LEFT JOIN labels USING (doc_id)) WHERE outcome <> 'completed' ORDER BY CASE outcome WHEN 'suspicious' THEN 0 WHEN 'inconclusive' THEN 1 ELSE 2 END, doc_id LIMIT 50")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty cases to see first."""
+    results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", F.lit(None).cast("string").alias("reason"))
+    return status.review_queue(status.disclosure(results)["summary"], 50).select(F.col("case_id").alias("doc_id"), "outcome", "action")
+
+
+@query("SELECT c_custkey AS case_id, 2 AS n_items, 'metadata_provenance,tampering' AS checks, CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal / 10000, 6) END AS confidence FROM customer")
+def assembled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks of each case as one row; a confidence only where the score is calibrated."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("document").alias("workflow"), (F.col("c_acctbal") / 10000).alias("score"))
+    made = lambda check, score: own.select("case_id", "workflow", F.lit(check).alias("check"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"), score.alias("score"))
+    whole = status.assembled(made("tampering", F.col("score")), made("metadata_provenance", F.lit(None).cast("double")))
+    score = F.element_at(F.filter("evidence", lambda e: e["check"] == "tampering"), 1)["score"]
+    shown = status.supported_confidence(score, F.col("case_id") % 3 == 0)
+    return whole.select("case_id", F.size("evidence").alias("n_items"), F.array_join(F.transform("evidence", lambda e: e["check"]), ",").alias("checks"), F.round(shown, 6).alias("confidence"))
+
+
+@query("SELECT page_id, strlen(html) AS length, sha256(html) AS digest, contains(html, 'tEXt') OR contains(html, 'c2pa') AS has_data, CASE WHEN contains(html, 'tEXt') OR contains(html, 'c2pa') THEN 'completed' ELSE 'unavailable' END AS status FROM pages")
+def file_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of bytes: its digest, and what provenance data it carries."""
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    return evidence.file_facts(files).select(F.col("path").alias("page_id"), "length", "digest", (F.col("has_text_chunk") | F.col("has_credentials")).alias("has_data"), F.col("provenance_status").alias("status"))
+
+
+@query("WITH t AS (SELECT 'manipulation' AS task, n_chars < 1000 AS f, toxic AS truth FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'identity', n_chars < 400, 1 - quality FROM documents JOIN labels USING (doc_id)) SELECT task, sum((f AND truth = 1)::INT)::BIGINT AS tp, sum((f AND truth = 0)::INT)::BIGINT AS fp, sum((NOT f AND truth = 0)::INT)::BIGINT AS tn, sum((NOT f AND truth = 1)::INT)::BIGINT AS fn FROM t GROUP BY task")
+def manipulation_apart_from_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two tasks are measured apart; their errors never add up."""
+    rows = labelled_outcomes(spark, sf_dir).filter("toxic is not null").select("n_chars", "toxic", "quality")
+    flag = lambda limit: F.when(F.col("n_chars") < limit, "suspicious").otherwise("completed").alias("outcome")
+    tasks = rows.select(F.lit("manipulation").alias("task"), flag(1000), F.col("toxic").alias("truth")).unionByName(rows.select(F.lit("identity").alias("task"), flag(400), (1 - F.col("quality")).alias("truth")))
+    return evaluation.confusion(tasks, F.col("outcome"), F.col("truth"), ["task"]).select("task", "tp", "fp", "tn", "fn")
+
+
+@query("SELECT vec_id, CASE WHEN n < 1.2 OR vec_id % 4 = 0 THEN 'inconclusive' ELSE 'completed' END AS status FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (1 + vec_id % 3) AS n FROM embeddings)")
+def capture_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poor captures are inconclusive, never suspicious."""
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (length * (1 + F.col("vec_id") % 3)).alias("sharpness"), F.when(F.col("vec_id") % 4 == 0, 100).otherwise(640).alias("width"), F.lit(480).alias("height"))
+    return document_checks.quality_gate(rows, 1.2, 320).select("vec_id", F.col("quality_status").alias("status"))
 
 
 @query("SELECT label, 'unavailable' AS outcome, count(*) AS n FROM embeddings GROUP BY label")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evidentia.functions import client_rules as client
-from evidentia.functions.mrz import WEIGHTS, check_digit, mrz_date, parse_mrz
+from evidentia.functions.mrz import WEIGHTS, check_digit, digits_ok, mrz_checks, mrz_date, parse_mrz
 from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
 from evidentia.plans.screening import detect_media, screen_documents
 from evidentia.sources import evidence
@@ -166,3 +166,70 @@ def test_evidence_files(spark, tmp_path):
     grey = evidence.decoded_pixels(spark, str(tmp_path / "a.png"))
     assert grey.count() == 12 and grey.filter("x = 0 and y = 0").first()["v"] == 1
     assert evidence.with_text(files, None).filter("text is not null").isEmpty()
+
+
+SPECIMENS = [
+    (1, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "TD3"),
+    (2, "V<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL8988901C4XXX4009078F96121096ZE184226B<<<<<<", "MRV-A"),
+    (3, "I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<\nD231458907UTO7408122F1204159<<<<<<<6", "TD2"),
+    (4, "V<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<\nL8988901C4XXX4009078F9612109<<<<<<<<", "MRV-B"),
+    (5, "I<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<", "TD1"),
+]
+
+
+def test_published_specimens(spark):
+    """Every format's specimen holds; a letter changed in its number does not."""
+    cases = spark.createDataFrame([(i, z) for i, z, _ in SPECIMENS] + [(i + 10, z.replace("L898", "L897").replace("D2314", "D2315")) for i, z, _ in SPECIMENS], "case_id int, text string")
+    found = {r["case_id"]: r for r in mrz_checks(parse_mrz(cases)).withColumn("ok", digits_ok()).collect()}
+    for i, _, kind in SPECIMENS:
+        assert (found[i]["mrz_format"], found[i]["ok"], found[i]["mrz_surname"], found[i]["mrz_given"]) == (kind, True, "ERIKSSON", "ANNA MARIA")
+        assert found[i + 10]["ok"] is False
+
+
+def test_zone_dates_are_checked(spark):
+    passport, visa = SPECIMENS[0][1], SPECIMENS[1][1]
+    rows = [
+        (1, passport, None), (2, visa, None), (3, "Date of birth: 12.08.1974\n" + passport, None), (4, "Date of birth: 13 Aug 1974\n" + passport, None),
+        (5, "Expiry date: 2012-02-31\n" + passport, None), (6, passport, "2011-01-01"), (7, "no zone", "2011-01-01"), (8, "no zone", "2013-01-01"),
+    ]
+    cases = spark.createDataFrame(rows, "case_id int, text string, expiry string")
+    at = lambda day: {r["case_id"]: (r["status"], r["reason"]) for r in screen_documents(cases, F.lit(datetime.date.fromisoformat(day))).filter("check = 'mrz_consistency'").collect()}
+    valid, late = at("2012-04-15"), at("2026-01-01")
+    assert len(valid) == 8 and valid[1] == ("completed", None) and valid[3] == ("completed", None)
+    assert valid[2] == ("suspicious", "expired")  # 1996
+    assert valid[4] == valid[5] == ("suspicious", "field_mismatch")
+    assert valid[6] == valid[7] == ("suspicious", "expired") and valid[8] == ("unavailable", None)
+    assert late[1] == late[3] == late[8] == ("suspicious", "expired")
+
+
+def test_all_checks_lose_nothing(spark):
+    cases = spark.createDataFrame([(1, "document"), (2, "document")], "case_id int, workflow string")
+    rows = document_checks.official_status(cases).unionByName(results(spark, [(1, "document", "tampering", "completed", None, 0.1), (1, "document", "tampering", "suspicious", "score_high", 0.9), (2, "document", "tampering", None, None, None)]))
+    found = status.all_checks(rows, cases).collect()
+    assert len(found) == 13 and sum(r["check"] == "official_status" for r in found) == 2
+    assert sorted(r["status"] for r in found if r["check"] == "tampering") == ["completed", "suspicious", "unavailable"]
+
+
+def test_wired_screening(spark):
+    cases = spark.createDataFrame([(1, "text", None, "inconclusive"), (2, "text", None, "completed"), (3, "text", None, None)], "case_id int, text string, expiry string, quality string")
+    indicators = spark.createDataFrame([(1, "repeated_region", 20.0), (1, "noise", 0.5), (2, "noise", 0.5), (2, "unknown", 9.0), (3, "noise", None)], "case_id int, indicator string, value double")
+    faces = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0]), (2, [1.0, 0.0], [0.0, 1.0]), (3, None, [0.0, 1.0])], "case_id int, portrait array<double>, capture array<double>")
+    facts = spark.createDataFrame([(1, "completed"), (2, "unavailable")], "case_id int, provenance_status string")
+    found = screen_documents(cases, F.lit(datetime.date(2026, 1, 1)), quality="quality", indicators=indicators, limits={"repeated_region": (5, 16), "noise": (0.4, 0.8)}, faces=faces, facts=facts, official=True)
+    by = {(r["case_id"], r["check"]): (r["status"], r["reason"]) for r in found.collect()}
+    assert [by[i, "ocr_fields"][0] for i in (1, 2, 3)] == ["inconclusive", "completed", "completed"]
+    assert [by[i, "tampering"] for i in (1, 2, 3)] == [("suspicious", "repeated_region"), ("inconclusive", "score_band"), ("unavailable", "no_model")]
+    assert [by[i, "face_verification"] for i in (1, 2, 3)] == [("completed", None), ("suspicious", "face_differs"), ("unavailable", "no_face")]
+    assert [by[i, "metadata_provenance"] for i in (1, 2, 3)] == [("completed", None), ("unavailable", "no_metadata"), ("unavailable", "no_model")]
+    assert found.count() == 18
+
+
+def test_every_body_has_its_entries(spark):
+    bodies = ['{"a_b":{"c":[1]},"d":null,"e":"x"}', "<html>", '[true,"y"]', "null", '"text"', "7", None]
+    rows = client.response_entries(spark.createDataFrame(list(enumerate(bodies)), "i int, body string")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["i"], []).append((r["key"], r["label"], r["value"]))
+    assert sorted(by[0]) == [("a_b", "a b", '{\n  "c": [\n    1\n  ]\n}'), ("d", "d", "null"), ("e", "e", "x")]
+    assert by[1] == [("error", "error", client.NOT_JSON)] and sorted(by[2]) == [("0", "0", "true"), ("1", "1", "y")]
+    assert set(by) <= {0, 1, 2, 6}
