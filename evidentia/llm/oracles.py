@@ -80,7 +80,7 @@ def quality_rules_sql() -> str:
     metrics = " UNION ALL ".join(f"SELECT doc_id, stratum, quality, '{r}' AS rule, {r} AS value FROM labelled" for r in control.rules)
     broken = ", ".join(f"CASE WHEN s.{r} > (SELECT level FROM best b WHERE b.stratum = s.lang AND b.rule = '{r}') THEN '{r}' END" for r in control.rules)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
 windows AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) r(k) GROUP BY doc_id),

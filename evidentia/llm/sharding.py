@@ -12,7 +12,9 @@ shard, as (arc, from, to, shard, first slot). Keys are ranked within their arc b
 buckets whose number grows with the input, so that no window holds more than a bounded share.
 
 Defined results: a null id is a key like any other; equal rows are separate keys, next to each
-other; a null text has the size 1; an empty table has no rows. The law that holds is ``rows``.
+other; ties of hashes are broken by id, text and size; a null or empty text has the size 1, a long one
+its whole length; an empty table has no rows; columns of the input other than doc_id and text give
+way. The law that holds is ``rows``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import digits
 from evidentia.plans.staging import staged
 
+#: Parts in which rows alike in id and text are counted.
+PARTS = 64
+
+
 @dataclass(frozen=True)
 class Ring:
     """shards with ``points`` virtual nodes each; rows that one window ranks, about."""
@@ -97,21 +103,26 @@ def shard_rows(documents: DataFrame, ring: Ring = Ring()) -> DataFrame:
     place = F.shiftrightunsigned(F.xxhash64(key), 33)
     keys = documents.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        place.alias("place"), F.xxhash64(key, F.lit("order")).alias("order"),
+        place.alias("place"), F.xxhash64(key, text, F.lit("order")).alias("order"),
     )
-    keys = staged(keys.withColumn("arc", arc_of(F.col("place"), [p for p, _ in nodes])).drop("place"), "shard_keys")
+    keys = keys.withColumn("arc", arc_of(F.col("place"), [p for p, _ in nodes])).drop("place")
+    # Rows that are alike in id and text are one row with a count, in a few parts; which of them takes
+    # which place makes no difference. So one id, or one text, never fills a task.
+    keys = keys.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    keys = staged(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")), "shard_keys")
 
-    total = keys.count()
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     fine = max(1, -(-total // (len(nodes) * ring.rows_per_bucket)))
     keys = keys.withColumn("fine", F.pmod(F.shiftrightunsigned("order", 20), F.lit(fine)).cast("int"))
-    sizes = staged(keys.groupBy("arc", "fine").agg(F.count("*").alias("n")), "shard_buckets")
+    sizes = staged(keys.groupBy("arc", "fine").agg(F.sum("n").alias("n")), "shard_buckets")
     counts = {r["arc"]: r["n"] for r in sizes.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     runs = walk(counts, nodes, ring.shards)
 
     before = Window.partitionBy("arc").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("arc", "fine", "offset")
-    within = Window.partitionBy("arc", "fine").orderBy("order", "doc_id", "text_crc32", "size")
-    ranked = keys.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["arc", "fine"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    within = Window.partitionBy("arc", "fine").orderBy("order", "doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keys.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["arc", "fine"])
+    ranked = ranked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("rank", F.col("rank") + F.col("offset") + F.col("i"))
     # At most a run for each arc and shard, whatever the input.
     plan = spark.createDataFrame([(r.arc, r.start, r.stop, r.shard, r.slot) for r in runs], "of int, start long, stop long, shard int, first long")
     placed = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("of")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop")))

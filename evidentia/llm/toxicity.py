@@ -3,18 +3,25 @@
 Voters are words and word beginnings that a bounded sample of labelled documents shows to be far
 likelier in toxic texts, a fixed list of insults, and patterns of address and shouting. A voter
 votes where it occurs and abstains elsewhere. The label model is generative: given the unknown
-class, each voter fires at a rate of its own. EM estimates those rates, with the document's label
-as one more voter that may err. Voters repeat each other (a word and its beginning always fire
-together), so the correlations left within the classes are estimated too, and a voter that k
-others echo counts as 1/(1+k) of a vote. The posterior labels then train a logistic classifier on
-the voters, which scores every document.
-
-Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from, and labels, language, source
-and id never enter a score. The sample is at most ``per_class`` documents of each class, those with
-the lowest hashes; the driver sees only their voters. Scoring is one pass over whole texts without
-shuffles. Defined results: a null or empty text has no voters and gets the score of silence;
-equal texts get equal scores; with labels of one class only or none, every score is the smoothed
-share of toxic labels, 0 where there is none.
+class, each voter fires at a rate of its own. EM estimates those rates over the labelled sample and a
+bounded sample of documents without labels, those of them that have a vote; a label is one more witness there, of an accuracy that
+is estimated like the voters', and tells which class is the toxic one. A label that no voter bears
+out is overruled. Voters repeat each other (a word and its beginning always fire together): their correlations within the classes are
+parameters too, estimated in each round, and the votes are weighted by the inverse of the
+correlation matrix, so that echoes share one vote. The posterior labels, made from the votes and not
+from the given labels, then train a logistic classifier on the voters, which scores every document.
+
+Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from, with or without labels, and
+labels, language, source and id never enter a score. The samples are at most ``per_class`` documents
+of each class and ``unlabelled`` others, those with the lowest hashes; the driver sees only their
+voters. Of the induced voters the ``voters`` strongest are kept; on the fixtures there are fewer.
+Scoring is one pass over whole texts without shuffles.
+
+Defined results: a null or empty text has no voters and gets the score of silence; a text of any
+length is read whole; equal texts and repeated rows get equal scores; an id that occurs several
+times is learnt from once, with its least text and its gravest label; columns of the input other
+than doc_id and text give way; without documents there are no rows; with labels of one class only or
+none, every score is the smoothed share of toxic labels, 0 where there is none.
 """
 
 from __future__ import annotations
@@ -46,13 +53,21 @@ PATTERNS = {
 }
 
 
+#: In the place of a label where there is none.
+UNLABELLED = -1
+#: The least correlation within the classes at which voters count as echoes of each other.
+ECHO = 0.5
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """per_class: labelled documents of each class to learn from, at most. voters: induced voters
-    kept, the strongest. odds: how many times likelier a voter must be in toxic texts. seen: toxic
-    documents that must have it. label_accuracy: how far a label is trusted before EM."""
+    """per_class, unlabelled: documents of each labelled class, and others, to learn from, at most.
+    voters: induced voters kept, the strongest. odds: how many times likelier a voter must be in toxic
+    texts. seen: toxic documents that must have it. label_accuracy: how far a label is trusted at
+    the start of EM."""
 
     per_class: int = 4000
+    unlabelled: int = 8000
     voters: int = 400
     odds: float = 8.0
     seen: int = 5
@@ -95,11 +110,14 @@ class Voters:
 
 
 def sampled(documents: DataFrame, labels: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, text, toxic of the documents to learn from; one row for each id."""
+    """doc_id, text, toxic of the documents to learn from; one row for each id, UNLABELLED where there is no label."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(F.pmod(F.crc32(digits(F.col("doc_id"))), F.lit(5)) != 0)
     order = [F.xxhash64(digits(F.col("doc_id"))), F.col("doc_id")]
     ids = marks.filter("toxic = 1").orderBy(*order).limit(model.per_class).unionByName(marks.filter("toxic = 0").orderBy(*order).limit(model.per_class))
+    rest = documents.select("doc_id").filter("doc_id is not null").filter(F.pmod(F.crc32(digits(F.col("doc_id"))), F.lit(5)) != 0)
+    rest = rest.join(labels.filter("toxic is not null").select("doc_id"), "doc_id", "left_anti").distinct()
+    ids = ids.unionByName(rest.orderBy(*order).limit(model.unlabelled).withColumn("toxic", F.lit(UNLABELLED).cast(ids.schema["toxic"].dataType)))
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     return staged(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "toxicity_sample")
 
@@ -113,7 +131,8 @@ def induced(sample: DataFrame, n_toxic: int, n_clean: int, model: ToxicityModel)
             for text, is_toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = set(WORD.findall(text.as_py().lower()))
                 own.update([s for w in own for s in stems(w)])
-                (toxic if is_toxic else clean).update(own)
+                if is_toxic != UNLABELLED:
+                    (toxic if is_toxic else clean).update(own)
         names = sorted(toxic.keys() | clean.keys())
         for k in range(0, len(names), 50_000):
             part = names[k : k + 50_000]
@@ -125,28 +144,54 @@ def induced(sample: DataFrame, n_toxic: int, n_clean: int, model: ToxicityModel)
     return [r["term"] for r in best.collect()]
 
 
+def posteriors(votes: np.ndarray, rates: tuple[np.ndarray, np.ndarray], share: np.ndarray, prior: float, typical: np.ndarray) -> np.ndarray:
+    """The probability of the toxic class for each row: rates of firing in clean and toxic texts, weights of the voters.
+
+    A vote adds what firing says over silence. What silence of all says is not multiplied up from
+    hundreds of rare voters but set so that the mean over the ``typical`` rows is ``prior``."""
+    fires, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+    evidence = votes @ (share * (fires - silent))
+    of = lambda base, e=evidence: 1 / (1 + np.exp(-np.clip(base + e, -30, 30)))
+    low, high = -60.0, 60.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if of(middle, evidence[typical]).mean() < prior else (low, middle)
+    return np.clip(of(low), 1e-12, 1 - 1e-12)
+
+
+def echo_weights(votes: np.ndarray, posterior: np.ndarray, rates: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The inverse of the voters' correlations within the classes, summed for each voter: 1 for one that
+    none repeats, 1/k for each of k that always fire together. Correlations below ECHO do not count:
+    posteriors that are not sure leave some between any two voters of a class."""
+    left = votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])
+    spread = np.sqrt((left**2).mean(0)) + 1e-9
+    correlation = np.clip((left.T @ left) / len(votes) / np.outer(spread, spread), 0, 1)
+    correlation[correlation < ECHO] = 0
+    np.fill_diagonal(correlation, 1)
+    return np.clip(np.linalg.solve(correlation + 0.05 * np.eye(len(correlation)), np.full(len(correlation), 1.05)), 0, 1)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, accuracy: float, rounds: int = 30) -> np.ndarray:
-    """The posterior probability of the toxic class for each row, by EM over correlated voters."""
-    said = np.where(labels == 1, np.log(accuracy / (1 - accuracy)), np.log((1 - accuracy) / accuracy))
-    start = np.log(prior / (1 - prior))
-    posterior = 1 / (1 + np.exp(-(start + said)))
+    """The posterior probability of the toxic class for each row, from its votes alone.
+
+    Rates and correlations come from EM over all rows. Where there is a label (UNLABELLED for none) it
+    stands beside the votes while rates are estimated, as one more witness whose own accuracy in each
+    class is estimated too; that keeps the classes what the labels mean. It has no part in what is
+    returned, so a label that the votes do not bear out is overruled."""
+    known, said = labels != UNLABELLED, labels == 1
     v = votes.astype(float)
+    posterior, heard = None, np.where(said, accuracy, 1 - accuracy)
+    counts = known.astype(float)
     for _ in range(rounds):
-        rate = [(p @ v + 0.1) / (p.sum() + 1) for p in (1 - posterior, posterior)]
-        left = v - np.outer(1 - posterior, rate[0]) - np.outer(posterior, rate[1])
-        spread = np.sqrt((left**2).mean(0)) + 1e-9
-        correlation = (left.T @ left) / len(v) / np.outer(spread, spread)
-        np.fill_diagonal(correlation, 0)
-        share = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
-        fires, silent = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        evidence = v @ (share * fires) + (1 - v) @ (share * silent)
-        new = 1 / (1 + np.exp(-np.clip(start + said + evidence, -30, 30)))
-        right = np.clip(np.where(labels == 1, new, 1 - new).mean(), 0.6, 0.99)
-        said = np.where(labels == 1, np.log(right / (1 - right)), np.log((1 - right) / right))
-        done = np.abs(new - posterior).max() < 1e-6
-        posterior = new
-        if done:
+        rates = tuple(((p * counts) @ v + 0.1) / ((p * counts).sum() + 1) for p in (1 - heard, heard))
+        new = posteriors(v, rates, echo_weights(v, heard, rates), prior, known if known.any() else ~known)
+        done = posterior is not None and np.abs(new - posterior).max() < 1e-6
+        posterior, counts = new, np.ones(len(v))
+        if done or not known.any():
             break
+        right = [np.clip(((p * said)[known].sum() + 0.5) / (p[known].sum() + 1), 0.01, 0.99) for p in (1 - heard, heard)]
+        witness = np.where(said, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))) * known
+        heard = 1 / (1 + np.exp(-np.clip(np.log(new / (1 - new)) + witness, -30, 30)))
     return posterior
 
 
@@ -184,16 +229,20 @@ def fit(documents: DataFrame, labels: DataFrame, model: ToxicityModel) -> Fitted
 
     kinds = {f.name: f.dataType.simpleString() for f in sample.schema}
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(vote, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, fired array<int>").orderBy("doc_id").collect()
+    # A text without a label on which no voter votes says nothing of the voters.
+    rows = [r for r in rows if r["toxic"] != UNLABELLED or r["fired"]]
     y = np.array([r["toxic"] for r in rows])
     votes = np.zeros((len(rows), len(names)), bool)
     for i, r in enumerate(rows):
         votes[i, r["fired"]] = True
-    if not 0 < y.sum() < len(y):
+    known = y != UNLABELLED
+    if not 0 < (y == 1).sum() < known.sum():
         return Fitted(intercept=float(np.log((t + 0.5) / (n - t + 0.5))))
     share = t / n
-    # The sample has the classes in other proportions than the labels; weights put that right.
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    posterior = label_model(votes, y, float(y.mean()), model.label_accuracy)
+    # The labelled sample has the classes in other proportions than the labels; weights put that right.
+    ratio = (y == 1).sum() / known.sum()
+    weight = np.where(y == 1, share / ratio, np.where(y == 0, (1 - share) / (1 - ratio), 1.0))
+    posterior = label_model(votes, y, float(share), model.label_accuracy)
     w = train_linear(votes.astype(float), posterior, weight, model.ridge)
     return Fitted(names, w[:-1].tolist(), float(w[-1]))
 

@@ -1,10 +1,17 @@
 """The registered queries and the pipeline leave nothing out."""
 
+import bisect
+import random
+
+import numpy as np
+import xxhash
+
 import corpus_pipeline
 from evidentia.llm import decontamination as decon
-from evidentia.llm import queries
+from evidentia.llm import queries, toxicity
 from evidentia.llm.line_dedup import LineMatching, line_dedup
 from evidentia.llm.ngram_join import one_of_each_group
+from evidentia.llm.sharding import Ring, shard_rows
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import VOCABULARY, brute_lines, some_lines
 
@@ -69,3 +76,69 @@ def test_one_of_each_group_where_ids_repeat_or_are_null(documents):
     assert sorted(r["text"] for r in kept) == sorted([one, two])
     kept = one_of_each_group(documents([(None, one), (None, near(one)), (None, two), (5, near(two))])).collect()
     assert len(kept) == 2 and {r["doc_id"] for r in kept} == {None, 5}
+
+
+def test_a_null_language_is_a_stratum_apart(spark, labels):
+    """Its cutoffs do not change with a language that is called none."""
+    from evidentia.llm import quality_rules as rules
+
+    rng = random.Random(4)
+    text = lambda tail: " ".join("".join(rng.choices("abcdefghij", k=6)) + tail for _ in range(30))
+    rows = [(i, text("" if i < 600 else "###"), None) for i in range(720)]
+    other = [(1000 + i, text("###"), "none") for i in range(600)]
+    marks = labels([(i, int(i < 600), 0) for i in range(720)] + [(1000 + i, 1, 0) for i in range(600)])
+    control = rules.RiskControl(limit=0.1, error=0.1, rules={"symbols_per_word": rules.RULES["symbols_per_word"]}, broadcast_rows=1)
+    for extra in ([], other):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+        kept = {r["doc_id"] for r in rules.quality_rules(docs, marks, control).collect() if r["kept"]}
+        assert kept == {*range(600), *(k for k, _, _ in extra)}
+
+
+def test_op5_equals_a_plain_walk(spark):
+    """Key by key around the ring, with the hashes made outside Spark."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    nodes = Ring().nodes()
+    positions = [p for p, _ in nodes]
+    arcs = [[] for _ in nodes]
+    for r in docs:
+        key = xxhash.xxh64(str(r["doc_id"]).encode(), seed=42).intdigest()
+        order = xxhash.xxh64(b"order", seed=xxhash.xxh64((r["text"] or "").encode(), seed=key).intdigest()).intdigest()
+        arcs[bisect.bisect_left(positions, key >> 33) % len(nodes)].append((order - (order >> 63 << 64), r["doc_id"]))
+    room = [len(docs) // 8 + (s < len(docs) % 8) for s in range(8)]
+    used, expected, over = [0] * 8, {}, []
+
+    def put(shard, key):
+        expected[key] = (shard, used[shard])
+        used[shard] += 1
+
+    for arc, (_, shard) in enumerate(nodes):
+        for _, key in sorted(arcs[arc]):
+            if used[shard] < room[shard]:
+                put(shard, key)
+            else:
+                over.append((arc, key))
+    for arc, key in over:
+        put(next(s for k in range(1, len(nodes) + 1) if used[s := nodes[(arc + k) % len(nodes)][1]] < room[s]), key)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in queries.op5_sharding(spark, DATA).collect()} == expected
+
+
+def test_one_id_and_one_text_fill_no_window(documents):
+    found = shard_rows(documents([(7, "same")] * 700 + [(7, f"t{i}") for i in range(100)] + [(None, None)] * 300), Ring(rows_per_bucket=1)).collect()
+    slots = [sorted(r["slot"] for r in found if r["shard"] == s) for s in range(8)]
+    assert len(found) == 1100 and all(v == list(range(len(v))) for v in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_labels_that_votes_do_not_bear_out_are_overruled():
+    rng = np.random.default_rng(3)
+    toxic = rng.random(2000) < 0.2
+    votes = np.column_stack([np.where(toxic, rng.random(2000) < 0.6, rng.random(2000) < 0.01) for _ in range(6)])
+    labels = np.where(rng.random(2000) < 0.5, toxic.astype(int), toxicity.UNLABELLED)
+    wrong = np.flatnonzero((labels == 0) & ~votes.any(1))[:20]
+    labels[wrong] = 1
+    posterior = toxicity.label_model(votes, labels, 0.2, 0.95)
+    assert ((posterior > 0.5) == toxic).mean() > 0.95 and (posterior[wrong] < 0.5).all()
+    # The weights: voters that always fire together share one vote.
+    rates = (np.full(4, 0.05), np.full(4, 0.5))
+    echo = np.column_stack([votes[:, 0]] * 3 + [votes[:, 1]]).astype(float)
+    weights = toxicity.echo_weights(echo, toxic.astype(float), rates)
+    assert np.allclose(weights[:3].sum(), 1, atol=0.05) and weights[3] > 0.9
