@@ -95,8 +95,8 @@ def copy_move(pixels: DataFrame, size: int = 4, least_offset: int = 4, step: int
     corner = spread.select("img_id", (F.col("x") - F.col("at") % size).alias("cx"), (F.col("y") - F.floor(F.col("at") / size)).cast("int").alias("cy"), "at", "v")
     blocks = corner.groupBy("img_id", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))
     values = F.transform("cells", lambda c: c["v"])
-    blocks = blocks.filter((F.size("cells") == size * size) & (F.array_min(values) < F.array_max(values))).select("img_id", "cx", "cy", values.alias("content"))
-    same = Window.partitionBy("img_id", "content").orderBy("cy", "cx")
+    blocks = blocks.filter((F.size("cells") == size * size) & (F.array_min(values) < F.array_max(values))).select("img_id", "cx", "cy", F.xxhash64(values).alias("h1"), F.xxhash64(values, F.lit(1)).alias("h2"))
+    same = Window.partitionBy("img_id", "h1", "h2").orderBy("cy", "cx")
     moved = blocks.select("img_id", (F.lead("cx").over(same) - F.col("cx")).alias("dx"), (F.lead("cy").over(same) - F.col("cy")).alias("dy")).filter("dx is not null")
     far = moved.filter(F.greatest(F.abs("dx"), F.abs("dy")) >= least_offset)
     return far.groupBy("img_id", "dx", "dy").agg(F.count("*").alias("n_blocks"))

@@ -50,7 +50,7 @@ def file_facts(files: DataFrame) -> DataFrame:
 def decoded_pixels(spark: SparkSession, path: str) -> DataFrame:
     """path, x, y, v (grey level 0 to 255) of the images that Spark's image source can decode.
 
-    WebP and broken files are dropped by the source; they stay visible as missing paths."""
+    WebP and broken files are dropped by the source; ``decode_results`` reports them."""
     images = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
 
     def grey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,6 +66,16 @@ def decoded_pixels(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInPandas(grey, "img_id string, x int, y int, v int")
 
 
+def decode_results(spark: SparkSession, path: str) -> DataFrame:
+    """path, status and reason of every accepted file: unavailable where the image source cannot decode it."""
+    images = spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("origin"), (F.col("image.height") > 0).alias("read"))
+    one = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the two sources write file:/ and file:///
+    listed = read_evidence(spark, path).select("path")
+    known = images.filter("read").select(one(F.col("origin")).alias("origin"), "read").distinct()
+    both = listed.join(known, one(F.col("path")) == F.col("origin"), "left")
+    return both.select("path", F.when(F.col("read"), "completed").otherwise("unavailable").alias("status"), F.when(F.col("read").isNull(), "unreadable").alias("reason"))
+
+
 def with_text(files: DataFrame, engine: Callable[[bytes], str | None] | None) -> DataFrame:
     """The files with ``text`` from a pluggable OCR engine; null, and so unavailable, where there is none."""
     if engine is None:

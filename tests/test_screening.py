@@ -165,6 +165,8 @@ def test_evidence_files(spark, tmp_path):
     assert (found["image/png"]["provenance_status"], found["image/webp"]["provenance_status"]) == ("unavailable", "completed")
     grey = evidence.decoded_pixels(spark, str(tmp_path / "a.png"))
     assert grey.count() == 12 and grey.filter("x = 0 and y = 0").first()["v"] == 1
+    read = {r["path"].rsplit("/", 1)[1]: (r["status"], r["reason"]) for r in evidence.decode_results(spark, str(tmp_path)).collect()}
+    assert read == {"a.png": ("completed", None), "b.jpg": ("unavailable", "unreadable"), "c.webp": ("unavailable", "unreadable")}
     assert evidence.with_text(files, None).filter("text is not null").isEmpty()
 
 
