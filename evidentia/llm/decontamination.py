@@ -13,25 +13,36 @@ budget. A document holds the item too if the segments it holds make up more than
 characters of all segments, wherever they stand. The distance reported for such a part is that of
 the segments found plus the characters of those missing, and above the budget of the whole item.
 
-The benchmark is the query set: it is read block by block, each of a fixed size, and every block
-meets all documents in a pass of its own without a shuffle. Defined results: null or empty items
-are never found; items under ``shortest`` characters only match documents that are nothing else;
-a null text holds no item; item ids that repeat are reported once, with the least distance.
+The benchmark is the query set: it is read block by block, each of a fixed size. A benchmark of one
+block meets all documents in one pass without a shuffle. Of a larger one, every block has a pass of
+its own that writes its hits; a block's broadcast is given up before the next one is made, so a task
+holds one automaton at any size of the benchmark, and the hits are joined to the documents at the end.
+
+Defined results: null or empty items are never found; items under ``shortest`` characters are found
+as whole words without edits, wherever they stand, so an item of one common word is found in many
+documents; a null or empty text holds no item; a text of any length is searched whole; item ids that
+repeat are reported once, with the least distance, null ids first; rows that agree in id and text
+have equal results; empty tables give empty results. Of the columns of ``documents`` only doc_id and
+text are read; ``without_leaks`` passes all on, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.llm.common import bounded_batches
+from evidentia.plans.staging import staged
 
 _WORD = re.compile(r"\w+")
 
@@ -108,7 +119,8 @@ class Matcher:
     """Finds the items of one block. items: (id, text)."""
 
     def __init__(self, items: tuple[tuple[object, str], ...], rule: EditMatching):
-        self.items, self.whole, self.rule = [], {}, rule
+        #: (id, characters, budget, masks, whether it is a segment); short items have no masks.
+        self.items, self.rule = [], rule
         #: (item id, budget, places of its segments in ``items``, their characters) of items of several.
         self.parts: list[tuple[object, int, list[int], int]] = []
         self.found: dict[str, list[tuple[int, int]]] = {}
@@ -116,7 +128,8 @@ class Matcher:
         for key, text in items:
             item = normal(text)
             if 0 < len(item) < rule.shortest:
-                self.whole.setdefault(item, []).append(key)
+                self.found.setdefault(item, []).append((len(self.items), 0))
+                self.items.append((key, len(item), 0, None, False))
             elif item:
                 self._add(key, item)
                 cut = segments(text, rule)
@@ -146,14 +159,18 @@ class Matcher:
     def leaks(self, text: str | None) -> list[tuple[object, int]]:
         """(item id, distance) of the items that the text holds whole or for the most part."""
         own = normal(text)
-        found = {key: 0 for key in self.whole.get(own, ())}
+        found: dict[object, int] = {}
         if not self.items or not own:
-            return list(found.items())
+            return []
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(own):
             for i, start in places:
-                _, length, budget, _, _ = self.items[i]
+                key, length, budget, masks, _ = self.items[i]
                 at = end + 1 - size - start
+                if masks is None:
+                    if own[max(at - 1, 0) : at] in ("", " ") and own[end + 1 : end + 2] in ("", " "):
+                        found[key] = 0
+                    continue
                 low, high = max(0, at - budget), min(len(own), at + length + budget)
                 spans = windows.setdefault(i, [])
                 # Hits come by their end, so a window may begin before an earlier one; both are joined.
@@ -179,7 +196,7 @@ class Matcher:
         return list(found.items())
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def matcher(items: tuple[tuple[object, str], ...], rule: EditMatching) -> Matcher:
     return Matcher(items, rule)
 
@@ -199,40 +216,77 @@ def item_blocks(benchmark: DataFrame, rule: EditMatching) -> Iterator[tuple[tupl
 
 def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rule: EditMatching = EditMatching()) -> DataFrame:
     """doc_id and ``leaks``, array of (item_id, distance), of every document."""
-    item = benchmark.schema["item_id"].dataType.simpleString()
-    leak = f"array<struct<item_id:{item},distance:int>>"
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    found = bounded_batches(documents).select("doc_id", "text", F.array().cast(leak).alias("leaks"))
-    for block in item_blocks(benchmark, rule):
-        found = found.mapInArrow(_reporting(documents.sparkSession.sparkContext.broadcast(block), rule), f"doc_id {kind}, text string, leaks {leak}")
-    return found.select("doc_id", "leaks")
+    one, blocks = _one_block(benchmark, rule)
+    if one is not None:
+        items = documents.sparkSession.sparkContext.broadcast(one)
+        return _searched(documents.select("doc_id", "text"), items, benchmark, rule)
+    found = _found(documents, blocks, benchmark, rule).select("id", "hash", F.explode("leaks").alias("x"))
+    found = found.groupBy("id", "hash", F.col("x.item_id").alias("item_id")).agg(F.min("x.distance").alias("distance"))
+    found = found.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("item_id", "distance"))).alias("leaks"))
+    every = documents.select("doc_id", _hash().alias("text_hash"))
+    met = every.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    return met.select("doc_id", F.coalesce("leaks", F.array().cast(_leaks_type(benchmark))).alias("leaks"))
 
 
-def _reporting(block, rule: EditMatching):
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _leaks_type(benchmark: DataFrame) -> str:
+    return f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},distance:int>>"
+
+
+def _one_block(benchmark: DataFrame, rule: EditMatching) -> tuple[tuple | None, Iterator[tuple]]:
+    """The only block of the benchmark, if it is the only one, and all blocks."""
+    blocks = item_blocks(benchmark, rule)
+    some = list(itertools.islice(blocks, 2))
+    return (some[0] if some else ()) if len(some) < 2 else None, itertools.chain(some, blocks)
+
+
+def _found(documents: DataFrame, blocks: Iterator[tuple], benchmark: DataFrame, rule: EditMatching) -> DataFrame:
+    """id, hash of the text and ``leaks`` of the documents that hold items: a row for each block with any."""
+    spark, found = documents.sparkSession, []
+    keyed = documents.select(F.col("doc_id").alias("id"), _hash().alias("hash"), "text")
+    for block in blocks:
+        items = spark.sparkContext.broadcast(block)
+        found.append(staged(_searched(keyed, items, benchmark, rule).filter(F.size("leaks") > 0), "item_hits"))
+        items.destroy()
+    return functools.reduce(DataFrame.union, found)
+
+
+def _searched(documents: DataFrame, items: Broadcast, benchmark: DataFrame, rule: EditMatching) -> DataFrame:
+    """The documents with ``leaks`` in the place of their text, the last column."""
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(benchmark.schema["item_id"].dataType)), ("distance", pa.int32())]))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in documents.schema.fields[:-1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = matcher(block.value, rule)
+        finder = matcher(items.value, rule)
         for batch in batches:
             leaks = []
-            for text, known in zip(batch.column(1), batch.column(2).to_pylist()):
-                best = {x["item_id"]: x["distance"] for x in known}
+            for text in batch.column("text"):
+                best: dict[object, int] = {}
                 for key, distance in finder.leaks(text.as_py()):
                     best[key] = min(distance, best.get(key, distance))
-                leaks.append([{"item_id": k, "distance": best[k]} for k in sorted(best, key=lambda k: (k is None, k))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaks, batch.schema.field(2).type)], ["doc_id", "text", "leaks"])
+                leaks.append([{"item_id": k, "distance": best[k]} for k in sorted(best, key=lambda k: (k is not None, k))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, kind)], [*batch.schema.names[:-1], "leaks"])
 
-    return run
+    return bounded_batches(documents).mapInArrow(run, ", ".join([*kinds, f"leaks {_leaks_type(benchmark)}"]))
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, rule: EditMatching = EditMatching()) -> DataFrame:
-    """The documents that hold no item, with their own columns; a pass for each block, no shuffle."""
-    text_at = bounded_batches(documents).columns.index("text")
-    for block in item_blocks(benchmark, rule):
-        items = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            finder = matcher(items.value, rule)
-            for batch in batches:
-                yield batch.filter(pa.array([not finder.leaks(x.as_py()) for x in batch.column(text_at)], pa.bool_()))
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    """The documents that hold no item, with their own columns; no shuffle if the benchmark is one block."""
+    one, blocks = _one_block(benchmark, rule)
+    if one is None:
+        found = staged(_found(documents, blocks, benchmark, rule).select("id", "hash").distinct(), "item_holders")
+        rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col("doc_id"), _hash().alias("text_hash"))
+        clean = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_anti")
+        return clean.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+    text_at = documents.columns.index("text")
+    items = documents.sparkSession.sparkContext.broadcast(one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = matcher(items.value, rule)
+        for batch in batches:
+            yield batch.filter(pa.array([not finder.leaks(x.as_py()) for x in batch.column(text_at)], pa.bool_()))
+
+    return bounded_batches(documents).mapInArrow(run, documents.schema)

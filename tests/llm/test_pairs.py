@@ -166,13 +166,30 @@ def test_edit_matching_equals_brute_force():
 def test_leaks_in_blocks(spark, documents):
     items = [(1, "The quick brown fox jumps over the lazy dog again and again"), (2, None), (3, ""), (4, "short item"), (5, "Another passage that nobody else would ever write down here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    texts = [*ODD, "so: the QUICK brown fox jumped over the lazy dog, again and again!", "Short  item.", "a short item within", items[4][1] + " " + items[0][1]]
+    texts = [*ODD, "so: the QUICK brown fox jumped over the lazy dog, again and again!", "Short  item.", "a short item within", "short items, or a cohort item", items[4][1] + " " + items[0][1]]
     docs = documents(texts, leaks="clash")
     for block in (4_000_000, 10):
         rule = decon.EditMatching(block_chars=block)
         found = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decon.benchmark_leaks(docs, benchmark, rule).collect()}
         n = len(ODD)
-        assert {k: v for k, v in found.items() if v} == {n: [1], n + 1: [4], n + 3: [1, 5]} and len(found) == len(texts)
+        assert {k: v for k, v in found.items() if v} == {n: [1], n + 1: [4], n + 2: [4], n + 4: [1, 5]} and len(found) == len(texts)
         clean = decon.without_leaks(docs, benchmark, rule)
-        assert sorted(r["doc_id"] for r in clean.collect()) == [*range(n), n + 2] and clean.columns == docs.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == [*range(n), n + 3] and clean.columns == docs.columns
     assert decon.benchmark_leaks(docs, benchmark.limit(0)).filter("size(leaks) > 0").isEmpty()
+    assert decon.without_leaks(docs, benchmark.limit(0)).count() == len(texts)
+
+
+def test_blocks_of_items_agree_with_one_block(spark, documents):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices(VOCABULARY, k=14)) for _ in range(60)]
+    items = [(k if k % 7 else None, lines[k] + "\n" + lines[(k * 5) % 60]) for k in range(30)] + [(3, lines[50])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["\n".join(rng.sample(lines, 4)) for _ in range(60)]
+    rows = [(k % 50 if k % 9 else None, t) for k, t in enumerate(texts)] + [(1, texts[1])] * 3 + [(4, "word " * 300_000 + lines[50]), (5, None)]
+    docs = documents(rows, hash="clash", row="clash")
+    found = [sorted((str(r) for r in decon.benchmark_leaks(docs, benchmark, decon.EditMatching(block_chars=b)).collect())) for b in (4_000_000, 700)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert 5 < sum("item_id" in r for r in found[0]) < len(rows)
+    clean = [sorted(str(r) for r in decon.without_leaks(docs, benchmark, decon.EditMatching(block_chars=b)).collect()) for b in (4_000_000, 700)]
+    assert clean[0] == clean[1] and len(clean[0]) == sum("item_id" not in r for r in found[0])
+    assert decon.without_leaks(docs.limit(0), benchmark).isEmpty() and decon.benchmark_leaks(docs.limit(0), benchmark).isEmpty()
