@@ -15,8 +15,9 @@ any line before it, in the order of (doc_id, line number), matches. The exact se
 Equal sets are one row from the start, so copies of a line meet nobody. Three things keep a word
 that many sets share from pairing them all:
 
-* Variants of one passage first meet only the earliest set that has one of their rarest words, where
-  there is a crowd. Most match it and are decided; two decided sets are never compared again.
+* Variants of one passage first meet only the earliest set that has one of the last words of their
+  prefixes, where there is a crowd: the first words are often a variant's own, the last the passage's.
+  Most match it and are decided; two decided sets are never compared again.
 * A word that stands out as frequent is no key by itself. Sets that match and share no other word of
   their prefixes share two words of prefixes longer by one, the first of them in the plain prefix; so
   the keys of frequent words are pairs. Long lines (over ``pairs_up_to`` words) would have too many
@@ -50,12 +51,14 @@ SPLIT_PARITY = 90
 #: Hash buckets in which word frequencies are counted: 2 ** BUCKET_BITS.
 BUCKET_BITS = 18
 _REST = 63 - BUCKET_BITS
+#: Words of a prefix, from its end, by which the sets of a crowd find their earliest.
+CROWD_WORDS = 6
 
 
 @dataclass(frozen=True)
 class LineMatching:
     """similarity: Jaccard of word sets. least_words: a line with fewer is left alone.
-    hot: sets that share a rarest word from which they first meet the earliest of them.
+    hot: sets that share a word from which they first meet the earliest of them.
     frequent: times the mean of the hash buckets beyond which a word is a key in pairs only.
     pairs_up_to: the most words of a line whose frequent words are paired.
     The last three change the work, never the result."""
@@ -194,9 +197,11 @@ def _may_match(t: float) -> tuple[Column, Column]:
 
 
 def pairs_with_earliest(sets: DataFrame, rule: LineMatching) -> DataFrame:
-    """(later, earlier): the sets of a crowd that shares one of their three rarest words, and the
-    earliest set of it, where these may match."""
-    rows = sets.select(*_SET, "first", F.posexplode(F.slice("prefix", 1, 3)).alias("pos", "key")).withColumn("room", F.col("n") - F.col("pos")).drop("pos")
+    """(later, earlier): the sets of a crowd that shares one of the last words of their prefixes, and
+    the earliest set of it, where these may match by length and parity; each word has one such pair
+    for each set at most, so no position is asked for."""
+    last = F.slice("prefix", F.greatest(F.size("prefix") - (CROWD_WORDS - 1), F.lit(1)), F.lit(CROWD_WORDS))
+    rows = sets.select(*_SET, F.col("n").alias("room"), "first", F.explode(last).alias("key"))
     crowds = rows.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("first", *_SET, "room")).alias("p")).filter(F.col("many") >= rule.hot)
     may, _ = _may_match(rule.similarity)
     met = rows.alias("a").join(crowds.select("key", "p.*").alias("b"), may & (F.col("a.id") != F.col("b.id")))
