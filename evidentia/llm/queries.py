@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import oracles
 from evidentia.llm.bpe_codec import bpe_encode
+from evidentia.llm.centroid_clusters import cluster_report
 from evidentia.llm.common import table
 from evidentia.llm.decontamination import benchmark_leaks
 from evidentia.llm.line_dedup import duplicate_lines
+from evidentia.llm.merkle_manifest import merkle_manifest
 from evidentia.llm.ngram_join import near_duplicates
 from evidentia.llm.quality_classifier import quality_scores
 from evidentia.llm.quality_rules import quality_rules
 from evidentia.llm.secret_scan import BASE, secret_scan
 from evidentia.llm.sharding import shard_rows
+from evidentia.llm.simhash_join import simhash_groups
 from evidentia.llm.token_counts import token_counts
 from evidentia.llm.toxicity import toxicity_scores
 
@@ -84,6 +87,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle_manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -95,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_simhash": op12_simhash,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: The others are beyond SQL, or too slow in it on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {

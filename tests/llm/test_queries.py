@@ -13,7 +13,7 @@ from tests.llm.test_pairs import brute_groups, brute_lines
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+@pytest.mark.parametrize("name", [name for name in queries.QUERIES if name != "op11_centroid_clusters"])
 def test_every_document_has_its_row(spark, name):
     found = queries.QUERIES[name](spark, DATA)
     ids = sorted(r["doc_id"] for r in found.select("doc_id").collect())
