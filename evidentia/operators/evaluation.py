@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.ordered import ranged, running_total
+from evidentia.plans.staging import staged
+
 ABSTAINED = ("inconclusive", "unavailable")
 
 
@@ -26,9 +29,33 @@ def confusion(rows: DataFrame, outcome: Column, truth: Column, by: list[str]) ->
     return counted.withColumns({"false_alarm_rate": rate("fp", "tn"), "miss_rate": rate("fn", "tp")})
 
 
+def exact_quantiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by, n and, for each name in ``shares``, the interpolated quantile of the values that are not null.
+
+    Equal values are counted first and the distinct ones dealt out by ranges, so no task holds a group;
+    a value answers for the ranks that it and its copies take. Groups without values have n = 0."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("copies"))
+    ranked = running_total(ranged(counted, by, ["value"]), by, ["value"], "copies", "before")
+    sizes = staged(rows.groupBy(*by).agg(F.count(value).alias("n")), "quantile_groups")
+    same = [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
+    both = ranked.alias("r").join(sizes.alias("s"), same) if by else ranked.alias("r").crossJoin(F.broadcast(sizes).alias("s"))
+    picks = {}
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * F.lit(float(share))
+        for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            picks[f"{name}_{end}"] = F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("copies")), F.col("value"))).alias(f"{name}_{end}")
+    found = both.groupBy(*[F.col(f"s.{b}").alias(b) for b in by]).agg(*picks.values()).alias("f")
+    whole = sizes.alias("s").join(found, [F.col(f"s.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by], "left") if by else sizes.alias("s").crossJoin(found)
+    rest = lambda share: F.pmod((F.col("n") - 1) * F.lit(float(share)), F.lit(1.0))
+    at = {name: (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * rest(share)).alias(name) for name, share in shares.items()}
+    return whole.select(*[f"s.{b}" for b in by], "n", *at.values())
+
+
 def latency(rows: DataFrame, value: str, by: list[str], exact: bool = True) -> DataFrame:
     """Median, 90th and 99th percentile; ``exact=False`` keeps a sketch instead of all values."""
-    q = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, p, 10_000))
+    if exact:
+        return exact_quantiles(rows, value, by, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    q = lambda p: F.percentile_approx(value, p, 10_000)
     return rows.groupBy(*by).agg(F.count(value).alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"))
 
 

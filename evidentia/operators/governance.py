@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from evidentia.operators.components import components
+from evidentia.operators.ordered import ranged, running_total
+from evidentia.plans.staging import staged
+
 
 def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
     """digest, n and the least key of every content that occurs more than once; no list of members."""
@@ -19,8 +23,10 @@ def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no trailing slash, no tracking parameters."""
-    bare = F.regexp_replace(F.lower(url), "#.*$", "")
+    """Lower-case scheme and host, no fragment, no trailing slash, no tracking parameters; the path keeps its case."""
+    whole = F.regexp_replace(url, "#.*$", "")
+    place = F.regexp_extract(whole, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*", 0)
+    bare = F.concat(F.lower(place), F.substring(whole, F.length(place) + 1, F.length(whole)))
     bare = F.regexp_replace(bare, r"([?&])utm_[a-z]+=[^&]*", "$1")
     return F.regexp_replace(F.regexp_replace(bare, r"[?&]+$", ""), "/+$", "")
 
@@ -94,8 +100,8 @@ def _blocks(items: DataFrame, chars: int) -> Iterator[list[Row]]:
 def benchmark_contained(documents: DataFrame, benchmark: DataFrame, most_items: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) of items whose whole text stands in a document.
 
-    Every block of items meets all documents in a pass of its own, with one automaton and no shuffle.
-    Null texts and items hold nothing; repeated rows on either side each give a row. ``most_items``:
+    Every block of items meets all documents in a pass of its own, with one automaton and no shuffle; its
+    hits are written as a table, so only one block is broadcast at a time. Null texts and items hold nothing; repeated rows on either side each give a row. ``most_items``:
     a caller may have more than so many items refused; by default none are."""
     items = benchmark.select("item_id", F.col("text").alias("item"))
     if most_items is not None and items.limit(most_items + 1).count() > most_items:
@@ -106,7 +112,8 @@ def benchmark_contained(documents: DataFrame, benchmark: DataFrame, most_items:
     found = texts.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, block_chars):
         sent = context.broadcast((tuple(r["item_id"] for r in block), tuple(r["item"] for r in block)))
-        found = found.union(texts.mapInArrow(_finding(sent, kind), schema))
+        found = found.union(staged(texts.mapInArrow(_finding(sent, kind), schema), "benchmark_hits"))
+        sent.destroy()
     return found
 
 
@@ -133,3 +140,30 @@ def class_counts(rows: DataFrame, levels: list[str]) -> DataFrame:
 def slice_metrics(rows: DataFrame, slices: list[str], correct: Column) -> DataFrame:
     """Counts and the share of correct rows in every combination of slices."""
     return rows.cube(*slices).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.round(F.avg(correct.cast("double")), 9).alias("accuracy"))
+
+
+def linked_split(rows: DataFrame, key: str, groups: list[Column], train: int = 80, validation: int = 10) -> DataFrame:
+    """``rows`` with ``component`` and ``split``: rows that share a value of any group never part.
+
+    Groups are, say, identity, generator and class of near copies; values of different groups are told
+    apart by the group's number, and null links nothing. The graph has a node for each value, not for
+    each row, and rows link their values in a chain. Components, in the order of their MD5, fill
+    train, validation and test by their rows, so the shares hold but for the component at each border.
+    Rows without any value stand alone by ``key``."""
+    said = [F.concat(F.lit(f"{i}:"), g.cast("string")) for i, g in enumerate(groups)]
+    marked = rows.withColumn("values", F.array_compact(F.array(*said)))
+    pair = F.transform(F.sequence(F.lit(1), F.size("values") - 1), lambda i: F.struct(F.get("values", i - 1).alias("a"), F.get("values", i).alias("b")))
+    links = marked.filter(F.size("values") > 1).select(F.explode(pair).alias("l")).select("l.a", "l.b").distinct()
+    first = F.coalesce(F.get("values", F.lit(0)), F.concat(F.lit("row:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    roots = components(links).select(F.col("key").alias("linked_value"), "root")
+    placed = marked.withColumn("first_value", first).join(roots, F.col("first_value") == F.col("linked_value"), "left")
+    placed = placed.withColumn("component", F.coalesce("root", "first_value")).drop("values", "root", "first_value", "linked_value")
+
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size")).withColumn("order", F.md5("component"))
+    order = ["order", "component"]
+    before = running_total(ranged(sizes, [], order), [], order, "size", "before")
+    total = F.broadcast(sizes.agg(F.sum("size").alias("total")))
+    share = F.col("before") * 100
+    split = F.when(share < F.col("total") * train, "train").when(share < F.col("total") * (train + validation), "validation").otherwise("test")
+    found = before.crossJoin(total).select(F.col("component").alias("c"), split.alias("split"))
+    return placed.join(found, placed["component"] == found["c"]).drop("c")

@@ -6,8 +6,6 @@ runs on a table of the same shape, or makes a zone for every customer, some of t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,30 +13,12 @@ from evidentia.functions import client_rules as client
 from evidentia.functions.mrz import check_digit, mrz_checks, parse_mrz
 from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
 from evidentia.operators.document_checks import field_consistency, mrz_fields, printed_fields, rule_findings
+from evidentia.plans import measures  # noqa: F401  registers its queries too
+from evidentia.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from evidentia.plans.screening import detect_media, screen_documents
 from evidentia.sources import evidence
 from evidentia.streaming import trail
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with the SQL it must equal where there is one."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labelled_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cases: a toxic label is suspicious, low quality inconclusive, no label unavailable."""
     labels = table(spark, sf_dir, "labels")
@@ -238,7 +218,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<meta")).alias("n_meta"), F.when(F.contains("html", F.lit("<meta")), "completed").otherwise("unavailable").alias("metadata_status"))
 
 
-@query(r"SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS canonical, count(*) AS n, min(page_id) AS first_page_id FROM pages GROUP BY 1")
+@query(r"SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) || substr(url, length(split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) + 1), '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS canonical, count(*) AS n, min(page_id) AS first_page_id FROM pages GROUP BY 1")
 def canonical_url_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(governance.canonical_url(F.col("url")).alias("canonical")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page_id"))
 
