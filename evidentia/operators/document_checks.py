@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.mrz import digits_ok, mrz_checks, mrz_date, parse_mrz
+from evidentia.functions import printed as forms
+from evidentia.functions.mrz import digits_ok, let, mrz_checks, mrz_date, parse_mrz
+from evidentia.functions.printed import COUNTRIES, date_readings, numeric_date
 from evidentia.operators.models import face_comparison
 
 #: Labels under which fields are printed.
@@ -17,52 +21,84 @@ LABELS = {
     "birth": "date of birth|birth date|born",
     "expiry": "date of expiry|expiry date|expires|valid until",
 }
-COMPARED = {"surname": "mrz_surname", "given": "mrz_given", "number": "mrz_number", "nationality": "mrz_nationality"}
 #: Dates, with the years after ``as_of`` that such a date may lie in the future.
 DATES = {"birth": 0, "expiry": 50}
-#: How dates are printed; the first pattern that fits counts.
-PATTERNS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "d MMM yyyy")
+NAMES = ("surname", "given")
+
+
+def printed_field(field: str, text: Column) -> Column:
+    """The value of a ``label: value`` line; null if there is none. A date with one reading is put in one form, others stay as printed."""
+    raw = F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*(?:{LABELS[field]})\s*[:.]\s*(.+?)\s*$", 1)), F.lit(""))
+    if field not in DATES:
+        return raw
+    one = lambda value: let(date_readings(value), lambda read: F.coalesce(F.when(F.size(read) == 1, F.get(read, F.lit(0)).cast("string")), value))
+    return let(raw, one)
+
+
+def zone_field(field: str, as_of: Column) -> Column:
+    """The same of a parsed zone."""
+    if field in DATES:
+        return mrz_date(F.col(f"mrz_{field}"), as_of, DATES[field]).cast("string")
+    return F.trim(F.translate(f"mrz_{field}", "<", " "))
+
+
+def agreement(field: Column, printed: Column, zone: Column, cut: Column, countries: Mapping[str, tuple[str, ...]] = COUNTRIES) -> Column:
+    """The status of a printed value held against the zone's.
+
+    A value that only one of them has is inconclusive, and one that neither has unavailable. Names may
+    be transliterated in any way that the standard allows and, where the names fill all their places
+    (``cut``), be shortened. Nationalities are compared by code; one that is no code and not among
+    ``countries`` is inconclusive. A date agrees if it can be read as the zone's; one that is not
+    understood is inconclusive, one that cannot exist does not agree. Other values are compared
+    without case and white space."""
+    plain = lambda c: F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))
+    grade = lambda ok: F.when(ok.isNull(), "inconclusive").when(ok, "completed").otherwise("suspicious")
+    number = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    day = let(date_readings(printed), lambda read: F.when((F.size(read) > 0) | numeric_date(printed), F.coalesce(F.array_contains(read, F.try_to_date(zone, "yyyy-MM-dd")), F.lit(False))))
+    return (
+        F.when(printed.isNull() & zone.isNull(), "unavailable")
+        .when(printed.isNull() | zone.isNull(), "inconclusive")
+        .when(field.isin(*NAMES), grade(forms.names_agree(printed, zone, F.coalesce(cut, F.lit(False)))))
+        .when(field == "nationality", grade(forms.country_code(printed, countries) == plain(zone)))
+        .when(field == "number", grade(number(printed) == number(zone)))
+        .when(field.isin(*DATES), grade(day))
+        .otherwise(grade(plain(printed) == plain(zone)))
+    )
 
 
-def printed_date(value: Column) -> Column:
-    return F.coalesce(*[F.try_to_date(value, p) for p in PATTERNS])
+def compared(parsed: DataFrame, text: str, as_of: Column, countries: Mapping[str, tuple[str, ...]] = COUNTRIES) -> DataFrame:
+    """``parsed`` with ``fields``: an array of field, printed, mrz and status, without a shuffle.
 
+    Every field is there; what neither source has is unavailable."""
+    zone = F.col("mrz_format").isNotNull()
+    said = F.array(*[F.struct(F.lit(f).alias("field"), printed_field(f, F.col(text)).alias("printed"), F.when(zone, zone_field(f, as_of)).alias("mrz")) for f in LABELS])
+    told = lambda x: F.struct(x["field"].alias("field"), x["printed"].alias("printed"), x["mrz"].alias("mrz"), agreement(x["field"], x["printed"], x["mrz"], F.col("mrz_cut"), countries).alias("status"))
+    return parsed.withColumn("fields", F.transform(said, told))
 
-def printed_fields(cases: DataFrame, text: str = "text") -> DataFrame:
-    """Long rows (case_id, source, field, value) of ``label: value`` lines; absent fields give no row.
 
-    Dates are put in one form; a date that cannot exist stays as it is printed."""
-    raw = lambda labels: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*(?:{labels})\s*[:.]\s*(.+)$", 1)), F.lit(""))
-    value = lambda f: F.coalesce(printed_date(raw(LABELS[f])).cast("string"), raw(LABELS[f])) if f in DATES else raw(LABELS[f])
-    found = [F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in LABELS]
-    rows = cases.select("case_id", F.explode(F.array(*found)).alias("f"))
+def printed_fields(cases: DataFrame, text: str = "text") -> DataFrame:
+    """Long rows (case_id, source, field, value) of ``label: value`` lines; absent fields give no row."""
+    found = [F.struct(F.lit(f).alias("field"), printed_field(f, F.col(text)).alias("value")) for f in LABELS]
+    rows = cases.select("case_id", F.explode_outer(F.array(*found)).alias("f"))
     return rows.select("case_id", F.lit("printed").alias("source"), "f.field", "f.value").filter("value is not null")
 
 
 def mrz_fields(parsed: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """The same of the zone. Centuries of dates are told by ``as_of``, today if it is not given."""
+    """The same of the zone, with ``cut``. Centuries of dates are told by ``as_of``, today if it is not given."""
     day = F.current_date() if as_of is None else as_of
-    plain = {f: F.trim(F.translate(c, "<", " ")) for f, c in COMPARED.items()}
-    dates = {f: mrz_date(F.col(f"mrz_{f}"), day, years).cast("string") for f, years in DATES.items()}
-    rows = parsed.filter("mrz_format is not null").select("case_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in (plain | dates).items()])).alias("f"))
-    return rows.select("case_id", F.lit("mrz").alias("source"), "f.field", "f.value")
+    found = [F.struct(F.lit(f).alias("field"), zone_field(f, day).alias("value")) for f in LABELS]
+    rows = parsed.filter("mrz_format is not null").select("case_id", "mrz_cut", F.explode_outer(F.array(*found)).alias("f"))
+    return rows.select("case_id", F.lit("mrz").alias("source"), "f.field", "f.value", F.col("mrz_cut").alias("cut"))
 
 
 def field_consistency(fields: DataFrame) -> DataFrame:
-    """One row for each case and field: both values and status.
+    """One row for each case and field of long rows from any sources: both values and their ``agreement``.
 
-    Case and white space do not count. A field that only one source has is inconclusive; one that
-    neither has a value for is unavailable. One grouped pass instead of a self join."""
+    One grouped pass instead of a self join. Rows may have ``cut``, as zones' do."""
     value = lambda s: F.max(F.when(F.col("source") == s, F.col("value")))
-    both = fields.groupBy("case_id", "field").agg(value("printed").alias("printed"), value("mrz").alias("mrz"))
-    plain = lambda c: F.upper(F.regexp_replace(F.trim(F.col(c)), r"\s+", " "))
-    status = (
-        F.when(F.col("printed").isNull() & F.col("mrz").isNull(), "unavailable")
-        .when(F.col("printed").isNull() | F.col("mrz").isNull(), "inconclusive")
-        .when(plain("printed") == plain("mrz"), "completed")
-        .otherwise("suspicious")
-    )
-    return both.withColumn("status", status)
+    cut = F.bool_or(F.coalesce("cut", F.lit(False))) if "cut" in fields.columns else F.lit(False)
+    both = fields.groupBy("case_id", "field").agg(value("printed").alias("printed"), value("mrz").alias("mrz"), cut.alias("cut"))
+    return both.withColumn("status", agreement(F.col("field"), F.col("printed"), F.col("mrz"), F.col("cut"))).drop("cut")
 
 
 def rule_findings(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -90,28 +126,36 @@ def _row(check: str, status: Column, reason: Column, score: Column | None = None
     return ["case_id", F.lit("document").alias("workflow"), F.lit(check).alias("check"), status.alias("status"), reason.cast("string").alias("reason"), score.alias("score")]
 
 
-def mrz_results(cases: DataFrame, as_of: Column, text: str = "text", expiry: str | None = None, pattern: str = "yyyy-MM-dd") -> DataFrame:
-    """One row for each case: check digits, the comparison with printed fields, and validity.
+def mrz_results(cases: DataFrame, as_of: Column, text: str = "text", expiry: str | None = None, pattern: str = "yyyy-MM-dd", countries: Mapping[str, tuple[str, ...]] = COUNTRIES) -> DataFrame:
+    """One row for each row of cases: check digits, the comparison with printed fields, and validity.
 
-    The expiry is that of the zone, the printed one and, in column ``expiry``, one that the caller
-    supplies; if any has passed or cannot exist the check is suspicious. Without a zone it is
-    unavailable, unless another date already is a finding. Reasons in this order: a check digit, a
-    field, an impossible date, a passed one."""
-    parsed = mrz_checks(parse_mrz(cases, text))
-    printed = printed_fields(cases, text)
+    Rows that share a case_id are its pages, and each has its own result. The expiry is that of the
+    zone, the printed one and, in column ``expiry``, one that the caller supplies; if any has passed or
+    cannot exist the check is suspicious. A printed date with several readings has passed if all have.
+    Without a zone the check is unavailable, unless another date already is a finding. Reasons in this
+    order: a check digit, a field, an impossible date, a passed one; then, inconclusive, several
+    different zones and values that cannot be compared."""
     supplied = F.nullif(F.trim(F.col(expiry)), F.lit("")) if expiry else F.lit(None).cast("string")
-    zone = mrz_date(F.col("mrz_expiry"), as_of, DATES["expiry"])
-    unfilled = F.translate("mrz_expiry", "<", "") != ""
-    own = parsed.select("case_id", digits_ok().alias("digits_ok"), F.coalesce((zone < as_of) | (F.try_to_date(supplied, pattern) < as_of), zone < as_of, F.try_to_date(supplied, pattern) < as_of, F.lit(False)).alias("passed"), (F.coalesce(unfilled & zone.isNull(), F.lit(False)) | (supplied.isNotNull() & F.try_to_date(supplied, pattern).isNull())).alias("impossible"))
-    compared = field_consistency(printed.unionByName(mrz_fields(parsed, as_of))).groupBy("case_id")
-    compared = compared.agg(F.bool_or(F.col("status") == "suspicious").alias("differs"), F.max(F.when(F.col("field") == "expiry", F.col("printed"))).alias("printed_expiry"))
-    both = own.join(compared, "case_id", "left")
-    late = F.col("passed") | F.coalesce(F.try_to_date("printed_expiry", "yyyy-MM-dd") < as_of, F.lit(False))
-    never = F.col("impossible") | (F.col("printed_expiry").isNotNull() & F.try_to_date("printed_expiry", "yyyy-MM-dd").isNull())
-    differs = F.coalesce("differs", F.lit(False)) & F.col("digits_ok").isNotNull()
-    reason = F.when(~F.col("digits_ok"), "check_digit").when(differs, "field_mismatch").when(never, "invalid_date").when(late, "expired")
-    status = F.when(reason.isNotNull(), "suspicious").when(F.col("digits_ok").isNull(), "unavailable").otherwise("completed")
-    return both.select(*_row("mrz_consistency", status, reason))
+    parsed = compared(mrz_checks(parse_mrz(cases, text)), text, as_of, countries)
+    zone, other = F.get(F.filter("fields", lambda x: x["field"] == "expiry"), F.lit(0)), F.try_to_date("supplied", pattern)
+    dated = parsed.withColumns({"supplied": supplied, "expiry_field": zone}).withColumn("read", date_readings(F.col("expiry_field.printed")))
+    day = F.try_to_date("expiry_field.mrz", "yyyy-MM-dd")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    has = lambda status: F.exists("fields", lambda x: (x["status"] == status) & x["printed"].isNotNull() & x["mrz"].isNotNull())
+    own = dated.select(
+        "case_id",
+        digits_ok().alias("digits_ok"),
+        has("suspicious").alias("differs"),
+        has("inconclusive").alias("unclear"),
+        (F.col("mrz_zones") > 1).alias("several"),
+        (yes(day < as_of) | yes(other < as_of) | yes(F.array_max("read") < as_of)).alias("passed"),
+        (yes((F.translate("mrz_expiry", "<", "") != "") & day.isNull()) | yes(F.col("supplied").isNotNull() & other.isNull()) | yes((F.size("read") == 0) & numeric_date(F.col("expiry_field.printed")))).alias("impossible"),
+    )
+    found = F.when(~F.col("digits_ok"), "check_digit").when(F.col("differs"), "field_mismatch").when(F.col("impossible"), "invalid_date").when(F.col("passed"), "expired")
+    unsure = F.when(F.col("several"), "several_zones").when(F.col("unclear"), "not_comparable")
+    none = F.col("digits_ok").isNull()
+    status = F.when(found.isNotNull(), "suspicious").when(none, "unavailable").when(unsure.isNotNull(), "inconclusive").otherwise("completed")
+    return own.select(*_row("mrz_consistency", status, F.coalesce(found, F.when(none, "no_zone"), unsure)))
 
 
 def ocr_results(cases: DataFrame, text: str = "text", quality: str | None = None) -> DataFrame:
@@ -152,4 +196,4 @@ def provenance_results(facts: DataFrame) -> DataFrame:
 
 def official_status(cases: DataFrame) -> DataFrame:
     """Issuers' records need an authorised connection, which there is none of: always unavailable."""
-    return cases.select(*_row("official_status", F.lit("unavailable"), F.lit("no_model")))
+    return cases.select(*_row("official_status", F.lit("unavailable"), F.lit("no_connection")))

@@ -38,6 +38,10 @@ ACTIONS = {
     "checks_completed": "Continue the usual review.",
 }
 REASONS = {
+    "no_zone": "No machine-readable zone was found.",
+    "several_zones": "The text holds several different machine-readable zones.",
+    "not_comparable": "A printed field could not be compared with the machine-readable zone.",
+    "no_connection": "There is no authorised connection to the issuer's records.",
     "field_mismatch": "A printed field differs from the machine-readable zone.",
     "check_digit": "A check digit does not hold.",
     "expired": "The document has expired.",
@@ -77,11 +81,13 @@ def all_checks(results: DataFrame, cases: DataFrame) -> DataFrame:
     """All results, and a row for each check of the case's workflow that has none: unavailable.
 
     A case's checks come from the catalogue by its workflow, an equality join with nine rows. Results
-    of checks outside the catalogue, of other cases and several of one check all stay."""
+    of checks outside the catalogue, of other cases and several of one check all stay. A null case_id is
+    a case like any other."""
     catalog = F.broadcast(check_catalog(cases.sparkSession).drop("name"))
-    keys = ["case_id", "workflow", "check"]
     wanted = cases.select("case_id", "workflow").distinct().join(catalog, "workflow")
-    none = wanted.join(results.select(*keys), keys, "left_anti").withColumns({"status": F.lit("unavailable"), "reason": F.lit("no_model")})
+    have = results.select("case_id", "workflow", "check").alias("r")
+    same = F.col("w.case_id").eqNullSafe(F.col("r.case_id")) & (F.col("w.workflow") == F.col("r.workflow")) & (F.col("w.check") == F.col("r.check"))
+    none = wanted.alias("w").join(have, same, "left_anti").withColumns({"status": F.lit("unavailable"), "reason": F.lit("no_model")})
     missing = F.col("status").isNull()
     found = results.withColumns({"status": F.coalesce("status", F.lit("unavailable")), "reason": F.when(missing, F.coalesce("reason", F.lit("no_model"))).otherwise(F.col("reason"))})
     return found.unionByName(none, allowMissingColumns=True)

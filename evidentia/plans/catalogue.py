@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import client_rules as client
 from evidentia.functions.mrz import check_digit, mrz_checks, parse_mrz
 from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
-from evidentia.operators.document_checks import field_consistency, mrz_fields, printed_fields, rule_findings
+from evidentia.operators.document_checks import compared, rule_findings
 from evidentia.plans import measures  # noqa: F401  registers its queries too
 from evidentia.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from evidentia.plans.screening import detect_media, screen_documents
@@ -320,66 +320,89 @@ def file_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _K = "c_custkey"
 _DIGIT = "(list_sum([(CASE WHEN {s}[i] BETWEEN '0' AND '9' THEN ascii({s}[i]) - 48 WHEN {s}[i] BETWEEN 'A' AND 'Z' THEN ascii({s}[i]) - 55 ELSE 0 END) * [7, 3, 1][(i - 1) % 3 + 1] for i in range(1, len({s}) + 1)]) % 10)"
 #: What is known of every customer's document: the fields, and the faults by divisors of the key.
-_FACTS = f"""WITH f AS (SELECT {_K} AS case_id, 'AB' || lpad({_K}::VARCHAR, 7, '0') AS number, (50 + {_K} % 50)::VARCHAR || lpad((1 + {_K} % 12)::VARCHAR, 2, '0') || lpad((1 + {_K} % 28)::VARCHAR, 2, '0') AS birth,
- CASE WHEN {_K} % 13 = 0 THEN '15' ELSE '30' END || '0' || (1 + {_K} % 9)::VARCHAR || '28' AS expiry, ['TD3', 'MRV-A', 'TD2', 'MRV-B', 'TD1'][{_K} % 5 + 1] AS fmt, {_K} % 17 <> 0 AS zone, {_K} % 7 = 0 AS bad_digit, {_K} % 11 = 0 AS differs, {_K} % 13 = 0 AS expired, c_mktsegment AS surname FROM customer),
- d AS (SELECT *, ({_DIGIT.format(s='number')} + bad_digit::INT) % 10 AS nd, {_DIGIT.format(s='birth')} AS bd, {_DIGIT.format(s='expiry')} AS ed FROM f),
- z AS (SELECT *, number || nd::VARCHAR || birth || bd::VARCHAR || expiry || ed::VARCHAR AS whole FROM d)"""
+_FACTS = f"""WITH f AS (SELECT {_K} AS case_id, 'AB' || lpad({_K}::VARCHAR, 7, '0') AS nine, {_K} % 5 IN (2, 4) AND {_K} % 3 = 0 AS long, 'C' || (10 + {_K} % 90)::VARCHAR AS more, (50 + {_K} % 50)::VARCHAR || lpad((1 + {_K} % 12)::VARCHAR, 2, '0') || lpad((1 + {_K} % 28)::VARCHAR, 2, '0') AS birth,
+ CASE WHEN {_K} % 13 = 0 THEN '15' ELSE '30' END || '0' || (1 + {_K} % 9)::VARCHAR || '28' AS expiry, ['TD3', 'MRV-A', 'TD2', 'MRV-B', 'TD1'][{_K} % 5 + 1] AS fmt, {_K} % 17 <> 0 AS zone, {_K} % 7 = 0 AS bad_digit, {_K} % 11 = 0 AS differs, {_K} % 13 = 0 AS expired,
+ CASE {_K} % 4 WHEN 1 THEN 'MUELLER ' || c_mktsegment WHEN 3 THEN 'O' || c_mktsegment ELSE c_mktsegment END AS surname FROM customer),
+ n AS (SELECT *, nine || CASE WHEN long THEN more ELSE '' END AS number FROM f),
+ d AS (SELECT *, ({_DIGIT.format(s='number')} + bad_digit::INT) % 10 AS nd, {_DIGIT.format(s='birth')} AS bd, {_DIGIT.format(s='expiry')} AS ed FROM n),
+ z AS (SELECT *, CASE WHEN NOT long THEN nine || nd::VARCHAR WHEN fmt = 'TD1' THEN nine || '<' || more || nd::VARCHAR || repeat('<', 11) ELSE nine || '<' END || CASE WHEN fmt = 'TD1' AND NOT long THEN repeat('<', 15) ELSE '' END
+  || birth || bd::VARCHAR || expiry || ed::VARCHAR || CASE WHEN fmt = 'TD2' AND long THEN more || nd::VARCHAR ELSE '' END AS whole FROM d)"""
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each customer: case_id, text (printed lines and the zone), expiry, key.
 
     The zone's format goes by the key modulo 5. Every 7th has a wrong check digit, every 11th a printed
-    number unlike the zone's, every 13th has expired, every 17th has no zone."""
-    k = F.col("c_custkey")
+    number unlike the zone's, every 13th has expired, every 17th has no zone. As documents do, they
+    have numbers longer than nine on cards, names that the zone transliterates or is too narrow for,
+    dates in several forms, indented lines, line ends of other systems, and stray lines before the zone."""
+    k, key = F.col("c_custkey"), F.col("key")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     fill = lambda n: F.lit("<" * n)
+    pick = lambda by, n, *of: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in of]), (by % n).cast("int"))
+    segment = F.col("c_mktsegment")
     rows = table(spark, sf_dir, "customer").select(
-        k.alias("key"), F.concat(F.lit("AB"), F.lpad(k.cast("string"), 7, "0")).alias("number"), F.concat((50 + k % 50).cast("string"), two(1 + k % 12), two(1 + k % 28)).alias("birth"),
-        F.concat(F.when(k % 13 == 0, "15").otherwise("30"), two(1 + k % 9), F.lit("28")).alias("end"), F.col("c_mktsegment").alias("surname"),
+        k.alias("key"), F.concat(F.lit("AB"), F.lpad(k.cast("string"), 7, "0")).alias("nine"), F.when((k % 5).isin(2, 4) & (k % 3 == 0), F.concat(F.lit("C"), (10 + k % 90).cast("string"))).otherwise("").alias("more"),
+        F.concat((50 + k % 50).cast("string"), two(1 + k % 12), two(1 + k % 28)).alias("birth"), F.concat(F.when(k % 13 == 0, "15").otherwise("30"), two(1 + k % 9), F.lit("28")).alias("end"),
+        pick(k, 4, F.initcap(segment), F.concat(F.lit("Müller-"), F.initcap(segment)), F.initcap(segment), F.concat(F.lit("O’"), F.initcap(segment))).alias("printed"),
+        pick(k, 4, segment, F.concat(F.lit("MUELLER<"), segment), segment, F.concat(F.lit("O"), segment)).alias("surname"),
+        F.when(k % 6 == 0, "Anna Maria Magdalena Josephine Wilhelmine").otherwise("Anna").alias("given"),
     )
-    wrong = F.when(F.col("key") % 7 == 0, 1).otherwise(0)
-    rows = rows.withColumns({"nd": ((check_digit(F.col("number")).cast("int") + wrong) % 10).cast("string"), "bd": check_digit(F.col("birth")), "ed": check_digit(F.col("end"))})
-    names = F.concat("surname", F.lit("<<ANNA"))
-    lower = F.concat("number", "nd", F.lit("UTO"), "birth", "bd", F.lit("F"), "end", "ed")
-    whole = check_digit(F.concat("number", "nd", "birth", "bd", "end", "ed"))  # fillers are worth nothing; a multiple of three lies between
-    zone = {
-        0: F.concat(F.lit("P<UTO"), F.rpad(names, 39, "<"), F.lit("\n"), lower, fill(15), whole),
-        1: F.concat(F.lit("V<UTO"), F.rpad(names, 39, "<"), F.lit("\n"), lower, fill(16)),
-        2: F.concat(F.lit("I<UTO"), F.rpad(names, 31, "<"), F.lit("\n"), lower, fill(7), whole),
-        3: F.concat(F.lit("V<UTO"), F.rpad(names, 31, "<"), F.lit("\n"), lower, fill(8)),
-        4: F.concat(F.lit("I<UTO"), "number", "nd", fill(15), F.lit("\n"), "birth", "bd", F.lit("F"), "end", "ed", F.lit("UTO"), fill(11), whole, F.lit("\n"), F.rpad(names, 30, "<")),
-    }
-    text = F.lit("")
-    for at, lines in zone.items():
-        text = F.when(F.col("key") % 5 == at, lines).otherwise(text)
-    born = F.concat(F.lit("19"), F.substring("birth", 1, 2), F.lit("-"), F.substring("birth", 3, 2), F.lit("-"), F.substring("birth", 5, 2))
-    number = F.when(F.col("key") % 11 == 0, F.concat(F.lit("X"), "number")).otherwise(F.col("number"))
-    printed = F.concat(F.lit("Surname: "), F.initcap("surname"), F.lit("\nDocument No: "), number, F.lit("\nDate of birth: "), born)
-    return rows.select(F.col("key").alias("case_id"), F.when(F.col("key") % 17 == 0, printed).otherwise(F.concat(printed, F.lit("\n"), text)).alias("text"), F.lit(None).cast("string").alias("expiry"), "key")
-
-
-@query(f"{_FACTS} SELECT case_id, CASE WHEN zone THEN fmt END AS mrz_format, CASE WHEN zone THEN NOT bad_digit END AS number_ok, CASE WHEN zone THEN true END AS birth_ok, CASE WHEN zone THEN true END AS expiry_ok, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN true END AS composite_ok, CASE WHEN zone THEN nd::VARCHAR END AS number_digit, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN {_DIGIT.format(s='whole')}::VARCHAR END AS composite_digit, CASE WHEN zone THEN surname END AS surname FROM z")
+    wrong = F.when(key % 7 == 0, 1).otherwise(0)
+    rows = rows.withColumns({"number": F.concat("nine", "more"), "nd": ((check_digit(F.concat("nine", "more")).cast("int") + wrong) % 10).cast("string"), "bd": check_digit(F.col("birth")), "ed": check_digit(F.col("end"))})
+    long = F.col("more") != ""
+    ends = F.when(long, F.concat("nine", F.lit("<"))).otherwise(F.concat("nine", "nd"))
+    rest = F.when(long, F.concat("more", "nd")).otherwise("")
+    rows = rows.withColumns({"first": ends, "rest": rest, "whole": F.concat(ends, F.when(key % 5 == 4, F.rpad(rest, 15, "<")).otherwise(""), F.concat("birth", "bd", "end", "ed"), F.when(key % 5 == 2, F.rpad(rest, 7, "<")).otherwise(""))})
+    rows = rows.withColumns({"wd": check_digit(F.col("whole")), "names": F.concat("surname", F.lit("<<"), F.translate(F.upper("given"), " ", "<")), "lower": F.concat("first", F.lit("UTO"), "birth", "bd", F.lit("F"), "end", "ed")})
+    # rpad also cuts what is too long, as an issuer must.
+    zone = pick(
+        key, 5,
+        F.concat(F.lit("P<UTO"), F.rpad("names", 39, "<"), F.lit("\n"), "lower", fill(15), "wd"),
+        F.concat(F.lit("V<UTO"), F.rpad("names", 39, "<"), F.lit("\n"), "lower", fill(16)),
+        F.concat(F.lit("I<UTO"), F.rpad("names", 31, "<"), F.lit("\n"), "lower", F.rpad("rest", 7, "<"), "wd"),
+        F.concat(F.lit("V<UTO"), F.rpad("names", 31, "<"), F.lit("\n"), "lower", fill(8)),
+        F.concat(F.lit("I<UTO"), "first", F.rpad("rest", 15, "<"), F.lit("\n"), "birth", "bd", F.lit("F"), "end", "ed", F.lit("UTO"), fill(11), "wd", F.lit("\n"), F.rpad("names", 30, "<")),
+    )
+    born = F.to_date(F.concat(F.lit("19"), "birth"), "yyyyMMdd")
+    lines = F.concat(F.lit("Surname: "), "printed", F.lit("\nGiven names: "), "given", F.lit("\nDocument No: "), F.when(key % 11 == 0, F.lit("X")).otherwise(""), "number", F.lit("\nDate of birth: "), pick(key, 3, F.date_format(born, "yyyy-MM-dd"), F.date_format(born, "d MMMM yyyy"), F.date_format(born, "dd/MM/yyyy")))
+    lines = F.concat(lines, F.when(key % 2 == 0, "\nNationality: Utopian").otherwise(""), F.when(key % 10 == 0, "\n" + "X" * 30).otherwise(""))
+    text = F.when(key % 17 == 0, lines).otherwise(F.concat(lines, F.lit("\n"), F.when(key % 9 == 0, F.lit("  ")).otherwise(""), zone))
+    text = F.when(key % 8 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return rows.select(key.alias("case_id"), text.alias("text"), F.lit(None).cast("string").alias("expiry"), "key")
+
+
+@query(f"{_FACTS} SELECT case_id, CASE WHEN zone THEN fmt END AS mrz_format, CASE WHEN zone THEN number END AS number, CASE WHEN zone THEN NOT bad_digit END AS number_ok, CASE WHEN zone THEN true END AS birth_ok, CASE WHEN zone THEN true END AS expiry_ok, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN true END AS composite_ok, CASE WHEN zone THEN nd::VARCHAR END AS number_digit, CASE WHEN zone AND fmt NOT LIKE 'MRV%' THEN {_DIGIT.format(s='whole')}::VARCHAR END AS composite_digit, CASE WHEN zone THEN surname END AS surname FROM z")
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = mrz_checks(parse_mrz(zones(spark, sf_dir)))
-    return checked.select("case_id", "mrz_format", "number_ok", "birth_ok", "expiry_ok", "composite_ok", F.col("mrz_number_check").alias("number_digit"), F.col("mrz_composite_check").alias("composite_digit"), F.col("mrz_surname").alias("surname"))
+    return checked.select("case_id", "mrz_format", F.col("mrz_number").alias("number"), "number_ok", "birth_ok", "expiry_ok", "composite_ok", F.col("mrz_number_check").alias("number_digit"), F.col("mrz_composite_check").alias("composite_digit"), F.col("mrz_surname").alias("surname"))
 
 
-@query(f"{_FACTS}, s AS (SELECT case_id, unnest([CASE WHEN zone THEN 'completed' ELSE 'inconclusive' END, CASE WHEN NOT zone THEN 'inconclusive' WHEN differs THEN 'suspicious' ELSE 'completed' END, CASE WHEN zone THEN 'completed' ELSE 'inconclusive' END]) AS status FROM z UNION ALL SELECT case_id, unnest(['inconclusive', 'inconclusive', 'inconclusive']) FROM z WHERE zone) SELECT case_id, status, count(*) AS n FROM s GROUP BY ALL")
+@query(f"{_FACTS} SELECT case_id, field, CASE WHEN (field = 'nationality' AND case_id % 2 <> 0) OR field = 'expiry' THEN CASE WHEN zone THEN 'inconclusive' ELSE 'unavailable' END WHEN NOT zone THEN 'inconclusive' WHEN field = 'number' AND differs THEN 'suspicious' ELSE 'completed' END AS status FROM z, (VALUES ('surname'), ('given'), ('number'), ('nationality'), ('birth'), ('expiry')) t(field)")
 def mrz_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surname, number and birth stand in print and in the zone; name, nationality and expiry in the zone only."""
-    cases = zones(spark, sf_dir)
-    fields = printed_fields(cases).unionByName(mrz_fields(parse_mrz(cases), F.lit("2026-01-01").cast("date")))
-    return field_consistency(fields).groupBy("case_id", "status").agg(F.count("*").alias("n"))
+    """Every field of every case; the expiry stands in the zone only, the nationality in print on every other."""
+    found = compared(parse_mrz(zones(spark, sf_dir)), "text", F.lit("2026-01-01").cast("date"))
+    # Outer, for an inner one would first filter by the array's size, and so make it twice.
+    return found.select("case_id", F.inline_outer("fields")).select("case_id", "field", "status")
+
+
+_COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@query(f"{_FACTS}, r AS (SELECT case_id, unnest([CASE WHEN NOT zone THEN NULL WHEN bad_digit THEN 'check_digit' WHEN differs THEN 'field_mismatch' WHEN expired THEN 'expired' END, CASE WHEN case_id % 19 = 0 THEN 'repeated_region' END, CASE WHEN case_id % 3 <> 0 THEN 'no_metadata' END, 'no_model']) AS reason FROM z) SELECT case_id, CASE WHEN bool_or(reason IN ('check_digit', 'field_mismatch', 'expired', 'repeated_region')) THEN 'suspicious' ELSE 'checks_completed' END AS outcome, true AS manual_review, array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ',') AS reasons FROM r GROUP BY case_id")
+@query(f"""{_FACTS}, s AS (SELECT c_custkey AS case_id, {_COSINE} AS similarity FROM customer JOIN embeddings a ON a.vec_id = c_custkey % 400 JOIN embeddings b ON b.vec_id = (c_custkey % 400) + (c_custkey % 23 = 0)::INT),
+r AS (SELECT case_id, unnest([CASE WHEN zone AND bad_digit THEN {{'s': 3, 'r': 'check_digit'}} WHEN zone AND differs THEN {{'s': 3, 'r': 'field_mismatch'}} WHEN zone AND expired THEN {{'s': 3, 'r': 'expired'}} WHEN NOT zone THEN {{'s': 0, 'r': 'no_zone'}} ELSE {{'s': 1, 'r': NULL}} END,
+ CASE WHEN case_id % 19 = 0 THEN {{'s': 3, 'r': 'repeated_region'}} END, CASE WHEN case_id % 3 = 0 THEN {{'s': 0, 'r': 'no_metadata'}} END, CASE WHEN case_id % 29 = 0 THEN {{'s': 2, 'r': 'low_quality'}} END,
+ CASE WHEN similarity IS NULL THEN {{'s': 0, 'r': 'no_model'}} WHEN similarity < 0.4 THEN {{'s': 3, 'r': 'face_differs'}} WHEN similarity < 0.6 THEN {{'s': 2, 'r': 'score_band'}} END]) AS x FROM z LEFT JOIN s USING (case_id))
+SELECT case_id, CASE max(x.s) WHEN 3 THEN 'suspicious' WHEN 2 THEN 'inconclusive' ELSE 'checks_completed' END AS outcome, coalesce(bool_or(x.s <> 1), false) AS manual_review, array_to_string(list_sort(coalesce(list(DISTINCT x.r) FILTER (x.r IS NOT NULL), [])), ',') AS reasons FROM r GROUP BY case_id""")
 def document_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All document checks: zones, a forensic indicator, files' metadata; no face model and no registry."""
-    cases = zones(spark, sf_dir)
+    """All document checks: the capture's quality, zones, a forensic indicator, faces, files' metadata. Some cases need no review."""
+    cases = zones(spark, sf_dir).withColumn("quality", F.when(F.col("key") % 29 == 0, "inconclusive").otherwise("completed"))
     indicators = cases.select("case_id", F.lit("repeated_region").alias("indicator"), F.when(F.col("key") % 19 == 0, 20.0).otherwise(0.0).alias("value"))
-    facts = cases.select("case_id", F.when(F.col("key") % 3 == 0, "completed").otherwise("unavailable").alias("provenance_status"))
-    results = screen_documents(cases, F.lit("2026-01-01").cast("date"), indicators=indicators, limits={"repeated_region": (5, 16)}, facts=facts, official=True)
+    facts = cases.select("case_id", F.when(F.col("key") % 3 == 0, "unavailable").otherwise("completed").alias("provenance_status"))
+    vectors, own = table(spark, sf_dir, "embeddings"), F.col("c_custkey") % 400
+    faces = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), own.alias("one"), (own + F.when(F.col("c_custkey") % 23 == 0, 1).otherwise(0)).alias("other"))
+    faces = faces.join(vectors.select(F.col("vec_id").alias("one"), F.col("embedding").alias("portrait")), "one").join(vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("capture")), "other")
+    results = screen_documents(cases, F.lit("2026-01-01").cast("date"), quality="quality", indicators=indicators, limits={"repeated_region": (5, 16)}, faces=faces.select("case_id", "portrait", "capture"), facts=facts)
     return status.case_outcomes(results).select("case_id", "outcome", "manual_review", F.array_join("reasons", ",").alias("reasons"))
 
 

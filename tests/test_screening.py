@@ -200,7 +200,7 @@ def test_zone_dates_are_checked(spark):
     assert len(valid) == 8 and valid[1] == ("completed", None) and valid[3] == ("completed", None)
     assert valid[2] == ("suspicious", "expired")  # 1996
     assert valid[4] == valid[5] == ("suspicious", "field_mismatch")
-    assert valid[6] == valid[7] == ("suspicious", "expired") and valid[8] == ("unavailable", None)
+    assert valid[6] == valid[7] == ("suspicious", "expired") and valid[8] == ("unavailable", "no_zone")
     assert late[1] == late[3] == late[8] == ("suspicious", "expired")
 
 
