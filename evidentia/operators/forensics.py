@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,23 +85,118 @@ def tile_anomalies(tiles: DataFrame, value: str, limit: float = 3.0) -> DataFram
     return tiles.withColumn("z", z).withColumn("anomalous", F.abs("z") > limit)
 
 
-def copy_move(pixels: DataFrame, size: int = 4, least_offset: int = 4, step: int = 1) -> DataFrame:
+def _offsets(cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dy * (2 * width) + dx, votes) over all pairs of the places ``cells`` (y * width + x, ascending) of one content.
+
+    Few places give their pairs; many are correlated with themselves, which counts all pairs without making them."""
+    y, x = np.divmod(cells, width)
+    if len(cells) <= 2048:
+        i, j = np.triu_indices(len(cells), 1)
+        return np.unique((y[j] - y[i]) * (2 * width) + x[j] - x[i], return_counts=True)
+    y, x = y - y.min(), x - x.min()
+    high, wide = int(y.max()) + 1, int(x.max()) + 1
+    grid = np.zeros((high, wide))
+    grid[y, x] = 1
+    spectrum = np.abs(np.fft.rfft2(grid, (2 * high, 2 * wide))) ** 2
+    pairs = np.rint(np.fft.irfft2(spectrum, (2 * high, 2 * wide))).astype(np.int64)
+    dy, dx = np.nonzero(pairs)
+    votes = pairs[dy, dx]
+    dy, dx = np.where(dy >= high, dy - 2 * high, dy), np.where(dx >= wide, dx - 2 * wide, dx)
+    ahead = (dy > 0) | (dy == 0) & (dx > 0)
+    return dy[ahead] * (2 * width) + dx[ahead], votes[ahead]
+
+
+def _block_codes(image: np.ndarray, size: int, step: float, near: float | None) -> list[np.ndarray]:
+    """For every block a number that equal contents share, -1 for blocks to leave out; two such grids for near copies."""
+    windows = np.lib.stride_tricks.sliding_window_view(image, (size, size)).reshape(-1, size * size)
+    whole = np.isfinite(windows).all(1)
+    flat = np.full(len(windows), True)
+    flat[whole] = np.floor(windows[whole] / step).max(1) == np.floor(windows[whole] / step).min(1)
+    use = np.flatnonzero(whole & ~flat)
+
+    def numbered(features: np.ndarray) -> np.ndarray:
+        codes = np.full(len(windows), -1)
+        if len(use):
+            codes[use] = np.unique(features, axis=0, return_inverse=True)[1].ravel()
+        return codes
+
+    if near is None:
+        return [numbered(np.floor(windows[use] / step))]
+    # Means of the four quarters, from cumulative sums: noise averages out in them.
+    half = size // 2
+    sums = np.pad(np.nan_to_num(image).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    y, x = np.divmod(use, image.shape[1] - size + 1)
+    quarter = lambda a, b: (sums[y + a + half, x + b + half] - sums[y + a, x + b + half] - sums[y + a + half, x + b] + sums[y + a, x + b]) / half**2
+    features = np.stack([quarter(a, b) for a in (0, half) for b in (0, half)], 1)
+    return [numbered(np.floor(features / near + shift)) for shift in (0.0, 0.5)]
+
+
+def _copied(img_id: object, image: np.ndarray, size: int, least_offset: int, step: float, near: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """dx, dy and votes of one image."""
+    height, width = image.shape[0] - size + 1, image.shape[1] - size + 1
+    found: dict[int, int] = {}
+    for codes in _block_codes(image, size, step, near) if height > 0 and width > 0 else []:
+        order = np.argsort(codes, kind="stable")
+        cuts = np.flatnonzero(np.diff(codes[order], prepend=-2))
+        votes: dict[int, int] = {}
+        for first, last in zip(cuts, [*cuts[1:], len(order)]):
+            if codes[order[first]] >= 0 and last - first > 1:
+                for key, n in zip(*(part.tolist() for part in _offsets(order[first:last], width))):
+                    votes[key] = votes.get(key, 0) + n
+        for key, n in votes.items():
+            found[key] = max(found.get(key, 0), n)
+    keys, n = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+    dy = np.floor_divide(keys + width, 2 * width)
+    dx = keys - dy * 2 * width
+    far = np.maximum(np.abs(dx), np.abs(dy)) >= least_offset
+    return dx[far], dy[far], n[far]
+
+
+def copy_move(pixels: DataFrame, size: int = 4, least_offset: int = 4, step: float = 1, near: float | None = None) -> DataFrame:
     """Offsets at which blocks of an image repeat: img_id, dx, dy, n_blocks.
 
-    Every block of ``size`` by ``size`` pixels, quantised by ``step``, is hashed. Flat blocks say
-    nothing and are left out. Blocks with equal content are put in reading order, and each is
-    paired with the next only: a copied region has its blocks next to their originals, and a
-    content that fills an image gives as many rows as it has blocks, not their square."""
-    near = pixels.select("img_id", "x", "y", F.floor(F.col("v") / step).cast("int").alias("v"))
-    spread = near.select("img_id", "v", F.posexplode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("k", "at"), "x", "y")
-    corner = spread.select("img_id", (F.col("x") - F.col("at") % size).alias("cx"), (F.col("y") - F.floor(F.col("at") / size)).cast("int").alias("cy"), "at", "v")
-    blocks = corner.groupBy("img_id", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))
-    values = F.transform("cells", lambda c: c["v"])
-    blocks = blocks.filter((F.size("cells") == size * size) & (F.array_min(values) < F.array_max(values))).select("img_id", "cx", "cy", F.xxhash64(values).alias("h1"), F.xxhash64(values, F.lit(1)).alias("h2"))
-    same = Window.partitionBy("img_id", "h1", "h2").orderBy("cy", "cx")
-    moved = blocks.select("img_id", (F.lead("cx").over(same) - F.col("cx")).alias("dx"), (F.lead("cy").over(same) - F.col("cy")).alias("dy")).filter("dx is not null")
-    far = moved.filter(F.greatest(F.abs("dx"), F.abs("dy")) >= least_offset)
-    return far.groupBy("img_id", "dx", "dy").agg(F.count("*").alias("n_blocks"))
+    pixels: img_id, x, y, v; a null v, or none, leaves its blocks out. Every block of ``size`` by
+    ``size`` pixels, at every place, is quantised by ``step``; flat blocks say nothing and are left out.
+    All pairs of places with equal content vote for their offset, the later in reading order less the
+    earlier, so three equal blocks give three offsets. With ``near``, blocks whose quarters have means in
+    one cell of that size (in either of two grids) count as equal, so noise and recompression do not
+    hide a copy; a few votes are then expected by chance. A task holds one image at a time."""
+    kind = pixels.schema["img_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("img_id").slice(0, 1)
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        image = np.full((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), np.nan)
+        image[y - y.min(), x - x.min()] = table.column("v").to_numpy()
+        dx, dy, n = _copied(key[0], image, size, least_offset, step, near)
+        keys = pa.array(key.to_pylist() * len(dx), key.type)
+        return pa.table({"img_id": keys, "dx": pa.array(dx, pa.int64()), "dy": pa.array(dy, pa.int64()), "n_blocks": pa.array(n, pa.int64())})
+
+    rows = pixels.filter("x is not null and y is not null").select("img_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("double").alias("v"))
+    return rows.groupBy("img_id").applyInArrow(run, f"img_id {kind}, dx long, dy long, n_blocks long")
+
+
+def coefficient_periods(coefficients: DataFrame, periods: tuple[float, ...] = (2, 3, 4, 5, 6, 7)) -> DataFrame:
+    """img_id, u, v, n, period and strength: how periodic each frequency's histogram of quantised coefficients is.
+
+    coefficients: img_id, u, v, q (whole numbers: coefficients over the last quantiser's step). Two
+    quantisers, one after the other, leave peaks and gaps at a fixed distance in the histogram, which
+    is a strong Fourier coefficient of it; one quantiser leaves it smooth. The distance is the ratio of their
+    steps, which need not be whole. Zeros, which any picture has
+    most of, do not count. The Fourier sums are added up as the rows are counted, so no histogram is
+    gathered; the strength lies between 0 and 1, null where a frequency has zeros only."""
+    q, turn = F.col("q"), 2 * math.pi
+    sums = [g for k, p in enumerate(periods) for g in (F.sum(F.cos(q * (turn / p))).alias(f"c{k}"), F.sum(F.sin(q * (turn / p))).alias(f"s{k}"))]
+    summed = coefficients.filter("q <> 0").groupBy("img_id", "u", "v").agg(F.count("*").alias("n"), *sums)
+    strengths = F.array(*[F.struct((F.sqrt(F.col(f"c{k}") ** 2 + F.col(f"s{k}") ** 2) / F.col("n")).alias("strength"), F.lit(-p).alias("order")) for k, p in enumerate(periods)])
+    best = F.array_max(strengths)
+    return summed.select("img_id", "u", "v", "n", (-best["order"]).alias("period"), best["strength"].alias("strength"))
+
+
+def quantised_coefficients(tiles: DataFrame, steps: dict[tuple[int, int], float]) -> DataFrame:
+    """img_id, u, v, q of tiles (img_id, tile) for the frequencies in ``steps``, each over its step and rounded."""
+    asked = [F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), F.round(dct_coefficient(F.col("tile"), u, v) / step).cast("long").alias("q")) for (u, v), step in steps.items()]
+    return tiles.select("img_id", F.inline_outer(F.array(*asked)))
 
 
 def repeated_lines(documents: DataFrame, least: int = 30) -> DataFrame:

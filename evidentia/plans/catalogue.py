@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import client_rules as client
 from evidentia.functions.mrz import check_digit, mrz_checks, parse_mrz
-from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
+from evidentia.operators import document_checks, evaluation, forensics, governance, models, rule_packs, status
 from evidentia.operators.document_checks import compared, rule_findings
 from evidentia.plans import measures  # noqa: F401  registers its queries too
 from evidentia.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
@@ -43,9 +43,17 @@ def check_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy(F.col("check").alias("check_name"), "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'document' AS workflow, unnest(['ocr_fields', 'mrz_consistency', 'tampering', 'face_verification', 'metadata_provenance']) AS check_name UNION ALL SELECT 'media', unnest(['generated_image', 'face_manipulation', 'visual_forensics', 'explanations'])")
+_CATALOG = "(VALUES ('document', 'ocr_fields'), ('document', 'mrz_consistency'), ('document', 'tampering'), ('document', 'face_verification'), ('document', 'metadata_provenance'), ('media', 'generated_image'), ('media', 'face_manipulation'), ('media', 'visual_forensics'), ('media', 'explanations')) c(workflow, check_name)"
+
+
+@query(f"WITH d AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'document' ELSE 'media' END AS workflow, toxic IS NOT NULL AS scored FROM documents LEFT JOIN labels USING (doc_id)) SELECT source, c.workflow, check_name, count(*) AS n_cases, count(*) FILTER (scored AND check_name IN ('tampering', 'visual_forensics')) AS n_available FROM d JOIN {_CATALOG} ON c.workflow = d.workflow GROUP BY ALL")
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.check_catalog(spark).select("workflow", F.col("check").alias("check_name"))
+    """For each source the checks that its cases have, and for how many of them each could run."""
+    workflow = F.when(F.col("lang") == "en", "document").otherwise("media")
+    cases = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), workflow.alias("workflow"), "source", "status")
+    scored = cases.filter("status <> 'unavailable'").select("case_id", "workflow", F.when(F.col("workflow") == "document", "tampering").otherwise("visual_forensics").alias("check"), "status", F.lit(None).cast("string").alias("reason"))
+    every = status.all_checks(scored, cases.select("case_id", "workflow")).join(cases.select("case_id", "source"), "case_id")
+    return every.groupBy("source", "workflow", F.col("check").alias("check_name")).agg(F.count("*").alias("n_cases"), F.count_if(F.col("status") != "unavailable").alias("n_available"))
 
 
 @query(f"SELECT doc_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'suspicious' THEN 'The score is above the threshold.' WHEN {_STATUS} = 'inconclusive' THEN 'The capture is too poor to judge.' WHEN {_STATUS} = 'unavailable' THEN 'The model for this check is not installed.' END AS reason_text FROM documents LEFT JOIN labels USING (doc_id)")
@@ -200,16 +208,39 @@ def tile_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forensics.tile_anomalies(tiles, "texture", 2.0).select("vec_id", F.round("z", 6).alias("z"), "anomalous")
 
 
-@query("SELECT * FROM (VALUES (1, 9, 5, 16::BIGINT)) t(img_id, dx, dy, n_blocks)")
+#: Images of which each even one has a region of 14 by 12 pixels copied from 20 columns and 9 rows before.
+_COPIED = """t AS (SELECT vec_id // 64 AS img_id, (vec_id % 64)::INT AS y, [floor(e::DOUBLE * 100)::INT FOR e IN embedding] AS r FROM embeddings),
+p AS (SELECT t.img_id, t.y, CASE WHEN t.img_id % 2 = 0 AND t.y BETWEEN 30 AND 41 THEN t.r[:25] || s.r[6:19] || t.r[40:] ELSE t.r END AS r FROM t LEFT JOIN t s ON s.img_id = t.img_id AND s.y = t.y - 9),
+b AS (SELECT a.img_id, a.y, x, [a.r[x + 1:x + 4], b.r[x + 1:x + 4], c.r[x + 1:x + 4], d.r[x + 1:x + 4]] AS cells FROM p a JOIN p b ON b.img_id = a.img_id AND b.y = a.y + 1 JOIN p c ON c.img_id = a.img_id AND c.y = a.y + 2 JOIN p d ON d.img_id = a.img_id AND d.y = a.y + 3, range(61) r(x))"""
+
+
+def copied_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("img_id"), (F.col("vec_id") % 64).cast("int").alias("y"), F.transform("embedding", lambda e: F.floor(e.cast("double") * 100).cast("int")).alias("r"))
+    above = rows.select("img_id", (F.col("y") + 9).alias("y"), F.slice("r", 6, 14).alias("from"))
+    copied = F.when((F.col("img_id") % 2 == 0) & F.col("y").between(30, 41), F.concat(F.slice("r", 1, 25), "from", F.slice("r", 40, 25))).otherwise(F.col("r"))
+    return rows.join(above, ["img_id", "y"], "left").select("img_id", "y", F.posexplode(copied).alias("x", "v"))
+
+
+@query(f"WITH {_COPIED}, f AS (SELECT * FROM b WHERE list_min(flatten(cells)) < list_max(flatten(cells))) SELECT a.img_id, (b.x - a.x)::INT AS dx, b.y - a.y AS dy, count(*) AS n_blocks FROM f a JOIN f b ON a.img_id = b.img_id AND a.cells = b.cells AND (a.y, a.x) < (b.y, b.x) WHERE greatest(abs(b.x - a.x), abs(b.y - a.y)) >= 4 GROUP BY ALL")
 def copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic image with a planted 7 by 7 copy (16 blocks of 4 by 4), one of noise, one flat."""
-    x, y = F.col("x"), F.col("y")
-    grid = spark.range(3 * 24 * 24).select((F.floor(F.col("id") / 576) + 1).cast("int").alias("img_id"), (F.col("id") % 24).cast("int").alias("x"), (F.floor(F.col("id") / 24) % 24).cast("int").alias("y"))
-    inside = (F.col("img_id") == 1) & x.between(11, 17) & y.between(8, 14)
-    noise = lambda a, b: F.pmod(F.xxhash64(F.col("img_id"), a, b), F.lit(251)).cast("int")
-    value = F.when(F.col("img_id") == 3, F.lit(7)).when(inside, noise(x - 9, y - 5)).otherwise(noise(x, y))
-    found = forensics.copy_move(grid.withColumn("v", value))
-    return found.select("img_id", F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), "n_blocks").filter("n_blocks >= 4")
+    """The vectors as images of whole numbers, a region of every other one copied within it."""
+    found = forensics.copy_move(copied_pixels(spark, sf_dir))
+    return found.select("img_id", F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), "n_blocks")
+
+
+@query(f"""WITH c AS (SELECT vec_id // 64 AS img_id, vec_id, unnest([{', '.join(f"{{'u': {u}, 'v': {v}, 'c': {_dct_sql(u, v)} * 200}}" for u, v in ((0, 1), (1, 1), (2, 0)))}]) AS x FROM embeddings),
+q AS (SELECT img_id, x.u AS u, x.v AS v, CASE WHEN img_id % 2 = 0 THEN round(round(x.c / 9) * 9 / 3) ELSE round(x.c / 3) END::BIGINT AS q FROM c),
+s AS (SELECT img_id, u, v, p, count(*) AS n, sqrt(power(sum(cos(q * 2 * pi() / p)), 2) + power(sum(sin(q * 2 * pi() / p)), 2)) / count(*) AS strength FROM q, unnest([2, 3, 4, 5, 6, 7]) t(p) WHERE q <> 0 GROUP BY ALL)
+SELECT img_id, u, v, n, arg_max(p, (round(strength, 9), -p)) AS period, round(max(strength), 6) AS strength FROM s GROUP BY img_id, u, v, n""")
+def double_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as tiles of images, the even images quantised twice: by 9, then by 3. Their period is three."""
+    tile, frequencies = F.col("embedding"), ((0, 1), (1, 1), (2, 0))
+    parts = [F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), (forensics.dct_coefficient(tile, u, v) * 200).alias("c")) for u, v in frequencies]
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("img_id"), F.inline_outer(F.array(*parts)))
+    c = F.col("c")
+    quantised = F.when(F.col("img_id") % 2 == 0, F.round(F.round(c / 9) * 9 / 3)).otherwise(F.round(c / 3)).cast("long")
+    found = forensics.coefficient_periods(rows.select("img_id", "u", "v", quantised.alias("q")))
+    return found.select("img_id", "u", "v", "n", "period", F.round("strength", 6).alias("strength"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<meta'))::INT AS n_meta, CASE WHEN contains(html, '<meta') THEN 'completed' ELSE 'unavailable' END AS metadata_status FROM pages")
@@ -228,18 +259,19 @@ def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.response_entries(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body")))
 
 
-RESPONSES = [
-    (1, 200, '{"ok":true,"face_score":0.5}'), (2, 400, '{"error":"No image."}'), (3, 500, '{"error":{"code":7}}'), (4, 200, "null"),
-    (5, 200, "<html>"), (6, 502, "<html>"), (7, 404, "{}"), (8, 200, '""'), (9, 200, "[]"), (10, 503, '{"error":null}'),
-]
+_REPLY = "event_id % 8"
 
 
-@query("SELECT * FROM (VALUES (1, NULL, true), (2, 'No image.', true), (3, 'Backend request failed with HTTP 500.', true), (4, NULL, false), (5, NULL, true), (6, 'Backend returned a response that was not valid JSON.', true), (7, 'Backend request failed with HTTP 404.', true), (8, NULL, false), (9, NULL, true), (10, 'Backend request failed with HTTP 503.', true)) t(case_id, error, shows_panel)")
+@query(f"""SELECT event_id, CASE WHEN {_REPLY} = 1 THEN 'No image for ' || event_type || '.' WHEN {_REPLY} IN (2, 5) THEN 'Backend request failed with HTTP 500.' WHEN {_REPLY} = 3 THEN 'Backend returned a response that was not valid JSON.' END AS error, {_REPLY} NOT IN (4, 6) AS shows_panel FROM events""")
 def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(RESPONSES, "case_id int, http_status int, body string")
-    rows = rows.withColumn("payload", client.response_payload(F.col("body")))
+    """Every event's properties as the body of a response, and in other forms: an error's text or code, no JSON, null, empty text, a list."""
+    kind = (F.col("event_id") % 8).cast("int")
+    own = F.to_json(F.struct(F.concat(F.lit("No image for "), "event_type", F.lit(".")).alias("error")))
+    bodies = F.array(F.col("props"), own, F.lit('{"error":{"code":7}}'), F.lit("<html>"), F.lit("null"), F.lit('{"error":null}'), F.lit('""'), F.lit("[]"))
+    failed = F.get(F.array(*[F.lit(x) for x in (200, 400, 500, 502, 200, 500, 200, 200)]), kind)
+    rows = table(spark, sf_dir, "events").select("event_id", failed.alias("http_status"), client.response_payload(F.get(bodies, kind)).alias("payload"))
     rows = rows.withColumn("error", client.error_message(F.col("payload"), F.col("http_status")))
-    return rows.select("case_id", "error", client.shows_panel(F.col("payload"), F.col("error")).alias("shows_panel"))
+    return rows.select("event_id", "error", client.shows_panel(F.col("payload"), F.col("error")).alias("shows_panel"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = '' THEN 'Unknown browser MIME type' ELSE lang END AS type_text, CASE WHEN lang = 'en' THEN 'document' ELSE 'media' END AS route, lang <> 'de' AND trim(source) <> '' AND n_chars % 2 = 0 AS can_analyze, CASE WHEN lang <> 'de' THEN 'Ready' ELSE 'Required' END AS file_ready, CASE WHEN trim(source) <> '' THEN 'Provided' ELSE 'Required' END AS key_ready, CASE WHEN lang = 'en' THEN 'Online' ELSE 'Not checked' END AS connection_text FROM documents")
@@ -436,11 +468,21 @@ def assembled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("case_id", F.size("evidence").alias("n_items"), F.array_join(F.transform("evidence", lambda e: e["check"]), ",").alias("checks"), F.round(shown, 6).alias("confidence"))
 
 
-@query("SELECT page_id, strlen(html) AS length, sha256(html) AS digest, contains(html, 'tEXt') OR contains(html, 'c2pa') AS has_data, CASE WHEN contains(html, 'tEXt') OR contains(html, 'c2pa') THEN 'completed' ELSE 'unavailable' END AS status FROM pages")
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'image/png' END AS media_type, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 2 + (page_id % 3 = 0)::INT END AS n_parts, page_id % 4 <> 0 AND page_id % 3 = 0 AS has_data,
+ page_id % 4 <> 0 AND (page_id % 5 = 0 OR (page_id % 3 = 0 AND page_id % 7 = 0)) AS damaged, CASE WHEN page_id % 4 <> 0 AND page_id % 3 = 0 THEN 'completed' ELSE 'unavailable' END AS status FROM pages""")
 def file_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a file of bytes: its digest, and what provenance data it carries."""
-    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
-    return evidence.file_facts(files).select(F.col("path").alias("page_id"), "length", "digest", (F.col("has_text_chunk") | F.col("has_credentials")).alias("has_data"), F.col("provenance_status").alias("status"))
+    """A PNG file for each page: every third has the page's title as text, every fifth is cut off, every seventh has a
+    wrong checksum there; every fourth is no image but the page itself, whatever letters it has."""
+    four = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+    chunk = lambda name, data, wrong=F.lit(0): F.concat(four(F.octet_length(data)), F.lit(name), data, four(F.crc32(F.concat(F.lit(name), data)).bitwiseXOR(wrong.cast("long"))))
+    title = F.concat(F.lit(b"Title\x00"), F.encode(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "UTF-8"))
+    said = F.when(F.col("page_id") % 3 == 0, chunk(b"tEXt", title, F.when(F.col("page_id") % 7 == 0, 1).otherwise(0))).otherwise(F.lit(b""))
+    end = F.when(F.col("page_id") % 5 == 0, F.lit(b"\x00\x00\x00\x00IEND\xae")).otherwise(chunk(b"IEND", F.lit(b"")))
+    png = F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), chunk(b"IHDR", F.lit(b"\x00\x00\x00\x01\x00\x00\x00\x01\x08\x00\x00\x00\x00")), said, end)
+    content = F.when(F.col("page_id") % 4 == 0, F.encode("html", "UTF-8")).otherwise(png)
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    facts = evidence.file_facts(files)
+    return facts.select(F.col("path").alias("page_id"), "media_type", F.size("parts").alias("n_parts"), F.col("has_text_chunk").alias("has_data"), "damaged", F.col("provenance_status").alias("status"))
 
 
 @query("WITH t AS (SELECT 'manipulation' AS task, n_chars < 1000 AS f, toxic AS truth FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'identity', n_chars < 400, 1 - quality FROM documents JOIN labels USING (doc_id)) SELECT task, sum((f AND truth = 1)::INT)::BIGINT AS tp, sum((f AND truth = 0)::INT)::BIGINT AS fp, sum((NOT f AND truth = 0)::INT)::BIGINT AS tn, sum((NOT f AND truth = 1)::INT)::BIGINT AS fn FROM t GROUP BY task")
@@ -481,3 +523,29 @@ def svm_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_distinct("turn").alias("d"))
     return turns.select("conv_id", "n_turns", "first_turn", "last_turn", ((F.col("last_turn") - F.col("first_turn") + 1 == F.col("n_turns")) & (F.col("d") == F.col("n_turns"))).alias("gapless"))
+
+
+_PACK = [
+    ("chars_missing", "n_chars", "missing", None, "high"), ("few_chars", "n_chars", "below", "400", "low"), ("foreign", "lang", "none_of", "en, de", "low"),
+    ("long_word", "text", "matches", "[a-z]{18}", "medium"), ("many_chars", "n_chars", "above", "10000", "medium"), ("no_source", "source", "missing", "", "high"), ("source_7", "source", "equals", "src7", "high"), ("very_long", "text", "longer", "12000", "high"),
+]
+
+
+@query("""WITH f AS (SELECT doc_id, unnest([CASE WHEN n_chars IS NULL THEN {'rule': 'chars_missing', 'g': 3} END, CASE WHEN n_chars < 400 THEN {'rule': 'few_chars', 'g': 1} END, CASE WHEN lang NOT IN ('en', 'de') THEN {'rule': 'foreign', 'g': 1} END,
+ CASE WHEN regexp_matches(text, '[a-z]{18}') THEN {'rule': 'long_word', 'g': 2} END, CASE WHEN n_chars > 10000 THEN {'rule': 'many_chars', 'g': 2} END, CASE WHEN source IS NULL OR trim(source) = '' THEN {'rule': 'no_source', 'g': 3} END, CASE WHEN source = 'src7' THEN {'rule': 'source_7', 'g': 3} END, CASE WHEN length(text) > 12000 THEN {'rule': 'very_long', 'g': 3} END]) AS f FROM documents),
+w AS (SELECT doc_id, f.rule AS rule, f.g AS g, max(f.g) OVER (PARTITION BY doc_id) AS most FROM f WHERE f IS NOT NULL)
+SELECT doc_id, ['low', 'medium', 'high'][most] AS severity, string_agg(rule, ',' ORDER BY rule) AS rules FROM w WHERE g = most GROUP BY doc_id, most""")
+def rule_pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of eight rules over all documents: the gravest findings of each."""
+    pack = spark.createDataFrame(_PACK, "rule string, field string, test string, operand string, severity string")
+    found = rule_packs.pack_findings(table(spark, sf_dir, "documents"), pack, ["doc_id"])
+    worst = rule_packs.case_severity(found, ["doc_id"], ("low", "medium", "high"))
+    return worst.select("doc_id", "severity", F.array_join("rules", ",").alias("rules"))
+
+
+@query(f"SELECT doc_id, 'tampering' AS check_name, {_STATUS} AS status, CASE WHEN toxic IS NOT NULL THEN CASE WHEN toxic = 1 THEN 1.0 WHEN quality = 0 THEN 0.5 ELSE 0.0 END END AS score FROM documents LEFT JOIN labels USING (doc_id)")
+def expert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third level of detail: every result with its score, as the checks gave it."""
+    score = F.when(F.col("toxic").isNotNull(), F.when(F.col("toxic") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.0))
+    results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", F.lit(None).cast("string").alias("reason"), score.alias("score"))
+    return status.disclosure(results)["expert"].select(F.col("case_id").alias("doc_id"), F.col("check").alias("check_name"), "status", "score")

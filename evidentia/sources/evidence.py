@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.containers import with_parts
+
 #: The first bytes of the accepted formats.
 PNG, JPEG, RIFF, WEBP = "89504E470D0A1A0A", "FFD8FF", "52494646", "57454250"
 
@@ -34,17 +36,21 @@ def accepted(files: DataFrame) -> DataFrame:
 def file_facts(files: DataFrame) -> DataFrame:
     """Provenance observations of each file. What a file does not carry is unavailable, which proves nothing.
 
-    PNG sizes come from the header; text chunks, EXIF and content credentials are looked for by
-    their markers in the bytes, all inside the JVM."""
+    Text, Exif, XMP and content credentials count where the file's structure has such a part
+    (``parts``); ``damaged`` files have one that is cut off or whose checksum does not hold. PNG sizes
+    come from the header."""
     content, digits = F.col("content"), F.hex(F.substring("content", 17, 8))
     number = lambda part: F.conv(part, 16, 10).cast("int")
     is_png = media_type(content) == "image/png"
-    has = lambda marker: F.contains(content, F.lit(marker))
-    return files.select(
+    has = lambda what: F.exists("parts", lambda p: F.coalesce(p["carries"] == what, F.lit(False)))
+    facts = with_parts(files).select(
         "path", "length", media_type(content).alias("media_type"), F.sha2(content, 256).alias("digest"),
         F.when(is_png, number(F.substring(digits, 1, 8))).alias("width"), F.when(is_png, number(F.substring(digits, 9, 8))).alias("height"),
-        (has(b"Exif\x00\x00") | has(b"eXIf")).alias("has_exif"), has(b"c2pa").alias("has_credentials"), has(b"tEXt").alias("has_text_chunk"),
-    ).withColumn("provenance_status", F.when(F.col("has_exif") | F.col("has_credentials") | F.col("has_text_chunk"), "completed").otherwise("unavailable"))
+        has("exif").alias("has_exif"), has("xmp").alias("has_xmp"), has("credentials").alias("has_credentials"), has("text").alias("has_text_chunk"),
+        F.exists("parts", lambda p: p["status"] != "ok").alias("damaged"), "parts",
+    )
+    carried = F.col("has_exif") | F.col("has_xmp") | F.col("has_credentials") | F.col("has_text_chunk")
+    return facts.withColumn("provenance_status", F.when(carried, "completed").otherwise("unavailable"))
 
 
 def decoded_pixels(spark: SparkSession, path: str) -> DataFrame:
