@@ -117,6 +117,21 @@ def explained(results: DataFrame) -> DataFrame:
     return results.join(F.broadcast(reason_texts(results.sparkSession)), "reason", "left")
 
 
+def explanations(results: DataFrame) -> DataFrame:
+    """case_id, workflow and ``text``: for a reviewer, what each check that ran found, and which could not.
+
+    One sentence for each check with a status other than completed, in the order of the checks' names:
+    the name under which it is shown, its status, and the sentence of its reason where there is one.
+    Cases whose checks all completed have a text that says so."""
+    names = {check: name for checks in CHECKS.values() for check, name in checks.items()}
+    shown = F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("check")], F.col("check"))
+    sentence = F.concat(shown, F.lit(": "), F.col("status"), F.lit("."), F.coalesce(F.concat(F.lit(" "), "reason_text"), F.lit("")))
+    said = explained(results).withColumn("sentence", F.when(F.col("status") != "completed", F.struct("check", sentence.alias("sentence"))))
+    told = F.transform(F.array_sort(F.collect_set("sentence")), lambda x: x["sentence"])
+    whole = said.groupBy("case_id", "workflow").agg(told.alias("told"))
+    return whole.select("case_id", "workflow", F.when(F.size("told") == 0, "All checks were completed.").otherwise(F.array_join("told", "\n")).alias("text"))
+
+
 def disclosure(results: DataFrame) -> dict[str, DataFrame]:
     """Three views of the same results: summary, evidence and expert. Each reads only its own columns."""
     return {

@@ -444,10 +444,14 @@ _GRADE = "CASE WHEN {s} >= 0.8 THEN 'suspicious' WHEN {s} >= 0.4 THEN 'inconclus
 @query(f"WITH s AS (SELECT vec_id, vec_id % 2 = 0 AS face, (vec_id % 256) / 255.0 AS g, 1 - (vec_id % 256) / 255.0 AS m FROM embeddings) SELECT vec_id, 'generated_image' AS check_name, {_GRADE.format(s='g')} AS status, round(g, 6)::DOUBLE AS score FROM s UNION ALL SELECT vec_id, 'face_manipulation', CASE WHEN face THEN {_GRADE.format(s='m')} ELSE 'unavailable' END, CASE WHEN face THEN round(m, 6)::DOUBLE END FROM s UNION ALL SELECT vec_id, 'visual_forensics', 'unavailable', NULL FROM s UNION ALL SELECT vec_id, 'explanations', 'completed', NULL FROM s")
 def media_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both media models given, as scorers of the content's first byte; faces in every other image."""
+    return _media_results(spark, sf_dir).select(F.col("case_id").alias("vec_id"), F.col("check").alias("check_name"), "status", F.round("score", 6).alias("score"))
+
+
+def _media_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.unhex(F.lpad(F.hex(F.col("vec_id") % 256), 2, "0")).alias("content"), (F.col("vec_id") % 2 == 0).alias("face_found"))
     generated = lambda: lambda batch: batch.map(lambda b: b[0] / 255).to_numpy()
     manipulated = lambda: lambda batch: batch.map(lambda b: 1 - b[0] / 255).to_numpy()
-    return detect_media(rows, generated, manipulated).select(F.col("case_id").alias("vec_id"), F.col("check").alias("check_name"), "status", F.round("score", 6).alias("score"))
+    return detect_media(rows, generated, manipulated)
 
 
 @query(f"SELECT doc_id, outcome, CASE outcome WHEN 'suspicious' THEN 'Escalate to a reviewer with the findings.' WHEN 'inconclusive' THEN 'Ask for a better capture and review by hand.' ELSE 'Run the missing checks before deciding.' END AS action FROM (SELECT doc_id, {_STATUS} AS outcome FROM documents LEFT JOIN labels USING (doc_id)) WHERE outcome <> 'completed' ORDER BY CASE outcome WHEN 'suspicious' THEN 0 WHEN 'inconclusive' THEN 1 ELSE 2 END, doc_id LIMIT 50")
@@ -549,3 +553,13 @@ def expert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("toxic").isNotNull(), F.when(F.col("toxic") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.0))
     results = labelled_outcomes(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.lit("document").alias("workflow"), F.lit("tampering").alias("check"), "status", F.lit(None).cast("string").alias("reason"), score.alias("score"))
     return status.disclosure(results)["expert"].select(F.col("case_id").alias("doc_id"), F.col("check").alias("check_name"), "status", "score")
+
+
+_SAID = "CASE WHEN {s} >= 0.8 THEN '{n}: suspicious. The score is above the threshold.' WHEN {s} >= 0.4 THEN '{n}: inconclusive. The score lies between the thresholds.' END"
+
+
+@query(f"""WITH s AS (SELECT vec_id, vec_id % 2 = 0 AS face, (vec_id % 256) / 255.0 AS g, 1 - (vec_id % 256) / 255.0 AS m FROM embeddings)
+SELECT vec_id, concat_ws(chr(10), CASE WHEN NOT face THEN 'Deepfake / face manipulation: unavailable. No face was found.' ELSE {_SAID.format(s='m', n='Deepfake / face manipulation')} END, {_SAID.format(s='g', n='AI-generated image screening')}, 'Visual forensic signals: unavailable. The model for this check is not installed.') AS text FROM s""")
+def media_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer reads of each image, in sentences."""
+    return status.explanations(_media_results(spark, sf_dir)).select(F.col("case_id").alias("vec_id"), "text")

@@ -48,7 +48,10 @@ def detect_media(cases: DataFrame, generated: Scorer | None = None, manipulated:
     another check of the case has a finding to explain."""
     row = lambda df, check: df.select("case_id", F.lit("media").alias("workflow"), F.lit(check).alias("check"), "status", "reason", "score")
     whole = row(generated_image_status(scored(cases, "content", generated), low, high), "generated_image")
-    face = row(face_gated(scored(cases, "content", manipulated), low, high), "face_manipulation")
+    # The model for faces sees only images in which one was found.
+    found = F.coalesce("face_found", F.lit(False))
+    judged = scored(cases.filter(found), "content", manipulated).unionByName(cases.filter(~found).withColumn("score", F.lit(None).cast("double")))
+    face = row(face_gated(judged, low, high), "face_manipulation")
     results = whole.unionByName(face)
     if indicators is not None:
         results = results.unionByName(row(tampering_results(indicators, limits or {}), "visual_forensics"))
