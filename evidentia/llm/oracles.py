@@ -109,3 +109,22 @@ best AS (SELECT stratum, rule, arg_max(level, (gain, level)) AS level FROM certa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules = '' AS kept, rules
 FROM (SELECT s.*, array_to_string(list_filter([{broken}], lambda r: r IS NOT NULL), ',') AS rules FROM stats s)
 """
+
+#: Sets that match share one of the rarest words of each, so only those meet; all else is as it is defined.
+LINE_DEDUP = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(line, '{_BLANK}'))) AS w FROM l),
+sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min((doc_id, i))) AS id, w, min((doc_id, i)) AS first FROM s WHERE len(w) > 0 GROUP BY w),
+words AS (SELECT id, len(w) AS n, unnest(w) AS word FROM sets),
+rarest AS MATERIALIZED (
+  SELECT id, n, word FROM (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY many, word) AS place FROM words JOIN (SELECT word, count(*) AS many FROM words GROUP BY word) USING (word))
+  WHERE place <= n - (4 * n + 4) // 5 + 1
+), met AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM rarest a JOIN rarest b ON a.word = b.word AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone AS (
+  SELECT DISTINCT later FROM met JOIN sets a ON a.id = later JOIN sets b ON b.id = earlier
+  WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w))
+), removed AS (
+  SELECT s.doc_id, count(*) AS n_removed, string_agg(s.i, ',' ORDER BY s.i) AS removed FROM s JOIN sets ON sets.w = s.w WHERE (s.doc_id, s.i) > sets.first OR sets.id IN (SELECT later FROM gone) GROUP BY s.doc_id
+)
+SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10)))::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN removed USING (doc_id)
+"""

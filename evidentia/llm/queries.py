@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import oracles
+from evidentia.llm import oracles, oracles_manifest
 from evidentia.llm.bpe_codec import bpe_encode
 from evidentia.llm.centroid_clusters import cluster_report
 from evidentia.llm.common import table
@@ -34,7 +34,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = duplicate_lines(documents)
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_hash") == F.col("r.text_hash"))
     gone = F.coalesce("r.removed", F.array().cast("array<int>"))
-    return every.alias("d").join(removed.alias("r"), same, "left").select("d.doc_id", "d.n_lines", F.size(gone).alias("n_removed"), gone.alias("removed"))
+    return every.alias("d").join(removed.alias("r"), same, "left").select("d.doc_id", "d.n_lines", F.size(gone).alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 #: The others are beyond SQL, or too slow in it on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_quality_rules": oracles.quality_rules_sql(),
     "op4_ngram_join": oracles.NGRAM_JOIN,
     "op7_secret_scan": oracles.SECRET_SCAN,
+    "op11_centroid_clusters": oracles_manifest.clusters_sql(),
+    "op13_merkle_manifest": oracles_manifest.MERKLE,
 }
