@@ -15,7 +15,8 @@ sums. Site posteriors cover all labelled documents. Defined results: a null text
 and gets the score that its statistics give; a null host or path is a site of its own; labels
 that repeat for one id count once, with the highest quality; with labels of one class only or
 none, the classifier is silent and the prior decides, 0.5 where there is none; equal rows get
-equal results.
+equal results, and a null id never has a label; a text of any length is read whole; an empty table
+gives an empty result with the same columns; columns with the names of results give way, others pass.
 """
 
 from __future__ import annotations

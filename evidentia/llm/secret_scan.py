@@ -9,8 +9,11 @@ reach, evaluated as a sweep: per text the parts are sorted by their start, and r
 each role give the nearest before and after. Its cost is n log n in the parts, and no pairs of
 parts are formed.
 
-Only DataFrame functions are used. Defined results: a null text has no spans; equal rows get
-equal results; texts under one id that differ are scanned apart; positions are code points.
+Only DataFrame functions are used. Defined results: a null text has no spans, and an empty one none;
+a text of any length is scanned whole; equal rows get equal results, each its own row, under null
+ids too; texts under one id that differ are scanned apart; of kinds that start at one place the one
+listed first comes first; positions are code points; an empty table gives an empty result; columns
+other than doc_id and text give way.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ always ranks after the merge that makes it (checked when the file is loaded), so
 merging place by place. A pre-token without a mergeable pair leaves; what survives is its count.
 
 No shuffles; a worker remembers a fixed number of chunks. Defined results: a null text is an
-empty one with no tokens; n_bytes is the length in UTF-8.
+empty one with no tokens; n_bytes is the length in UTF-8; a text of any length is counted whole, and
+a pre-token of any length too; equal texts and repeated rows get equal counts, and each row, null ids
+too, has its own; an empty table gives an empty result; columns other than doc_id and text give way.
 """
 
 from __future__ import annotations

@@ -1,10 +1,11 @@
 """Toxicity scores by weak supervision: many voters, a label model, a linear classifier.
 
 Voters are words and word beginnings that a bounded sample of labelled documents shows to be far
-likelier in toxic texts, a fixed list of insults, and patterns of address and shouting. A voter
+likelier in toxic texts, a fixed list of insults in four languages, patterns of address, and two looks
+at the text as a whole: shouting, and words repeated without end. A voter
 votes where it occurs and abstains elsewhere. The label model is generative: given the unknown
 class, each voter fires at a rate of its own. EM estimates those rates over the labelled sample and a
-bounded sample of documents without labels, those of them that have a vote; a label is one more witness there, of an accuracy that
+bounded sample of documents without labels, silent ones too; a label is one more witness there, of an accuracy that
 is estimated like the voters', and tells which class is the toxic one. A label that no voter bears
 out is overruled. Voters repeat each other (a word and its beginning always fire together): their correlations within the classes are
 parameters too, estimated in each round, and the votes are weighted by the inverse of the
@@ -43,8 +44,13 @@ from evidentia.plans.staging import staged
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that may become voters. Short ones occur in any text.
 STEMS = (4, 5, 6, 7)
-#: Insults that vote even where the sample lacks them.
-INSULTS = ("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "useless", "vermin", "worthless")
+#: Insults that vote even where the sample lacks them, in English, German, Spanish and French.
+INSULTS = (
+    "asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "useless", "vermin", "worthless",
+    "abschaum", "arschloch", "blödmann", "dummkopf", "dreckig", "ekelhaft", "erbärmlich", "idioten", "mistkerl", "nutzlos", "schwachkopf", "trottel", "versager", "widerlich",
+    "asqueroso", "basura", "cabrón", "cretino", "escoria", "estúpido", "estúpida", "idiota", "imbécil", "inútil", "maldito", "payaso", "patético", "tonto",
+    "abruti", "connard", "crétin", "débile", "dégoûtant", "idiote", "imbécile", "inutile", "minable", "ordure", "pathétique", "racaille", "salaud", "stupide",
+)
 PATTERNS = {
     "told off": re.compile(r"\b(?:shut up|get lost|go to hell|drop dead|you people|kill yourself)\b"),
     "called names": re.compile(r"\byou(?:'re| are)? (?:such )?an? (?:\w+ )?(?:" + "|".join(INSULTS) + r")\b"),
@@ -53,6 +59,23 @@ PATTERNS = {
 }
 
 
+def shouted(text: str) -> bool:
+    """Mostly capitals, with many exclamation marks."""
+    marks = text.count("!")
+    if not marks or 20 * marks <= len(text.split()):
+        return False
+    letters = sum(map(str.isalpha, text))
+    return letters >= 40 and 2 * sum(map(str.isupper, text)) > letters
+
+
+def repeated(text: str) -> bool:
+    """A third of the words or more are the word before once again."""
+    words = text.split()
+    return len(words) >= 12 and 3 * sum(a == b for a, b in zip(words, words[1:])) >= len(words)
+
+
+#: Voters that look at the whole text as it is written.
+SHAPES = {"shouted": shouted, "repeated": repeated}
 #: In the place of a label where there is none.
 UNLABELLED = -1
 #: The least correlation within the classes at which voters count as echoes of each other.
@@ -92,6 +115,7 @@ class Voters:
     def __init__(self, names: list[str]):
         self.at = {n: i for i, n in enumerate(names)}
         self.patterns = [(self.at[f"/{k}/"], p) for k, p in PATTERNS.items() if f"/{k}/" in self.at]
+        self.shapes = [(self.at[f"/{k}/"], f) for k, f in SHAPES.items() if f"/{k}/" in self.at]
         self.known = Remembered(200_000)
 
     def of_word(self, word: str) -> tuple[int, ...]:
@@ -106,6 +130,7 @@ class Voters:
         lower = text.lower()
         found = {i for word in set(WORD.findall(lower)) for i in self.of_word(word)}
         found.update(i for i, p in self.patterns if p.search(lower))
+        found.update(i for i, f in self.shapes if f(text))
         return sorted(found)
 
 
@@ -219,7 +244,7 @@ def fit(documents: DataFrame, labels: DataFrame, model: ToxicityModel) -> Fitted
     sample = sampled(documents, labels, model)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     names = induced(sample, sizes.get(1, 0), sizes.get(0, 0), model)
-    names += [w for w in INSULTS if w not in names] + [f"/{k}/" for k in PATTERNS]
+    names += [w for w in INSULTS if w not in names] + [f"/{k}/" for k in (*PATTERNS, *SHAPES)]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(names)
@@ -229,8 +254,6 @@ def fit(documents: DataFrame, labels: DataFrame, model: ToxicityModel) -> Fitted
 
     kinds = {f.name: f.dataType.simpleString() for f in sample.schema}
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(vote, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, fired array<int>").orderBy("doc_id").collect()
-    # A text without a label on which no voter votes says nothing of the voters.
-    rows = [r for r in rows if r["toxic"] != UNLABELLED or r["fired"]]
     y = np.array([r["toxic"] for r in rows])
     votes = np.zeros((len(rows), len(names)), bool)
     for i, r in enumerate(rows):
