@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again
 as the next one's docs. All but the last return the columns of ``documents``; where a stage changes
-a text, n_chars follows.
+a text, n_chars follows. Every stage handles texts of any length whole and gives an empty table for
+an empty one; extra columns pass through all but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,18 @@ from evidentia.plans.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are judged by their statistics; repeated rows share one verdict; a score at the
+    threshold stays."""
     return quality_scores(docs, table(spark, sf_dir, "labels")).filter("quality_kept").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; so do documents that had words and keep none."""
+    """Lines that match an earlier line go; so do documents that had words and keep none.
+
+    Null and empty texts stay as they are; of repeated rows each has the same lines taken out, as one
+    document; of equal lines the first in the order of (doc_id, line) stays, null ids first."""
     kept = line_dedup(docs)
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = kept.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -34,17 +41,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts stays, the one with the least id."""
+    """One document of each group of similar texts stays, the one with the least id.
+
+    Null ids come first; a null text is an empty one, and empty texts are copies of each other; of rows
+    that repeat an id and its text one stays; of unlike texts under one id each stays."""
     return one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; repeated rows go or stay together; null and empty items are in no text."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+    """doc_id, n_tokens and the digests of ids and decoded text, a row for each; a null text is an empty one."""
     return bpe_encode(docs, tokenizer_path(), digests=True)
 
 
