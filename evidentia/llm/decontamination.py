@@ -9,7 +9,9 @@ so no stretch of text is compared twice with an item.
 
 An item may stand in a document in part only, as where a deduplication took single lines out of it.
 So the lines of an item, long ones cut at words, are searched as well, each with its own pieces and
-budget. A document holds the item too if the segments it holds make up more than ``share`` of the
+budget. Items of less than three segments' length have shorter ones, so that most of an item is
+more than one of them; lines of items under three times ``shortest`` characters are not cut.
+A document holds the item too if the segments it holds make up more than ``share`` of the
 characters of all segments, wherever they stand. The distance reported for such a part is that of
 the segments found plus the characters of those missing, and above the budget of the whole item.
 
@@ -18,9 +20,9 @@ block meets all documents in one pass without a shuffle. Of a larger one, every
 its own that writes its hits; a block's broadcast is given up before the next one is made, so a task
 holds one automaton at any size of the benchmark, and the hits are joined to the documents at the end.
 
-Defined results: null or empty items are never found; items under ``shortest`` characters are found
-as whole words without edits, wherever they stand, so an item of one common word is found in many
-documents; a null or empty text holds no item; a text of any length is searched whole; item ids that
+Defined results: null or empty items are never found; items so short that their budget is no edit
+(under 13 characters at 8 %) are found as whole words, wherever they stand, so an item of one common
+word is found in many documents; a null or empty text holds no item; a text of any length is searched whole; item ids that
 repeat are reported once, with the least distance, null ids first; rows that agree in id and text
 have equal results; empty tables give empty results. Of the columns of ``documents`` only doc_id and
 text are read; ``without_leaks`` passes all on, whatever their names.
@@ -49,9 +51,9 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class EditMatching:
-    """rate: edits for each character of an item. shortest: see above. block_chars: characters of
-    items that are searched in one pass. segment: characters a segment of a long line has at least.
-    share: see above."""
+    """rate: edits for each character of an item. shortest: characters a segment has at least.
+    block_chars: characters of items that are searched in one pass. segment: characters a segment
+    of a long line has at least, if the item has three of them. share: see above."""
 
     rate: float = 0.08
     shortest: int = 20
@@ -81,9 +83,11 @@ def segments(text: str, rule: EditMatching) -> list[str]:
     if len(joined) > 1 and len(joined[-1]) < rule.shortest:
         last = joined.pop()
         joined[-1] += " " + last
-    found = []
+    found, total = [], sum(map(len, joined))
+    # Of a line too short for three parts, one part could be more than half.
+    least = min(rule.segment, max(rule.shortest, total // 3)) if total >= 3 * rule.shortest else total
     for line in joined:
-        while len(line) >= 2 * rule.segment and 0 < (cut := line.find(" ", rule.segment)) < len(line) - rule.segment:
+        while len(line) >= 2 * least and 0 < (cut := line.find(" ", least)) < len(line) - least:
             found.append(line[:cut])
             line = line[cut + 1 :]
         found.append(line)
@@ -127,7 +131,7 @@ class Matcher:
         known: dict[str, int] = {}
         for key, text in items:
             item = normal(text)
-            if 0 < len(item) < rule.shortest:
+            if item and not int(rule.rate * len(item)):
                 self.found.setdefault(item, []).append((len(self.items), 0))
                 self.items.append((key, len(item), 0, None, False))
             elif item:

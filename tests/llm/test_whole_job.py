@@ -142,3 +142,15 @@ def test_labels_that_votes_do_not_bear_out_are_overruled():
     echo = np.column_stack([votes[:, 0]] * 3 + [votes[:, 1]]).astype(float)
     weights = toxicity.echo_weights(echo, toxic.astype(float), rates)
     assert np.allclose(weights[:3].sum(), 1, atol=0.05) and weights[3] > 0.9
+
+
+def test_short_items_have_a_budget_and_parts():
+    """Items of 13 characters may differ by an edit; of a line of 60 and more most is enough, a third is not."""
+    line = " ".join(VOCABULARY[200:219])
+    assert 60 <= len(line) < 120
+    finder = decon.Matcher(((1, "a short phrase"), (2, line), (3, "brief")), decon.EditMatching())
+    words = line.split()
+    held = lambda text: sorted(key for key, _ in finder.leaks(text))
+    assert held("what a shart phrase it is") == [1] and held("what a shart phrese it is") == [] and held("a brief one") == [3] and held("briefly") == []
+    assert held("so " + " ".join(words[:14]) + " and no more") == [2] and held("so " + " ".join(words[5:]) + " stands here") == [2]
+    assert held("so " + " ".join(words[:6]) + " and no more") == [] and held(line) == [2]
