@@ -87,10 +87,13 @@ def segments(text: str, rule: EditMatching) -> list[str]:
     # Of a line too short for three parts, one part could be more than half.
     least = min(rule.segment, max(rule.shortest, total // 3)) if total >= 3 * rule.shortest else total
     for line in joined:
-        while len(line) >= 2 * least and 0 < (cut := line.find(" ", least)) < len(line) - least:
-            found.append(line[:cut])
-            line = line[cut + 1 :]
-        found.append(line)
+        start, parts = 0, max(1, len(line) // max(least, 1))
+        for k in range(1, parts):
+            cut = line.find(" ", max(len(line) * k // parts, start + rule.shortest))
+            if 0 < cut <= len(line) - rule.shortest - 1:
+                found.append(line[start:cut])
+                start = cut + 1
+        found.append(line[start:])
     return found
 
 
