@@ -77,14 +77,15 @@ class LineMatching:
     similarity: float = 0.8
     least_words: int = 1
     hot: int = 8
-    frequent: float = 512
+    frequent: float = 48
     pairs_up_to: int = 128
     triples_up_to: int = 40
 
 
 @dataclass(frozen=True)
 class Ranks:
-    """For each hash bucket its place in the order of frequency, rarest first; for each place its count; all words."""
+    """For each hash bucket its place in the order of frequency, rarest first; for each place how often a word
+    there is expected to occur; and how many words there are."""
 
     place: np.ndarray
     counts: np.ndarray
@@ -120,7 +121,10 @@ def word_ranks(documents: DataFrame) -> Broadcast:
     order = np.argsort(counts, kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    return documents.sparkSession.sparkContext.broadcast(Ranks(place, counts[order], int(counts.sum())))
+    total = int(counts.sum())
+    # What a bucket has of its own, beyond the words that any bucket has.
+    own = np.maximum(counts[order] - total / len(counts), 1.0)
+    return documents.sparkSession.sparkContext.broadcast(Ranks(place, own, total))
 
 
 def _prefix_length(n: np.ndarray, t: float) -> np.ndarray:

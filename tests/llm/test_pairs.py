@@ -6,7 +6,10 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from evidentia.llm import decontamination as decon
+from evidentia.llm import line_dedup as line_dedup_module
 from evidentia.llm.components import connected_components
 from evidentia.llm.line_dedup import LineMatching, line_dedup
 from evidentia.llm.ngram_join import NgramJoin, least_agreeing, near_duplicates, one_of_each_group, shingles, signature
@@ -193,3 +196,20 @@ def test_blocks_of_items_agree_with_one_block(spark, documents):
     clean = [sorted(str(r) for r in decon.without_leaks(docs, benchmark, decon.EditMatching(block_chars=b)).collect()) for b in (4_000_000, 700)]
     assert clean[0] == clean[1] and len(clean[0]) == sum("item_id" not in r for r in found[0])
     assert decon.without_leaks(docs.limit(0), benchmark).isEmpty() and decon.benchmark_leaks(docs.limit(0), benchmark).isEmpty()
+
+
+def test_comparisons_do_not_grow_with_the_square(spark):
+    """Zipf lines over a fixed vocabulary: four times the lines, at most six times the comparisons on keys."""
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 1001)
+    found = []
+    for n in (4_000, 16_000, 64_000):
+        lines = [" ".join(f"w{x}" for x in row) for row in rng.choice(1000, (n, 14), p=share / share.sum())]
+        docs = spark.createDataFrame([(k, "\n".join(lines[k : k + 1000])) for k in range(0, n, 1000)], "doc_id long, text string")
+        rule = LineMatching()
+        ranks = line_dedup_module.word_ranks(docs)
+        sets = line_dedup_module.line_sets(line_dedup_module.line_keys(docs, ranks, rule), rule)
+        keys = line_dedup_module.key_rows(sets.withColumn("open", F.lit(True)).withColumn("age", F.col("first.doc_id")), ranks, rule).groupBy("key").count()
+        found.append(keys.agg(F.max("count").alias("largest"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first())
+    assert max(r["largest"] for r in found) <= 200
+    assert all(b["pairs"] <= 6 * a["pairs"] for a, b in zip(found, found[1:])), found
