@@ -11,7 +11,7 @@ any line before it, in the order of (doc_id, line number), matches. The exact se
 * What is left is verified on all words: first each set against the earlier one that seems least
   apart, then only those that this does not decide against all their others.
 
-Equal sets are one row from the start, so copies of a line meet nobody. Three things keep words
+Equal sets are one row from the start, so copies of a line meet nobody. Three things keep a word
 that many sets share from pairing them all:
 
 * Variants of one passage first meet only the earliest set that has one of the last words of their
@@ -27,43 +27,35 @@ that many sets share from pairing them all:
 
 A set of few words (under four at 0.8) matches equal sets only; it has its row, but joins nobody.
 
-Word sets and chains are made in Arrow batches with numpy, all else in DataFrame functions: the
-native form of these two steps did not meet the limits (README). Words are compared by 63 and 64 bits
-of hashes, equal sets found by 128 bits. Defined results: every line with a word takes part unless
-``least_words`` says otherwise; a line without a word never goes; a null text has one empty line and
-an empty text too; a line of any length, and a text of any length, is handled whole; rows that agree
-in id and text are one document, and each gets its result; documents under one id that differ are
-ordered by the hash of their text; null ids come first; empty tables give empty results. Of the
-columns of ``documents`` only doc_id and text are read; others pass through ``line_dedup``, and one
-called ``removed`` gives way to the result.
+Only DataFrame functions are used. Words are compared by 63-bit hashes, equal sets found by 128
+bits. Defined results: every line with a word takes part unless ``least_words`` says otherwise; a
+line without a word never goes; a null text has one empty line and an empty text too; a line of
+any length, and a text of any length, is handled whole; rows that agree in id and text are one
+document, and each gets its result; documents under one id that differ are ordered by the hash of
+their text; null ids come first; empty tables give empty results. Of the columns of ``documents``
+only doc_id and text are read; others pass through ``line_dedup``, and one called ``removed``
+gives way to the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import bounded_batches, sieve, sieved
+from evidentia.llm.common import let, sieve, sieved
 from evidentia.plans.staging import staged
 
 #: Sets of more words have two parity maps, for 64 bits say little of their difference.
 SPLIT_PARITY = 90
 #: Hash buckets in which word frequencies are counted: 2 ** BUCKET_BITS.
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 _REST = 63 - BUCKET_BITS
+#: Words of a chain at most; a prefix is longer by as many, less one.
+CHAIN = 3
 #: Words of a prefix, from its end, by which the sets of a crowd find their earliest.
 CROWD_WORDS = 6
-#: Words of a chain at most, and so words that a prefix is longer by, and one.
-CHAIN = 3
-#: Words of lines that are sorted together.
-TOGETHER = 400_000
 
 
 @dataclass(frozen=True)
@@ -82,134 +74,82 @@ class LineMatching:
     triples_up_to: int = 40
 
 
-@dataclass(frozen=True)
-class Ranks:
-    """For each hash bucket its place in the order of frequency, rarest first; for each place how often a word
-    there is expected to occur; and how many words there are."""
-
-    place: np.ndarray
-    counts: np.ndarray
-    total: int
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        words: list[bytes] = []
-        for k, text in enumerate(batch.column(0)):
-            words += (text.as_py() or "").encode().split()
-            if len(words) >= TOGETHER or k == batch.num_rows - 1:
-                spots = (_hashed(words) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
-                totals += np.bincount(spots, minlength=len(totals))
-                words = []
-    some = np.flatnonzero(totals)
-    for k in range(0, len(some), 100_000):
-        part = some[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(totals[part])], ["bucket", "n"])
-
-
-def word_ranks(documents: DataFrame) -> Broadcast:
-    """The ``Ranks`` of the corpus, 12 MB at any size of input, sent to every worker."""
-    counted = bounded_batches(documents.select("text")).mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    order = np.argsort(counts, kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    total = int(counts.sum())
-    # What a bucket has of its own, beyond the words that any bucket has.
-    own = np.maximum(counts[order] - total / len(counts), 1.0)
-    return documents.sparkSession.sparkContext.broadcast(Ranks(place, own, total))
-
-
-def _prefix_length(n: np.ndarray, t: float) -> np.ndarray:
-    """Of two sets that match, each has a shared word among so many of its rarest."""
-    return (n - np.ceil(n * t - 1e-9) + 1).astype(np.int64)
-
-
-_KEYS = "text_hash long, line_no int, n int, k1 long, k2 long, parity long, second long, prefix array<long>"
-
-
-def _lines(rule: LineMatching, ranks: Broadcast, kind: pa.DataType):
-    """(doc_id, text_hash, text) -> a row for each line with a word."""
-
-    def rows(held: list[tuple], words: list[bytes]) -> pa.RecordBatch:
-        """held: (doc_id, text_hash, line_no, words) of lines whose words follow each other."""
-        place = ranks.value.place
-        h = _hashed(words)
-        own = place[(h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)].astype(np.int64) << _REST | (h >> np.uint64(BUCKET_BITS + 1)).astype(np.int64)
-        ends = np.cumsum([r[3] for r in held])
-        starts = np.concatenate([[0], ends[:-1]])
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            own[a:b].sort()
-        new = np.ones(len(own), bool)
-        new[1:] = own[1:] != own[:-1]
-        new[starts] = True
-        n = np.add.reduceat(new, starts, dtype=np.int64)
-        own = own[new]
-        ends = np.cumsum(n)
-        starts = ends - n
-        bits = np.uint64(1) << (own & 63).astype(np.uint64)
-        parity = np.bitwise_xor.reduceat(bits, starts)
-        half = np.bitwise_xor.reduceat(np.where(own & 64, bits, np.uint64(0)), starts)
-        second = np.where(n > SPLIT_PARITY, half, np.uint64(0))
-        raw = own.tobytes()
-        digests = b"".join([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())])
-        k = np.frombuffer(digests, np.int64).reshape(-1, 2)
-        size = np.where(_meets(n, rule), np.minimum(_prefix_length(n, rule.similarity) + CHAIN - 1, n), 0)
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        picked = np.repeat(starts - cuts[:-1], size) + np.arange(cuts[-1])
-        prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own[picked]))
-        columns = [pa.array([r[0] for r in held], kind), pa.array([r[1] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.int32()), pa.array(n, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(parity.view(np.int64)), pa.array(second.view(np.int64)), prefix]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", "prefix"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        words: list[bytes] = []
-        for batch in batches:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc_id, text_hash, text in zip(ids, hashes, batch.column(2)):
-                for line_no, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                    found = line.split()
-                    if found:
-                        held.append((doc_id, text_hash, line_no, len(found)))
-                        words += found
-                        if len(words) >= TOGETHER:
-                            yield rows(held, words)
-                            held, words = [], []
-        if held:
-            yield rows(held, words)
-
-    return run
-
-
-def line_keys(documents: DataFrame, ranks: Broadcast, rule: LineMatching) -> DataFrame:
-    """Every line with a word: where it is, n (different words), the two keys of its word set, the parity
-    maps (of all words, and of half of them if there are many) and its rarest words as numbers: those
-    of the prefix and two more."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    of = documents.schema["doc_id"].dataType
-    hashed = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return bounded_batches(hashed).mapInArrow(_lines(rule, ranks, to_arrow_type(of)), f"doc_id {of.simpleString()}, {_KEYS}")
+def _spaced(text: Column) -> Column:
+    """The text with a plain space for each other white space but line ends."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.when(odd, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+
+
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+
+
+def word_ranks(documents: DataFrame) -> DataFrame:
+    """One row: ``ranks``, for each hash bucket its place in the order of frequency, rarest first (shifted up),
+    ``counts``, for each place how often a word there is expected to occur, and ``total``, all words.
+
+    The buckets are numbered in one task; there are 2 ** BUCKET_BITS of them at any size of input. What a
+    bucket has of its own is what it has beyond the words that any bucket has."""
+    spark = documents.sparkSession
+    flat = F.replace(_spaced(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
+    counts = documents.select(F.explode(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
+    ordered = whole.agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("s"), F.sum("n").alias("total"))
+    beyond = F.greatest(F.col("s.n") - F.col("total") / (1 << BUCKET_BITS), F.lit(1.0)).cast("float")
+    places = ordered.select("total", F.posexplode("s").alias("rank", "s")).select("total", "rank", F.col("s.bucket").alias("bucket"), beyond.alias("own"))
+    by = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"])
+    return staged(places.agg(by("bucket", F.shiftleft(F.col("rank").cast("long"), _REST)).alias("ranks"), by("rank", F.col("own")).alias("counts"), F.max("total").alias("total")), "line_word_ranks")
+
+
+def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The lines with ``n`` and ``own`` in the place of their text: the distinct words as numbers,
+    rarest first, and how many they are.
+
+    A number is the rank of the word's bucket, then 45 other bits of its hash. Numbers are never
+    null, so they are sorted as plain integers."""
+    keep = [c for c in lines.columns if c != "line"]
+    split = lines.select(*keep, F.split(_spaced(F.col("line")), " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"))
+    hashes = F.array_remove(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rank = lambda h, r: F.coalesce(F.get(r, _bucket(h)), F.lit(0).cast("long"))
+    number = lambda h, r: rank(h, r).bitwiseXOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
+    numbers = let(F.col("ranks"), lambda r: F.transform(hashes, lambda h: number(h, r)))
+    return split.select(*keep, F.sort_array(numbers).alias("own")).select(*keep, F.size("own").alias("n"), "own")
 
 
 def word_hashes(lines: DataFrame) -> DataFrame:
     """The lines with ``n`` and ``own`` in the place of their text: hashes of the different words, and how many."""
     keep = [c for c in lines.columns if c != "line"]
-    plain = F.translate("line", "\t\r\x0b\x0c", "    ")
-    own = F.array_remove(F.array_distinct(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    own = F.array_remove(F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     return lines.select(*keep, own.alias("own")).select(*keep, F.size("own").alias("n"), "own")
 
 
-def _meets(n: np.ndarray, rule: LineMatching) -> np.ndarray:
+def _prefix_length(n: Column, t: float) -> Column:
+    """Of two sets that match, each has a shared word among so many of its rarest."""
+    return (n - F.ceil(n * t - 1e-9) + 1).cast("int")
+
+
+def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
+    """Every line: where it is, n, the two keys of its word set, the parity maps (of all words, and of half of
+    them if there are many), and its rarest words as numbers: those of the prefix and two more."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # The hash is a column before the lines are dealt out, else each line would hash the whole text.
+    hashed = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
+    own = word_sets(hashed.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")), ranks)
+    n = F.col("n")
+    length = _prefix_length(n, rule.similarity)
+    prefix = F.slice("own", F.lit(1), F.when(_meets(n, rule), length + (CHAIN - 1)).otherwise(0))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda x: x.bitwiseAND(F.lit(64)) == 0
+    none = F.lit(0).cast("long")
+    parity = F.aggregate("own", none, lambda a, x: a.bitwiseXOR(bit(x)))
+    second = F.when(n > SPLIT_PARITY, F.aggregate("own", none, lambda a, x: F.when(half(x), a).otherwise(a.bitwiseXOR(bit(x))))).otherwise(none)
+    return own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("prefix"))
+
+
+def _meets(n: Column, rule: LineMatching) -> Column:
     """n words match n + 1 at best: below this size only equal sets match, and they are one row."""
-    return n >= (rule.similarity / (1 - rule.similarity) - 1e-9 if rule.similarity < 1 else np.inf)
+    return n >= rule.similarity / (1 - rule.similarity) - 1e-9 if rule.similarity < 1 else F.lit(False)
 
 
 def line_sets(keys: DataFrame, rule: LineMatching) -> DataFrame:
@@ -225,60 +165,45 @@ def overlap_needed(a: Column, b: Column, t: float) -> Column:
 
 #: What the filters need of a set.
 _SET = ("id", "n", "parity", "second")
+#: What tells whether a pair is still of use: whether the set is undecided, and how early it is.
+_USE = ("open", "age")
 
 
-def chains(prefix: list[int], n: int, length: int, ranks: Ranks, rule: LineMatching) -> Iterator[tuple[int, int, int]]:
-    """(key, room, before) of a set's chains: the number of the key; ``room``, the most words that two sets can
-    share if the chain is the first words that they share; and the word ``before`` the chain.
+def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
+    """A row for each chain of each set (id, n, parity, second, open, age, prefix): the key; ``room``, the most
+    words that two sets can share if the chain is the first words that they share; and the word
+    ``before`` the chain.
 
     Whether a chain takes another word depends on its words alone, and by size on the side of a limit:
     sets on either side of it that may match have the shorter chain in common."""
-    counts, total, t = ranks.counts, max(ranks.total, 1), rule.similarity
+    t, n, size, word, count = rule.similarity, F.col("n"), F.size("prefix"), lambda i: F.get("prefix", i), lambda i: F.get("expected", i)
     limits = (rule.pairs_up_to, rule.triples_up_to)
-    # (first place, last place, words, number, sets expected)
-    todo = [(i, i, 1, prefix[i], float(counts[prefix[i] >> _REST])) for i in range(length)]
-    while todo:
-        first, last, size, key, expected = todo.pop()
-        longer = expected > rule.frequent and size < CHAIN and n <= limits[size - 1]
-        if not longer or n >= limits[size - 1] * t - 1e-9:
-            yield key, n - last + size - 1, prefix[first - 1] if first else 0
-        if longer:
-            for k in range(last + 1, min(length + size, len(prefix))):
-                # A line holds about ten words.
-                share = min(1.0, 10.0 * float(counts[prefix[k] >> _REST]) / total)
-                todo.append((first, k, size + 1, (key * 0x9E3779B97F4A7C15 + prefix[k] + size) % 2**63, expected * share))
-
-
-_ROWS = "key long, room int, before long, open boolean, id long, n int, parity long, second long"
-
-
-def _chained(rule: LineMatching, ranks: Broadcast):
-    """(age, open, id, n, parity, second, prefix) -> rows of keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks.value
-        for batch in batches:
-            sizes = batch.column(3).to_numpy()
-            lengths = _prefix_length(sizes, rule.similarity)
-            at: list[int] = []
-            found: list[tuple[int, int, int]] = []
-            for k, prefix in enumerate(batch.column(6).to_pylist()):
-                if prefix:
-                    own = list(chains(prefix, int(sizes[k]), min(int(lengths[k]), len(prefix)), known, rule))
-                    found += own
-                    at += [k] * len(own)
-            key, room, before = zip(*found) if found else ((), (), ())
-            take = lambda c: batch.column(c).take(pa.array(at, pa.int64()))
-            columns = [take(0), pa.array(key, pa.int64()), pa.array(room, pa.int32()), pa.array(before, pa.int64()), *map(take, (1, 2, 3, 4, 5))]
-            yield pa.RecordBatch.from_arrays(columns, ["age", "key", "room", "before", "open", "id", "n", "parity", "second"])
-
-    return run
-
-
-def key_rows(sets: DataFrame, ranks: Broadcast, rule: LineMatching) -> DataFrame:
-    """A row for each chain of each set (age, open, id, n, parity, second, prefix)."""
-    kind = sets.schema["age"].dataType.simpleString()
-    return sets.select("age", "open", "id", "n", "parity", "second", "prefix").mapInArrow(_chained(rule, ranks), f"age {kind}, {_ROWS}")
+    lookup = lambda r: F.transform("prefix", lambda w: F.coalesce(F.get(r, F.shiftright(w, _REST).cast("int")), F.lit(1.0)))
+    facts = sets.filter(size > 0).withColumns({"counts": ranks.select("counts").scalar(), "total": ranks.select("total").scalar()})
+    known = facts.withColumn("expected", let(F.col("counts"), lookup)).drop("counts").withColumn("length", F.least(_prefix_length(n, t), size))
+
+    def link(first: Column, last: Column, key: Column, expected: Column, words: int) -> Column:
+        longer = (expected > rule.frequent) & (n <= limits[words - 1]) if words < CHAIN else F.lit(False)
+        room = n - last + (words - 1)
+        return F.struct(first.alias("first"), last.alias("last"), key.alias("key"), expected.cast("double").alias("expected"), room.alias("room"), longer.alias("longer"))
+
+    def steps(start: Column, stop: Column) -> Column:
+        """The places from start up to, not with, stop; none if there are none."""
+        return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
+
+    def grown(chains: Column, words: int) -> Column:
+        """The chains of ``words`` words and one more. A line holds about ten words."""
+        share = lambda k: F.least(F.lit(1.0), count(k) * 10 / F.greatest("total", F.lit(1)))
+        more = lambda x: F.transform(steps(x["last"] + 1, F.least(F.col("length") + words, size)), lambda k: link(x["first"], k, F.xxhash64(x["key"], word(k)), x["expected"] * share(k), words + 1))
+        return F.flatten(F.transform(F.filter(chains, lambda x: x["longer"]), more))
+
+    alone = F.transform(steps(F.lit(0), F.col("length")), lambda i: link(i, i, word(i), count(i), 1))
+    chained = known.withColumn("one", alone).withColumn("two", grown(F.col("one"), 1)).withColumn("three", grown(F.col("two"), 2))
+    stays = lambda limit: lambda x: ~x["longer"] | (n >= limit * t - 1e-9)
+    every = F.concat(F.filter("one", stays(limits[0])), F.filter("two", stays(limits[1])), F.col("three"))
+    rows = chained.withColumn("every", every).select(*_SET, *_USE, "prefix", F.explode("every").alias("x"))
+    before = F.coalesce(F.get("prefix", F.col("x.first") - 1), F.lit(0))
+    return rows.select("x.key", "x.room", before.alias("before"), *_USE, *_SET)
 
 
 def _may_match(t: float) -> tuple[Column, Column]:
@@ -372,7 +297,7 @@ class _Verifier:
         return decided.union(self.later(rest))
 
 
-def matched_sets(documents: DataFrame, ranks: Broadcast, sets: DataFrame, rule: LineMatching) -> DataFrame:
+def matched_sets(documents: DataFrame, ranks: DataFrame, sets: DataFrame, rule: LineMatching) -> DataFrame:
     """``id`` of the sets that match an earlier set."""
     t = rule.similarity
     verify = _Verifier(documents, sets, t)
