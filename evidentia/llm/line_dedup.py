@@ -201,7 +201,8 @@ def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame
     chained = known.withColumn("one", alone).withColumn("two", grown(F.col("one"), 1)).withColumn("three", grown(F.col("two"), 2))
     stays = lambda limit: lambda x: ~x["longer"] | (n >= limit * t - 1e-9)
     every = F.concat(F.filter("one", stays(limits[0])), F.filter("two", stays(limits[1])), F.col("three"))
-    rows = chained.withColumn("every", every).select(*_SET, *_USE, "prefix", F.explode("every").alias("x"))
+    # Outer, for an inner one would first filter by the array's size, and so make all chains twice.
+    rows = chained.withColumn("every", every).select(*_SET, *_USE, "prefix", F.explode_outer("every").alias("x")).filter("x.key is not null")
     before = F.coalesce(F.get("prefix", F.col("x.first") - 1), F.lit(0))
     return rows.select("x.key", "x.room", before.alias("before"), *_USE, *_SET)
 
