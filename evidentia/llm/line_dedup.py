@@ -86,7 +86,8 @@ def _bucket(hashed: Column) -> Column:
 
 def word_ranks(documents: DataFrame) -> DataFrame:
     """One row: ``ranks``, for each hash bucket its place in the order of frequency, rarest first (shifted up),
-    ``counts``, for each place how often a word there is expected to occur, and ``total``, all words.
+    ``grades``, for each place how often a word there is expected to occur (as a power of two), and
+    ``total``, all words.
 
     The buckets are numbered in one task; there are 2 ** BUCKET_BITS of them at any size of input. What a
     bucket has of its own is what it has beyond the words that any bucket has."""
@@ -96,10 +97,10 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     ordered = whole.agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("s"), F.sum("n").alias("total"))
-    beyond = F.greatest(F.col("s.n") - F.col("total") / (1 << BUCKET_BITS), F.lit(1.0)).cast("float")
+    beyond = F.ceil(F.log2(F.greatest(F.col("s.n") - F.col("total") / (1 << BUCKET_BITS), F.lit(1.0)))).cast("tinyint")
     places = ordered.select("total", F.posexplode("s").alias("rank", "s")).select("total", "rank", F.col("s.bucket").alias("bucket"), beyond.alias("own"))
     by = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"])
-    return staged(places.agg(by("bucket", F.shiftleft(F.col("rank").cast("long"), _REST)).alias("ranks"), by("rank", F.col("own")).alias("counts"), F.max("total").alias("total")), "line_word_ranks")
+    return staged(places.agg(by("bucket", F.shiftleft(F.col("rank").cast("long"), _REST)).alias("ranks"), by("rank", F.col("own")).alias("grades"), F.max("total").alias("total")), "line_word_ranks")
 
 
 def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _prefix_length(n: Column, t: float) -> Column:
 
 def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
     """Every line: where it is, n, the two keys of its word set, the parity maps (of all words, and of half of
-    them if there are many), and its rarest words as numbers: those of the prefix and two more."""
+    them if there are many), and of its rarest words, those of the prefix and two more, a hash and the grade."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # The hash is a column before the lines are dealt out, else each line would hash the whole text.
     hashed = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
@@ -144,7 +145,9 @@ def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> Dat
     none = F.lit(0).cast("long")
     parity = F.aggregate("own", none, lambda a, x: a.bitwiseXOR(bit(x)))
     second = F.when(n > SPLIT_PARITY, F.aggregate("own", none, lambda a, x: F.when(half(x), a).otherwise(a.bitwiseXOR(bit(x))))).otherwise(none)
-    return own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("prefix"))
+    keyed = own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("rarest"), ranks.select("grades").scalar().alias("known"))
+    grades = let(F.col("known"), lambda g: F.transform("rarest", lambda x: F.coalesce(F.get(g, F.shiftright(x, _REST).cast("int")), F.lit(0).cast("tinyint"))))
+    return keyed.select("doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", F.transform("rarest", lambda x: F.hash(x)).alias("prefix"), grades.alias("grades"))
 
 
 def _meets(n: Column, rule: LineMatching) -> Column:
@@ -155,7 +158,7 @@ def _meets(n: Column, rule: LineMatching) -> Column:
 def line_sets(keys: DataFrame, rule: LineMatching) -> DataFrame:
     """One row for each word set, with a number, the place of its first line and how many lines it has."""
     at = F.struct("doc_id", "text_hash", "line_no")
-    same = [F.first(c).alias(c) for c in ("n", "parity", "second", "prefix")]
+    same = [F.first(c).alias(c) for c in ("n", "parity", "second", "prefix", "grades")]
     return keys.filter(F.col("n") >= max(rule.least_words, 1)).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n_lines"), *same).withColumn("id", F.monotonically_increasing_id())
 
 
@@ -170,7 +173,7 @@ _USE = ("open", "age")
 
 
 def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame:
-    """A row for each chain of each set (id, n, parity, second, open, age, prefix): the key; ``room``, the most
+    """A row for each chain of each set (id, n, parity, second, open, age, prefix, grades): the key; ``room``, the most
     words that two sets can share if the chain is the first words that they share; and the word
     ``before`` the chain.
 
@@ -178,9 +181,8 @@ def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame
     sets on either side of it that may match have the shorter chain in common."""
     t, n, size, word, count = rule.similarity, F.col("n"), F.size("prefix"), lambda i: F.get("prefix", i), lambda i: F.get("expected", i)
     limits = (rule.pairs_up_to, rule.triples_up_to)
-    lookup = lambda r: F.transform("prefix", lambda w: F.coalesce(F.get(r, F.shiftright(w, _REST).cast("int")), F.lit(1.0)))
-    facts = sets.filter(size > 0).withColumns({"counts": ranks.select("counts").scalar(), "total": ranks.select("total").scalar()})
-    known = facts.withColumn("expected", let(F.col("counts"), lookup)).drop("counts").withColumn("length", F.least(_prefix_length(n, t), size))
+    facts = sets.filter(size > 0).withColumn("total", ranks.select("total").scalar())
+    known = facts.withColumns({"expected": F.transform("grades", lambda g: F.pow(F.lit(2.0), g)), "length": F.least(_prefix_length(n, t), size)})
 
     def link(first: Column, last: Column, key: Column, expected: Column, words: int) -> Column:
         longer = (expected > rule.frequent) & (n <= limits[words - 1]) if words < CHAIN else F.lit(False)
@@ -197,7 +199,7 @@ def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame
         more = lambda x: F.transform(steps(x["last"] + 1, F.least(F.col("length") + words, size)), lambda k: link(x["first"], k, F.xxhash64(x["key"], word(k)), x["expected"] * share(k), words + 1))
         return F.flatten(F.transform(F.filter(chains, lambda x: x["longer"]), more))
 
-    alone = F.transform(steps(F.lit(0), F.col("length")), lambda i: link(i, i, word(i), count(i), 1))
+    alone = F.transform(steps(F.lit(0), F.col("length")), lambda i: link(i, i, word(i).cast("long"), count(i), 1))
     chained = known.withColumn("one", alone).withColumn("two", grown(F.col("one"), 1)).withColumn("three", grown(F.col("two"), 2))
     stays = lambda limit: lambda x: ~x["longer"] | (n >= limit * t - 1e-9)
     every = F.concat(F.filter("one", stays(limits[0])), F.filter("two", stays(limits[1])), F.col("three"))
