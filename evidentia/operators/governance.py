@@ -167,3 +167,9 @@ def linked_split(rows: DataFrame, key: str, groups: list[Column], train: int = 8
     split = F.when(share < F.col("total") * train, "train").when(share < F.col("total") * (train + validation), "validation").otherwise("test")
     found = before.crossJoin(total).select(F.col("component").alias("c"), split.alias("split"))
     return placed.join(found, placed["component"] == found["c"]).drop("c")
+
+
+def coverage(left: DataFrame, right: DataFrame, names: tuple[str, str, str] = ("both", "left", "right")) -> DataFrame:
+    """The distinct rows of two frames of one schema with ``side``: in both, in the left, or in the right one only. Nulls are equal."""
+    said = lambda rows, name: rows.withColumn("side", F.lit(name))
+    return said(left.intersect(right), names[0]).union(said(left.subtract(right), names[1])).union(said(right.subtract(left), names[2]))

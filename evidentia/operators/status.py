@@ -117,6 +117,38 @@ def explained(results: DataFrame) -> DataFrame:
     return results.join(F.broadcast(reason_texts(results.sparkSession)), "reason", "left")
 
 
+def evidence_view(results: DataFrame) -> DataFrame:
+    """The expert's view: case_id, workflow, kind, check, status, reason, score of every kind of evidence (``EVIDENCE``)
+    that a case has, and the recommended action as a row of its own, with the outcome as its status.
+
+    A result stands under each kind that it speaks to, so a passed date is an observation of the zone and
+    a validity check; results of checks that no kind names stay out."""
+    check, why, status = F.col("check"), F.coalesce("reason", F.lit("")), F.col("status")
+    zone, face = check == "mrz_consistency", check == "face_manipulation"
+    document, media = EVIDENCE["document"], EVIDENCE["media"]
+    speaks = {
+        ("document", document[0]): check == "ocr_fields",
+        ("document", document[1]): zone,
+        ("document", document[2]): zone & why.isin("field_mismatch", "not_comparable", "several_zones"),
+        ("document", document[3]): zone & why.isin("expired", "invalid_date"),
+        ("document", document[4]): check == "tampering",
+        ("document", document[5]): check == "face_verification",
+        ("document", document[6]): check == "metadata_provenance",
+        ("media", media[0]): check == "generated_image",
+        ("media", media[1]): face & (status != "unavailable"),
+        ("media", media[2]): face & (why != "no_model"),
+        ("media", media[3]): check == "visual_forensics",
+        ("media", media[4]): F.col("score").isNotNull(),
+        ("media", media[5]): status == "inconclusive",
+        ("media", media[6]): status == "unavailable",
+    }
+    kinds = F.array_compact(F.array(*[F.when((F.col("workflow") == w) & holds, F.lit(kind)) for (w, kind), holds in speaks.items()]))
+    found = results.select("case_id", "workflow", F.explode(kinds).alias("kind"), "check", "status", "reason", "score")
+    none = F.lit(None).cast("string")
+    action = case_outcomes(results).select("case_id", "workflow", F.lit(document[7]).alias("kind"), none.alias("check"), F.col("outcome").alias("status"), F.col("action").alias("reason"), F.lit(None).cast("double").alias("score"))
+    return found.unionByName(action)
+
+
 def explanations(results: DataFrame) -> DataFrame:
     """case_id, workflow and ``text``: for a reviewer, what each check that ran found, and which could not.
 

@@ -563,3 +563,15 @@ SELECT vec_id, concat_ws(chr(10), CASE WHEN NOT face THEN 'Deepfake / face manip
 def media_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reviewer reads of each image, in sentences."""
     return status.explanations(_media_results(spark, sf_dir)).select(F.col("case_id").alias("vec_id"), "text")
+
+
+@query("""WITH s AS (SELECT vec_id, vec_id % 2 = 0 AS face, (vec_id % 256) / 255.0 AS g, 1 - (vec_id % 256) / 255.0 AS m FROM embeddings),
+r AS (SELECT vec_id, face, CASE WHEN g >= 0.8 THEN 's' WHEN g >= 0.4 THEN 'i' ELSE 'c' END AS a, CASE WHEN NOT face THEN 'u' WHEN m >= 0.8 THEN 's' WHEN m >= 0.4 THEN 'i' ELSE 'c' END AS b FROM s)
+SELECT vec_id, 1 AS ai, face::INT AS deepfake, 1 AS faces, 1 + face::INT AS confidences, (a = 'i')::INT + (b = 'i')::INT AS inconclusive, 1 + (NOT face)::INT AS unavailable, CASE WHEN 's' IN (a, b) THEN 'suspicious' WHEN 'i' IN (a, b) THEN 'inconclusive' ELSE 'checks_completed' END AS outcome FROM r""")
+def evidence_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many results each image has under each kind of evidence, and the outcome that its action goes by."""
+    view = status.evidence_view(_media_results(spark, sf_dir))
+    kinds = status.EVIDENCE["media"]
+    count = lambda k, name: F.count_if(F.col("kind") == kinds[k]).cast("int").alias(name)
+    counted = view.groupBy(F.col("case_id").alias("vec_id")).agg(count(0, "ai"), count(1, "deepfake"), count(2, "faces"), count(4, "confidences"), count(5, "inconclusive"), count(6, "unavailable"), F.max(F.when(F.col("kind") == kinds[7], F.col("status"))).alias("outcome"))
+    return counted

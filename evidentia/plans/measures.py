@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import calibration, governance, perceptual, status
+from evidentia.operators import calibration, governance, intervals, perceptual, status
 from evidentia.plans.registry import query, table
 from evidentia.streaming import responses
 
@@ -115,3 +115,23 @@ def response_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     events = stream.selectExpr("event_id", "ts", "user_id as case_id", f"{_KIND} as event", "explode(array(1, 2)) as copy")
     return responses.drained(responses.verdicts(events, 3 * 86_400, "1 hour"), "response_times")
+
+
+_ORDERS = "SELECT o_custkey AS k, o_orderkey AS id, epoch_us(o_orderdate) // 1000000 AS a, epoch_us(o_orderdate) // 1000000 + 3600 * CASE WHEN o_orderkey % 50 = 0 THEN 20000 ELSE o_orderkey % 1500 END AS b FROM orders"
+
+
+@query(f"WITH o AS ({_ORDERS}) SELECT x.k AS o_custkey, count(*) AS n_pairs, sum(least(x.b, y.b) - greatest(x.a, y.a))::BIGINT AS seconds FROM o x JOIN o y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b GROUP BY x.k")
+def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and how long, two orders of one customer are open at once; some are open for years."""
+    key, start = F.col("o_orderkey"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    hours = F.when(key % 50 == 0, 20_000).otherwise(key % 1_500)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", key.alias("id"), start.alias("start"), (start + hours * 3600).alias("stop"))
+    pairs = intervals.overlapping(orders, orders, ["o_custkey"], 86_400 * 7).filter("left_id < right_id")
+    return pairs.groupBy("o_custkey").agg(F.count("*").alias("n_pairs"), F.sum(F.col("stop") - F.col("start")).alias("seconds"))
+
+
+@query("SELECT *, 'both' AS side FROM (SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'customers' FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'suppliers' FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
+def coverage_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nations are in both tables, and which in one alone, as a check that no evaluation slice is missing."""
+    customers, suppliers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return governance.coverage(customers, suppliers, ("both", "customers", "suppliers"))

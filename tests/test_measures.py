@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidentia.operators import calibration, evaluation, governance, ordered, perceptual
+from evidentia.operators import calibration, evaluation, governance, intervals, ordered, perceptual
 from evidentia.operators.components import components
 from evidentia.streaming import responses
 
@@ -164,3 +164,19 @@ def test_requests_as_a_stream(spark, tmp_path):
     found = {r["request_id"]: (r["case_id"], r["waited"], r["status"]) for r in responses.drained(responses.verdicts(stream, 5 * 3600, "1 hour"), "requests").collect()}
     hour = 3_600_000_000
     assert found == {1: (1, 1.5 * hour, "answered"), 3: (1, 1.8 * hour, "answered"), 4: (2, None, "no_response"), 8: (3, hour, "answered"), 12: (4, None, "no_response")}
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_overlaps_equal_all_pairs(spark, width):
+    rng = random.Random(width)
+    spans = [(rng.choice("ab"), k, s := rng.randint(-500, 500), s + rng.choice([0, 1, 3, 40, 900])) for k in range(120)] + [("a", 200, None, 5), ("a", 201, 5, None), (None, 202, 1, 9), ("b", 203, 9, 3), ("a", 204, -10_000, 10_000)]
+    frame = spark.createDataFrame(spans, "g string, id int, start long, stop long")
+    found = sorted(tuple(r) for r in intervals.overlapping(frame, frame, ["g"], width).collect())
+    usable = [x for x in spans if x[0] is not None and x[2] is not None and x[3] is not None and x[2] < x[3]]
+    assert found == sorted((g, i, j, max(a, c), min(b, d)) for g, i, a, b in usable for h, j, c, d in usable if g == h and a < d and c < b)
+    assert intervals.overlapping(frame.limit(0), frame, ["g"], width).count() == 0
+
+
+def test_coverage(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int"), spark.createDataFrame([(2,), (3,), (None,)], "x int")
+    assert {tuple(r) for r in governance.coverage(a, b).collect()} == {(1, "left"), (2, "both"), (None, "both"), (3, "right")}

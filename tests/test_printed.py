@@ -100,3 +100,17 @@ def test_several_zones_and_pages(spark):
 def test_date_readings(spark, text, dates):
     row = spark.range(1).select(printed.date_readings(F.lit(text).cast("string")).alias("d")).first()
     assert [str(d) for d in row["d"] or []] == dates
+
+
+def test_views_of_results(spark):
+    rows = [(1, "document", "mrz_consistency", "suspicious", "expired", None), (1, "document", "ocr_fields", "completed", None, None), (1, "document", "official_status", "unavailable", "no_connection", None), (2, "media", "face_manipulation", "unavailable", "no_face", None), (2, "media", "generated_image", "inconclusive", "score_band", 0.5), (3, "media", "generated_image", "completed", None, 0.1)]
+    frame = spark.createDataFrame(rows, "case_id int, workflow string, check string, status string, reason string, score double")
+    kinds = {}
+    for r in status.evidence_view(frame).collect():
+        kinds.setdefault(r["case_id"], set()).add((r["kind"], r["status"]))
+    assert kinds[1] == {("MRZ observations", "suspicious"), ("Date / validity checks", "suspicious"), ("Extracted fields", "completed"), ("Recommended review action", "suspicious")}
+    assert kinds[2] == {("Detected-face status", "unavailable"), ("Unavailable checks", "unavailable"), ("AI-image observations", "inconclusive"), ("Supported confidence", "inconclusive"), ("Inconclusive reasons", "inconclusive"), ("Recommended review action", "inconclusive")}
+    assert {k for kind in kinds.values() for k, _ in kind} <= {k for own in status.EVIDENCE.values() for k in own}
+    told = {r["case_id"]: r["text"] for r in status.explanations(frame).collect()}
+    assert told[1] == "MRZ & consistency: suspicious. The document has expired.\nofficial_status: unavailable. There is no authorised connection to the issuer's records."
+    assert told[3] == "All checks were completed."
