@@ -146,7 +146,7 @@ def test_ring_moves_little_and_overflows_clockwise(spark):
         return np.array(out), arcs, nodes
 
     (eight, arcs, nodes), (nine, _, _) = placed(8), placed(9)
-    assert (eight != nine).mean() < 0.4  # a plain modulus moves eight ninths
+    assert (eight != nine).mean() < 0.2  # a plain modulus moves eight ninths
     home = np.array([s for _, s in nodes])[arcs]
     assert (eight == home).mean() > 0.8
     positions = [p for p, _ in nodes]
