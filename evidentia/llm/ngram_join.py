@@ -18,8 +18,8 @@ again, exactly, and every class's links are counted.
 Defined results: a null text is an empty one; texts of one to four words have one shingle, all
 their words; texts without words are equal to each other if the text is, and have no links; equal
 rows are copies of one class. A class is named by its least id; null ids come first. A text of any
-length gives all its shingles, and one longer than a block has a block to itself; an empty table has
-no rows; columns other than doc_id and text give way, but for ``one_of_each_group``, which passes all on.
+length gives all its shingles; an empty table has no rows; columns other than doc_id and text give
+way, but for ``one_of_each_group``, which passes all on.
 """
 
 from __future__ import annotations
