@@ -575,3 +575,18 @@ def evidence_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k, name: F.count_if(F.col("kind") == kinds[k]).cast("int").alias(name)
     counted = view.groupBy(F.col("case_id").alias("vec_id")).agg(count(0, "ai"), count(1, "deepfake"), count(2, "faces"), count(4, "confidences"), count(5, "inconclusive"), count(6, "unavailable"), F.max(F.when(F.col("kind") == kinds[7], F.col("status"))).alias("outcome"))
     return counted
+
+
+def _without_digits(content: bytes) -> str | None:
+    """Stands for an OCR engine: it reads bytes of text, but no digits, and nothing of short ones."""
+    text = "".join(c for c in content.decode() if not "0" <= c <= "9")
+    return text if len(text) > 300 else None
+
+
+@query("WITH t AS (SELECT doc_id, n_chars, regexp_replace(text, '[0-9]', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 300 THEN md5(t) END AS text_md5, CASE WHEN length(t) <= 300 THEN 'unavailable' WHEN n_chars < 800 THEN 'inconclusive' ELSE 'completed' END AS status FROM t")
+def engine_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts from a pluggable engine: unavailable where it read none, inconclusive where the capture was poor."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.encode("text", "UTF-8").alias("content"), F.when(F.col("n_chars") < 800, "inconclusive").otherwise("completed").alias("quality"))
+    read = evidence.with_text(docs, _without_digits).drop("content")
+    found = document_checks.ocr_results(read.withColumn("case_id", F.struct("case_id", F.md5("text").alias("text_md5"))), "text", "quality")
+    return found.select(F.col("case_id.case_id").alias("doc_id"), "case_id.text_md5", "status")
