@@ -101,8 +101,8 @@ def test_toxicity(documents, labels):
     assert {found[600 + i]["predicted"] for i in range(len(ODD))} == {0} and len(found) == 600 + len(ODD)
     # Labels of held-out rows make no difference.
     turned = [(i, q, 1 - t if i in held else t) for i, q, t in marks]
-    again = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(documents(texts), labels(turned)).collect()}
-    assert all(again[i] == found[i]["score"] for i in range(600))
+    again = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(documents(texts + ODD), labels(turned)).collect()}
+    assert all(again[i] == found[i]["score"] for i in range(600 + len(ODD)))
     assert toxicity.toxicity_scores(documents(ODD), labels(marks).limit(0)).filter("predicted = 1").isEmpty()
 
 
