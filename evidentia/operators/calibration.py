@@ -100,8 +100,8 @@ def calibrated(rows: DataFrame, blocks: DataFrame, score: str, by: list[str]) ->
     found = last_known(ranged(known.unionByName(asked), by, order), by, order, "rate", "calibrated").filter("later = 1")
     first = blocks.groupBy(*by).agg(F.min("calibrated").alias("least"))
     match = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    found = found.alias("f").join(first.alias("g"), match("f", "g", by), "left") if by else found.alias("f").crossJoin(F.broadcast(first).alias("g"))
-    found = found.select(*[f"f.{b}" for b in by], f"f.{score}", F.coalesce("f.calibrated", "g.least").alias("calibrated"))
+    found = found.alias("f").join(first.alias("g"), match("f", "g", by), "left") if by else found.withColumn("least", first.scalar()).alias("f")
+    found = found.select(*[f"f.{b}" for b in by], f"f.{score}", F.coalesce("f.calibrated", "least").alias("calibrated"))
     return rows.alias("r").join(found.alias("f"), match("r", "f", [*by, score]), "left").select("r.*", "f.calibrated")
 
 

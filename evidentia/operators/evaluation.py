@@ -38,14 +38,14 @@ def exact_quantiles(rows: DataFrame, value: str, by: list[str], shares: dict[str
     ranked = running_total(ranged(counted, by, ["value"]), by, ["value"], "copies", "before")
     sizes = staged(rows.groupBy(*by).agg(F.count(value).alias("n")), "quantile_groups")
     same = [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
-    both = ranked.alias("r").join(sizes.alias("s"), same) if by else ranked.alias("r").crossJoin(F.broadcast(sizes).alias("s"))
+    both = ranked.alias("r").join(sizes.alias("s"), same) if by else ranked.withColumn("n", sizes.scalar())
     picks = {}
     for name, share in shares.items():
         place = (F.col("n") - 1) * F.lit(float(share))
         for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
             picks[f"{name}_{end}"] = F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("copies")), F.col("value"))).alias(f"{name}_{end}")
     found = both.groupBy(*[F.col(f"s.{b}").alias(b) for b in by]).agg(*picks.values()).alias("f")
-    whole = sizes.alias("s").join(found, [F.col(f"s.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by], "left") if by else sizes.alias("s").crossJoin(found)
+    whole = sizes.alias("s").join(found, [F.col(f"s.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by], "left") if by else found.withColumn("n", sizes.scalar())
     rest = lambda share: F.pmod((F.col("n") - 1) * F.lit(float(share)), F.lit(1.0))
     at = {name: (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * rest(share)).alias(name) for name, share in shares.items()}
     return whole.select(*[f"s.{b}" for b in by], "n", *at.values())

@@ -161,11 +161,11 @@ def linked_split(rows: DataFrame, key: str, groups: list[Column], train: int = 8
 
     sizes = placed.groupBy("component").agg(F.count("*").alias("size")).withColumn("order", F.md5("component"))
     order = ["order", "component"]
-    before = running_total(ranged(sizes, [], order), [], order, "size", "before")
-    total = F.broadcast(sizes.agg(F.sum("size").alias("total")))
+    cells = ranged(sizes, [], order)
+    before = running_total(cells, [], order, "size", "before").withColumn("total", cells.agg(F.sum("size").alias("total")).scalar())
     share = F.col("before") * 100
     split = F.when(share < F.col("total") * train, "train").when(share < F.col("total") * (train + validation), "validation").otherwise("test")
-    found = before.crossJoin(total).select(F.col("component").alias("c"), split.alias("split"))
+    found = before.select(F.col("component").alias("c"), split.alias("split"))
     return placed.join(found, placed["component"] == found["c"]).drop("c")
 
 
