@@ -184,13 +184,14 @@ def coefficient_periods(coefficients: DataFrame, periods: tuple[float, ...] = (2
     is a strong Fourier coefficient of it; one quantiser leaves it smooth. The distance is the ratio of their
     steps, which need not be whole. Zeros, which any picture has
     most of, do not count. The Fourier sums are added up as the rows are counted, so no histogram is
-    gathered; the strength lies between 0 and 1, null where a frequency has zeros only."""
+    gathered; the strength lies between 0 and 1, null where a frequency has zeros only. Strengths alike to
+    nine digits are a tie, which the shortest period wins: the last bits depend on the order of the sums."""
     q, turn = F.col("q"), 2 * math.pi
     sums = [g for k, p in enumerate(periods) for g in (F.sum(F.cos(q * (turn / p))).alias(f"c{k}"), F.sum(F.sin(q * (turn / p))).alias(f"s{k}"))]
     summed = coefficients.filter("q <> 0").groupBy("img_id", "u", "v").agg(F.count("*").alias("n"), *sums)
-    strengths = F.array(*[F.struct((F.sqrt(F.col(f"c{k}") ** 2 + F.col(f"s{k}") ** 2) / F.col("n")).alias("strength"), F.lit(-p).alias("order")) for k, p in enumerate(periods)])
-    best = F.array_max(strengths)
-    return summed.select("img_id", "u", "v", "n", (-best["order"]).alias("period"), best["strength"].alias("strength"))
+    strengths = [F.sqrt(F.col(f"c{k}") ** 2 + F.col(f"s{k}") ** 2) / F.col("n") for k in range(len(periods))]
+    best = F.array_max(F.array(*[F.struct(F.round(s, 9).alias("strength"), F.lit(-p).alias("order")) for s, p in zip(strengths, periods)]))
+    return summed.select("img_id", "u", "v", "n", (-best["order"]).alias("period"), F.array_max(F.array(*strengths)).alias("strength"))
 
 
 def quantised_coefficients(tiles: DataFrame, steps: dict[tuple[int, int], float]) -> DataFrame:

@@ -164,3 +164,10 @@ def test_random_offsets_agree_with_their_pairs():
     expected = np.unique((y[j] - y[i]) * 120 + x[j] - x[i], return_counts=True)
     order = np.argsort(keys)
     assert (keys[order] == expected[0]).all() and (votes[order] == expected[1]).all()
+
+
+def test_periods_of_one_strength_give_the_shortest(spark):
+    """A single coefficient is as strong at any period, but for the last bits."""
+    rows = [(q, 0, 1, q) for q in range(1, 60)]
+    found = forensics.coefficient_periods(spark.createDataFrame(rows, "img_id int, u int, v int, q long")).collect()
+    assert len(found) == 59 and {r["period"] for r in found} == {2} and {round(r["strength"], 12) for r in found} == {1.0}
