@@ -161,7 +161,7 @@ def face_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     portraits = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("portrait"))
     pairs = vectors.withColumnRenamed("embedding", "capture").join(portraits, "label")
-    return models.face_comparison(pairs, 0.0, 0.3).select("vec_id", F.round("similarity", 6).alias("similarity"), "status")
+    return models.face_comparison(pairs, 0.0, 0.3, digits=6).select("vec_id", "similarity", "status")
 
 
 _T = "embedding::DOUBLE[]"

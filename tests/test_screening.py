@@ -3,6 +3,7 @@
 import datetime
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import client_rules as client
 from evidentia.functions.mrz import WEIGHTS, check_digit, digits_ok, mrz_checks, mrz_date, parse_mrz
 from evidentia.operators import document_checks, evaluation, forensics, governance, models, status
+from evidentia.plans import catalogue
 from evidentia.plans.screening import detect_media, screen_documents
 from evidentia.sources import evidence
 
@@ -235,3 +237,14 @@ def test_every_body_has_its_entries(spark):
     assert sorted(by[0]) == [("a_b", "a b", '{\n  "c": [\n    1\n  ]\n}'), ("d", "d", "null"), ("e", "e", "x")]
     assert by[1] == [("error", "error", client.NOT_JSON)] and sorted(by[2]) == [("0", "0", "true"), ("1", "1", "y")]
     assert set(by) <= {0, 1, 2, 6}
+
+
+def test_similarities_are_judged_as_they_are_shown(spark, tmp_path):
+    """On the thresholds, to six digits: the query and its SQL."""
+    shown = [1.0, 0.2999998, 0.3000002, 0.2999994, -0.0000002, 0.0000002, -0.0000008, 0.0]
+    rows = [(k, [x, (1 - x * x) ** 0.5], 1) for k, x in enumerate(shown)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(tuple(r) for r in catalogue.QUERIES["face_comparison"](spark, str(tmp_path)).collect())
+    sql = catalogue.ORACLE_SQL["face_comparison"].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'")
+    assert list(map(repr, found)) == list(map(repr, sorted(duckdb.sql(sql).fetchall())))
+    assert [r[2] for r in found] == ["completed"] * 3 + ["inconclusive"] * 3 + ["suspicious", "inconclusive"]
