@@ -6,11 +6,13 @@ at the text as a whole: shouting, and words repeated without end. A voter
 votes where it occurs and abstains elsewhere. The label model is generative: given the unknown
 class, each voter fires at a rate of its own. EM estimates those rates over the labelled sample and a
 bounded sample of documents without labels, silent ones too; a label is one more witness there, of an accuracy that
-is estimated like the voters', and tells which class is the toxic one. A label that no voter bears
+is estimated like the voters', and tells which class is the toxic one. The sample has the classes in other
+proportions than the labels; weights put that right in every sum. A label that no voter bears
 out is overruled. Voters repeat each other (a word and its beginning always fire together): their correlations within the classes are
 parameters too, estimated in each round, and the votes are weighted by the inverse of the
-correlation matrix, so that echoes share one vote. The posterior labels, made from the votes and not
-from the given labels, then train a logistic classifier on the voters, which scores every document.
+correlation matrix, so that echoes share one vote. The posterior labels, made from the votes and, as one
+witness of its estimated accuracy, the given label, then train a logistic classifier on the voters, which
+scores every document. So what only some labels know, of texts in which few voters fire, still ranks.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from, with or without labels, and
 labels, language, source and id never enter a score. The samples are at most ``per_class`` documents
@@ -173,22 +175,23 @@ def posteriors(votes: np.ndarray, rates: tuple[np.ndarray, np.ndarray], share: n
     """The probability of the toxic class for each row: rates of firing in clean and toxic texts, weights of the voters.
 
     A vote adds what firing says over silence. What silence of all says is not multiplied up from
-    hundreds of rare voters but set so that the mean over the ``typical`` rows is ``prior``."""
+    hundreds of rare voters but set so that the mean over the ``typical`` rows (a mask, or weights) is ``prior``."""
     fires, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
     evidence = votes @ (share * (fires - silent))
-    of = lambda base, e=evidence: 1 / (1 + np.exp(-np.clip(base + e, -30, 30)))
+    of = lambda base: 1 / (1 + np.exp(-np.clip(base + evidence, -30, 30)))
     low, high = -60.0, 60.0
     for _ in range(50):
         middle = (low + high) / 2
-        low, high = (middle, high) if of(middle, evidence[typical]).mean() < prior else (low, middle)
+        low, high = (middle, high) if np.average(of(middle), weights=typical) < prior else (low, middle)
     return np.clip(of(low), 1e-12, 1 - 1e-12)
 
 
-def echo_weights(votes: np.ndarray, posterior: np.ndarray, rates: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def echo_weights(votes: np.ndarray, posterior: np.ndarray, rates: tuple[np.ndarray, np.ndarray], weight: np.ndarray | None = None) -> np.ndarray:
     """The inverse of the voters' correlations within the classes, summed for each voter: 1 for one that
     none repeats, 1/k for each of k that always fire together. Correlations below ECHO do not count:
     posteriors that are not sure leave some between any two voters of a class."""
     left = votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])
+    left *= np.sqrt(np.ones(len(votes)) if weight is None else weight / weight.mean())[:, None]
     spread = np.sqrt((left**2).mean(0)) + 1e-9
     correlation = np.clip((left.T @ left) / len(votes) / np.outer(spread, spread), 0, 1)
     correlation[correlation < ECHO] = 0
@@ -196,27 +199,37 @@ def echo_weights(votes: np.ndarray, posterior: np.ndarray, rates: tuple[np.ndarr
     return np.clip(np.linalg.solve(correlation + 0.05 * np.eye(len(correlation)), np.full(len(correlation), 1.05)), 0, 1)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, accuracy: float, rounds: int = 30) -> np.ndarray:
+def heard_labels(posterior: np.ndarray, given: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The votes' posterior once the label, where there is one, is heard as a witness; its accuracy in each class
+    is estimated from ``given``, the probability of the toxic class for each row."""
+    known, said = (labels != UNLABELLED) * weight, labels == 1
+    right = [np.clip(((p * said * known).sum() + 0.5) / ((p * known).sum() + 1), 0.01, 0.99) for p in (1 - given, given)]
+    witness = np.where(said, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))) * (labels != UNLABELLED)
+    return 1 / (1 + np.exp(-np.clip(np.log(posterior / (1 - posterior)) + witness, -30, 30)))
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, accuracy: float, rounds: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
     """The posterior probability of the toxic class for each row, from its votes alone.
 
     Rates and correlations come from EM over all rows. Where there is a label (UNLABELLED for none) it
     stands beside the votes while rates are estimated, as one more witness whose own accuracy in each
     class is estimated too; that keeps the classes what the labels mean. It has no part in what is
-    returned, so a label that the votes do not bear out is overruled."""
+    returned, so a label that the votes do not bear out is overruled. ``prior`` is the share of toxic
+    documents; ``weight`` must give the labelled rows that share where they were drawn by class, else toxic
+    rows in excess of it would be taken for clean."""
     known, said = labels != UNLABELLED, labels == 1
+    weight = np.ones(len(votes)) if weight is None else weight
     v = votes.astype(float)
     posterior, heard = None, np.where(said, accuracy, 1 - accuracy)
-    counts = known.astype(float)
+    counts = known * weight
     for _ in range(rounds):
         rates = tuple(((p * counts) @ v + 0.1) / ((p * counts).sum() + 1) for p in (1 - heard, heard))
-        new = posteriors(v, rates, echo_weights(v, heard, rates), prior, known if known.any() else ~known)
+        new = posteriors(v, rates, echo_weights(v, heard, rates, weight), prior, weight * (known if known.any() else ~known))
         done = posterior is not None and np.abs(new - posterior).max() < 1e-6
-        posterior, counts = new, np.ones(len(v))
+        posterior, counts = new, weight
         if done or not known.any():
             break
-        right = [np.clip(((p * said)[known].sum() + 0.5) / (p[known].sum() + 1), 0.01, 0.99) for p in (1 - heard, heard)]
-        witness = np.where(said, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))) * known
-        heard = 1 / (1 + np.exp(-np.clip(np.log(new / (1 - new)) + witness, -30, 30)))
+        heard = heard_labels(new, heard, labels, weight)
     return posterior
 
 
@@ -265,8 +278,8 @@ def fit(documents: DataFrame, labels: DataFrame, model: ToxicityModel) -> Fitted
     # The labelled sample has the classes in other proportions than the labels; weights put that right.
     ratio = (y == 1).sum() / known.sum()
     weight = np.where(y == 1, share / ratio, np.where(y == 0, (1 - share) / (1 - ratio), 1.0))
-    posterior = label_model(votes, y, float(share), model.label_accuracy)
-    w = train_linear(votes.astype(float), posterior, weight, model.ridge)
+    posterior = label_model(votes, y, float(share), model.label_accuracy, weight=weight)
+    w = train_linear(votes.astype(float), heard_labels(posterior, posterior, y, weight), weight, model.ridge)
     return Fitted(names, w[:-1].tolist(), float(w[-1]))
 
 

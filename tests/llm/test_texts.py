@@ -106,6 +106,19 @@ def test_toxicity(documents, labels):
     assert toxicity.toxicity_scores(documents(ODD), labels(marks).limit(0)).filter("predicted = 1").isEmpty()
 
 
+def test_toxicity_of_a_sample_with_more_toxic_texts_than_the_labels(documents, labels):
+    """60 of each class are learnt from, where one label in six is toxic; each kind of toxic text has words of its own."""
+    rng = random.Random(8)
+    plain = lambda: " ".join("".join(rng.choices("bcdfgaeiou", k=5)) for _ in range(40))
+    kinds = ("grumfle", "zaggert", "prindle", "skwossh")
+    texts = [plain() + "".join(" " + rng.choice(kinds[:2] if i % 4 else kinds[2:]) + rng.choice(["", "r", "s"]) for _ in range(3)) if i % 6 == 0 else plain() for i in range(900)]
+    marks = [(i, 1, int(i % 6 == 0)) for i in range(900)]
+    found = toxicity.toxicity_scores(documents(texts), labels(marks), toxicity.ToxicityModel(per_class=60)).collect()
+    held = {r["doc_id"]: r for r in found if r["held_out"]}
+    assert min(r["score"] for i, r in held.items() if i % 6 == 0) > max(r["score"] for i, r in held.items() if i % 6)
+    assert np.mean([r["predicted"] == (i % 6 == 0) for i, r in held.items()]) > 0.95
+
+
 def test_label_model_discounts_echoes():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.3
