@@ -93,7 +93,8 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     bucket has of its own is what it has beyond the words that any bucket has."""
     spark = documents.sparkSession
     flat = F.replace(_spaced(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
-    counts = documents.select(F.explode(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    # Outer here and below, for an inner one would first filter by the array's size, and so split all texts twice.
+    counts = documents.select(F.explode_outer(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     ordered = whole.agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("s"), F.sum("n").alias("total"))
@@ -136,7 +137,7 @@ def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     # The hash is a column before the lines are dealt out, else each line would hash the whole text.
     hashed = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
-    own = word_sets(hashed.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")), ranks)
+    own = word_sets(hashed.select("doc_id", "text_hash", F.posexplode_outer("lines").alias("line_no", "line")), ranks)
     n = F.col("n")
     length = _prefix_length(n, rule.similarity)
     prefix = F.slice("own", F.lit(1), F.when(_meets(n, rule), length + (CHAIN - 1)).otherwise(0))
@@ -260,7 +261,7 @@ def _words_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     met = some.join(spots, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("its_hash")))
     split = met.select("doc_id", "hash", "spots", F.split("text", "\n").alias("lines"))
     picked = F.transform("spots", lambda x: F.struct(x["id"].alias("id"), x["line_no"].alias("line_no"), F.get("lines", x["line_no"]).alias("line")))
-    rows = split.select("doc_id", "hash", picked.alias("picked")).select("doc_id", "hash", F.explode("picked").alias("s"))
+    rows = split.select("doc_id", "hash", picked.alias("picked")).select("doc_id", "hash", F.explode_outer("picked").alias("s"))
     place = F.struct("doc_id", F.col("hash").alias("text_hash"), F.col("s.line_no").alias("line_no"))
     return word_hashes(rows.select(F.col("s.id").alias("id"), place.alias("first"), F.col("s.line").alias("line")))
 

@@ -9,7 +9,7 @@ import xxhash
 import corpus_pipeline
 from evidentia.llm import decontamination as decon
 from evidentia.llm import queries, toxicity
-from evidentia.llm.line_dedup import LineMatching, line_dedup
+from evidentia.llm.line_dedup import LineMatching, line_dedup, line_keys, word_ranks
 from evidentia.llm.ngram_join import one_of_each_group
 from evidentia.llm.sharding import Ring, shard_rows
 from tests.llm.conftest import ODD
@@ -154,3 +154,11 @@ def test_short_items_have_a_budget_and_parts():
     assert held("what a shart phrase it is") == [1] and held("what a shart phrese it is") == [] and held("a brief one") == [3] and held("briefly") == []
     assert held("so " + " ".join(words[:14]) + " and no more") == [2] and held("so " + " ".join(words[5:]) + " stands here") == [2]
     assert held("so " + " ".join(words[:6]) + " and no more") == [] and held(line) == [2]
+
+
+def test_texts_are_split_once(documents):
+    """An inner explode filters by the size of its array first, which makes the array twice."""
+    ranks = word_ranks(documents(ODD))
+    keys = line_keys(documents(ODD), ranks, LineMatching())
+    assert "Filter" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    assert keys.count() == sum((x or "").count("\n") + 1 for x in ODD)
