@@ -80,8 +80,8 @@ def _spaced(text: Column) -> Column:
     return F.when(odd, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
 
 
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
 
 
 def word_ranks(documents: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     flat = F.replace(_spaced(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
     # Outer here and below, for an inner one would first filter by the array's size, and so split all texts twice.
-    counts = documents.select(F.explode_outer(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = documents.select(F.explode_outer(F.split(flat, " ")).alias("w")).groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
     every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     whole = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     ordered = whole.agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("s"), F.sum("n").alias("total"))
@@ -108,15 +108,16 @@ def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     """The lines with ``n`` and ``own`` in the place of their text: the distinct words as numbers,
     rarest first, and how many they are.
 
-    A number is the rank of the word's bucket, then 45 other bits of its hash. Numbers are never
+    A number is the rank of the word's bucket, then 45 bits of another hash. Numbers are never
     null, so they are sorted as plain integers."""
     keep = [c for c in lines.columns if c != "line"]
-    split = lines.select(*keep, F.split(_spaced(F.col("line")), " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"))
-    hashes = F.array_remove(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rank = lambda h, r: F.coalesce(F.get(r, _bucket(h)), F.lit(0).cast("long"))
-    number = lambda h, r: rank(h, r).bitwiseXOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
-    numbers = let(F.col("ranks"), lambda r: F.transform(hashes, lambda h: number(h, r)))
-    return split.select(*keep, F.sort_array(numbers).alias("own")).select(*keep, F.size("own").alias("n"), "own")
+    rank = lambda w, r: F.coalesce(F.get(r, _bucket(w)), F.lit(0).cast("long"))
+    number = lambda w, r: rank(w, r).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(w), BUCKET_BITS + 1))
+    numbers = let(F.col("ranks"), lambda r: F.transform("w", lambda w: number(w, r)))
+    none = ranks.select(number(F.lit(""), F.col("ranks"))).scalar()
+    split = lines.select(*keep, F.split(_spaced(F.col("line")), " ").alias("w"), ranks.select("ranks").scalar().alias("ranks"), none.alias("none"))
+    # What is inside a function with a lambda is interpreted; equal words and empty ones go outside of it, in compiled code.
+    return split.select(*keep, F.sort_array(F.array_distinct(F.array_remove(numbers, F.col("none")))).alias("own")).select(*keep, F.size("own").alias("n"), "own")
 
 
 def word_hashes(lines: DataFrame) -> DataFrame:
@@ -146,9 +147,10 @@ def line_keys(documents: DataFrame, ranks: DataFrame, rule: LineMatching) -> Dat
     none = F.lit(0).cast("long")
     parity = F.aggregate("own", none, lambda a, x: a.bitwiseXOR(bit(x)))
     second = F.when(n > SPLIT_PARITY, F.aggregate("own", none, lambda a, x: F.when(half(x), a).otherwise(a.bitwiseXOR(bit(x))))).otherwise(none)
-    keyed = own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), prefix.alias("rarest"), ranks.select("grades").scalar().alias("known"))
+    keyed = own.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2"), parity.alias("parity"), second.alias("second"), F.transform(prefix, lambda x: F.hash(x)).alias("prefix"), prefix.alias("rarest"), ranks.select("grades").scalar().alias("known"))
+    # Each column is used once, so both projections become one; else each row between them would hold a copy of all known grades.
     grades = let(F.col("known"), lambda g: F.transform("rarest", lambda x: F.coalesce(F.get(g, F.shiftright(x, _REST).cast("int")), F.lit(0).cast("tinyint"))))
-    return keyed.select("doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", F.transform("rarest", lambda x: F.hash(x)).alias("prefix"), grades.alias("grades"))
+    return keyed.select("doc_id", "text_hash", "line_no", "n", "k1", "k2", "parity", "second", "prefix", grades.alias("grades"))
 
 
 def _meets(n: Column, rule: LineMatching) -> Column:
@@ -159,8 +161,10 @@ def _meets(n: Column, rule: LineMatching) -> Column:
 def line_sets(keys: DataFrame, rule: LineMatching) -> DataFrame:
     """One row for each word set, with a number, the place of its first line and how many lines it has."""
     at = F.struct("doc_id", "text_hash", "line_no")
-    same = [F.first(c).alias(c) for c in ("n", "parity", "second", "prefix", "grades")]
-    return keys.filter(F.col("n") >= max(rule.least_words, 1)).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n_lines"), *same).withColumn("id", F.monotonically_increasing_id())
+    # What lines of one set have in common comes after the place, so it has no part in the order.
+    same = ("n", "parity", "second", "prefix", "grades")
+    found = keys.filter(F.col("n") >= max(rule.least_words, 1)).groupBy("k1", "k2").agg(F.min(F.struct(at.alias("first"), *same)).alias("s"), F.count("*").alias("n_lines"))
+    return found.select("k1", "k2", "s.first", "n_lines", *[f"s.{c}" for c in same]).withColumn("id", F.monotonically_increasing_id())
 
 
 def overlap_needed(a: Column, b: Column, t: float) -> Column:
@@ -180,34 +184,28 @@ def key_rows(sets: DataFrame, ranks: DataFrame, rule: LineMatching) -> DataFrame
 
     Whether a chain takes another word depends on its words alone, and by size on the side of a limit:
     sets on either side of it that may match have the shorter chain in common."""
-    t, n, size, word, count = rule.similarity, F.col("n"), F.size("prefix"), lambda i: F.get("prefix", i), lambda i: F.get("expected", i)
+    t, n, size, last = rule.similarity, F.col("n"), F.size("prefix"), F.col("last")
     limits = (rule.pairs_up_to, rule.triples_up_to)
+    counted = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.get("grades", i).cast("int")).cast("double")
     facts = sets.filter(size > 0).withColumn("total", ranks.select("total").scalar())
-    known = facts.withColumns({"expected": F.transform("grades", lambda g: F.pow(F.lit(2.0), g)), "length": F.least(_prefix_length(n, t), size)})
-
-    def link(first: Column, last: Column, key: Column, expected: Column, words: int) -> Column:
-        longer = (expected > rule.frequent) & (n <= limits[words - 1]) if words < CHAIN else F.lit(False)
-        room = n - last + (words - 1)
-        return F.struct(first.alias("first"), last.alias("last"), key.alias("key"), expected.cast("double").alias("expected"), room.alias("room"), longer.alias("longer"))
-
-    def steps(start: Column, stop: Column) -> Column:
-        """The places from start up to, not with, stop; none if there are none."""
-        return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
-
-    def grown(chains: Column, words: int) -> Column:
-        """The chains of ``words`` words and one more. A line holds about ten words."""
-        share = lambda k: F.least(F.lit(1.0), count(k) * 10 / F.greatest("total", F.lit(1)))
-        more = lambda x: F.transform(steps(x["last"] + 1, F.least(F.col("length") + words, size)), lambda k: link(x["first"], k, F.xxhash64(x["key"], word(k)), x["expected"] * share(k), words + 1))
-        return F.flatten(F.transform(F.filter(chains, lambda x: x["longer"]), more))
-
-    alone = F.transform(steps(F.lit(0), F.col("length")), lambda i: link(i, i, word(i).cast("long"), count(i), 1))
-    chained = known.withColumn("one", alone).withColumn("two", grown(F.col("one"), 1)).withColumn("three", grown(F.col("two"), 2))
-    stays = lambda limit: lambda x: ~x["longer"] | (n >= limit * t - 1e-9)
-    every = F.concat(F.filter("one", stays(limits[0])), F.filter("two", stays(limits[1])), F.col("three"))
-    # Outer, for an inner one would first filter by the array's size, and so make all chains twice.
-    rows = chained.withColumn("every", every).select(*_SET, *_USE, "prefix", F.explode_outer("every").alias("x")).filter("x.key is not null")
-    before = F.coalesce(F.get("prefix", F.col("x.first") - 1), F.lit(0))
-    return rows.select("x.key", "x.room", before.alias("before"), *_USE, *_SET)
+    rows = facts.withColumn("length", F.least(_prefix_length(n, t), size))
+    rows = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("length") - 1)).alias("last")).withColumn("first", last)
+    rows = rows.withColumns({"key": F.get("prefix", last).cast("long"), "expected": counted(last), "words": F.lit(1)})
+    for words in range(1, CHAIN):
+        longer = (F.col("words") == words) & (F.col("expected") > rule.frequent) & (n <= limits[words - 1])
+        stays = ~longer | (n >= limits[words - 1] * t - 1e-9)
+        # The place of the chain's next word; -1 for the chain as it is.
+        start, stop = last + 1, F.least(F.col("length") + words, size)
+        more = F.when(longer & (start < stop), F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
+        itself = F.when(stays, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        rows = rows.select("*", F.explode_outer(F.concat(itself, more)).alias("next")).filter("next is not null")
+        # A line holds about ten words.
+        share = F.least(F.lit(1.0), counted(F.col("next")) * 10 / F.greatest("total", F.lit(1)))
+        grown = F.col("next") >= 0
+        step = {"key": F.xxhash64("key", F.get("prefix", F.col("next"))), "expected": F.col("expected") * share, "last": F.col("next"), "words": F.lit(words + 1)}
+        rows = rows.withColumns({name: F.when(grown, value).otherwise(F.col(name)) for name, value in step.items()}).drop("next")
+    before = F.coalesce(F.get("prefix", F.col("first") - 1), F.lit(0))
+    return rows.select("key", (n - last + (F.col("words") - 1)).alias("room"), before.alias("before"), *_USE, *_SET)
 
 
 def _may_match(t: float) -> tuple[Column, Column]:
@@ -244,7 +242,7 @@ def candidates(rows: DataFrame, t: float) -> DataFrame:
     older, either = F.col("a.age") < F.col("b.age"), F.col("a.open") | F.col("b.open")
     useful = F.when(older, F.col("b.open")).when(F.col("a.age") > F.col("b.age"), F.col("a.open")).otherwise(either)
     fresh = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == 0)
-    met = rows.alias("a").join(rows.alias("b"), may & (F.col("a.id") > F.col("b.id")) & either & fresh & useful)
+    met = rows.alias("a").join(rows.alias("b"), (F.col("a.id") > F.col("b.id")) & either & fresh & useful & may)
     return met.select(F.col("a.id").alias("one"), F.col("b.id").alias("other"), apart.alias("apart")).distinct()
 
 

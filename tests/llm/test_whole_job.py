@@ -5,13 +5,15 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidentia.llm import decontamination as decon
 from evidentia.llm import queries, toxicity
-from evidentia.llm.line_dedup import LineMatching, line_dedup, line_keys, word_ranks
+from evidentia.llm.line_dedup import LineMatching, key_rows, line_dedup, line_keys, line_sets, word_ranks
 from evidentia.llm.ngram_join import one_of_each_group
 from evidentia.llm.sharding import Ring, shard_rows
+from evidentia.plans.staging import staged
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import VOCABULARY, brute_lines, some_lines
 
@@ -162,3 +164,21 @@ def test_texts_are_split_once(documents):
     keys = line_keys(documents(ODD), ranks, LineMatching())
     assert "Filter" not in keys._jdf.queryExecution().optimizedPlan().toString()
     assert keys.count() == sum((x or "").count("\n") + 1 for x in ODD)
+
+
+def test_keys_are_made_in_compiled_code(documents):
+    """Chains by lambdas are interpreted, and an array of all grades between two projections is copied for each line."""
+    rule, docs = LineMatching(frequent=0.0), documents([*some_lines(2), *ODD])
+    ranks = word_ranks(docs)
+    keys = line_keys(docs, ranks, rule)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS known" not in plan(keys)
+    sets = line_sets(keys, rule).withColumn("open", F.lit(True)).withColumn("age", F.col("first.doc_id"))
+    sets = staged(sets, "some_sets")
+    rows = key_rows(sets, ranks, rule)
+    assert "lambda" not in plan(rows)
+    # With every word frequent, lines of up to 40 words and few enough to match no longer one have chains of three only.
+    p = [(r["id"], r["n"], [x for x in r["prefix"]]) for r in sets.filter("n between 12 and 30").collect()]
+    found = {(r["id"], r["n"]): r["c"] for r in rows.filter("n between 12 and 30").groupBy("id", "n").agg(F.count("*").alias("c")).collect()}
+    triples = lambda n, size: sum(1 for i in range(size) for j in range(i + 1, size) for k in range(j + 1, size) if i < n and j < n + 1 and k < n + 2)
+    assert p and found == {(i, n): triples(len(w) - 2, len(w)) for i, n, w in p}
